@@ -78,7 +78,7 @@ def run_suites(
     if at_once <= 1:
         return [run(s) for s in suite_ids]
     with ThreadPoolExecutor(max_workers=at_once) as pool:
-        return list(pool.map(inheritable_thread_target(run), suite_ids))
+        return list(pool.map(inheritable_thread_target(table.spark)(run), suite_ids))
 
 
 def outcomes_frame(spark: SparkSession, outcomes: Sequence[Outcome]) -> DataFrame:

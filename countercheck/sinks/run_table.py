@@ -1,4 +1,4 @@
-"""The table of runs: append-only Parquet plus a log of state changes."""
+"""The table of runs: Parquet, one record per run, plus a log of state changes."""
 
 from __future__ import annotations
 
@@ -33,6 +33,10 @@ def now() -> datetime:
 
 
 class RunTable:
+    """Every run, and every change of state, is a folder of its own, so checks
+    can record at the same time without sharing a commit.
+    """
+
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark = spark
         self.base = base.rstrip("/")
@@ -42,7 +46,7 @@ class RunTable:
         path = f"{self.base}/{name}"
         if not storage.exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
     def record(
         self,
@@ -76,8 +80,8 @@ class RunTable:
             started_at,
             finished,
         )
-        self.spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").parquet(
-            f"{self.base}/runs"
+        self.spark.createDataFrame([row], RUNS).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.base}/runs/{run_id}"
         )
         return run_id
 
@@ -100,7 +104,10 @@ class RunTable:
         detail can be deleted again, detail without a run would be lost."""
         for run_id in run_ids:
             self.details.delete(run_id)
-        return self._change(run_ids, DELETE)
+        result = self._change(run_ids, DELETE)
+        for run_id in set(run_ids) - set(result.missing):
+            storage.remove(self.spark, f"{self.base}/runs/{run_id}")
+        return result
 
     def _change(self, run_ids: Sequence[str], action: str) -> BulkResult:
         if not run_ids:
@@ -110,8 +117,8 @@ class RunTable:
         known = {r["run_id"] for r in found.select("run_id").distinct().collect()}
         if known:
             events = [(r, action, now()) for r in sorted(known)]
-            self.spark.createDataFrame(events, STATE_EVENTS).coalesce(1).write.mode(
-                "append"
-            ).parquet(f"{self.base}/state")
+            self.spark.createDataFrame(events, STATE_EVENTS).coalesce(1).write.parquet(
+                f"{self.base}/state/{uuid.uuid4().hex}"
+            )
         missing = [r for r in run_ids if r not in known]
         return BulkResult(len(run_ids), len(run_ids) - len(missing), missing)

@@ -11,12 +11,12 @@ from countercheck.functions import values as V
 from countercheck.operators.integrity import ForeignKey
 from countercheck.operators.schema_diff import CATALOG
 
-# Words in SQL type names and the family each belongs to, tried
-# in this order.
-TYPE_WORDS = (
+# Patterns of SQL type names and the family each belongs to,
+# tried in this order.
+TYPE_PATTERNS = (
     ("bool", V.BOOLEAN),
     ("interval", V.OTHER),
-    ("int", V.INTEGER),
+    (r"\b(tiny|small|medium|big)?int(eger|\d+)?\b", V.INTEGER),
     ("serial", V.INTEGER),
     ("float", V.FLOAT),
     ("double", V.FLOAT),
@@ -67,8 +67,8 @@ def information_schema_catalog(columns: DataFrame, key_columns: DataFrame) -> Da
     ``columns``, and primary-key columns as (table_name, column_name). Both
     can be loaded with a JDBC source."""
     category = F.lit(V.OTHER)
-    for word, kind in reversed(TYPE_WORDS):
-        category = F.when(F.lower("data_type").contains(word), kind).otherwise(category)
+    for pattern, kind in reversed(TYPE_PATTERNS):
+        category = F.when(F.lower("data_type").rlike(pattern), kind).otherwise(category)
     keys = key_columns.select("table_name", "column_name").distinct().withColumn("k", F.lit(True))
     out = columns.join(keys, ["table_name", "column_name"], "left")
     return out.select(
