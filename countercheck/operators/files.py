@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,6 +58,7 @@ def checksums(files: DataFrame, algorithm: str = "sha256", tasks: int | None = N
         for batch in batches:
             digests = []
             for uri in batch["path"]:
+                uri = re.sub("^s3[an]:", "s3:", uri)
                 if uri.startswith("file:"):
                     uri = "file:///" + uri.removeprefix("file:").lstrip("/")
                 system, path = fs.FileSystem.from_uri(uri)

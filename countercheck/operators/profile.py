@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from countercheck.functions import values as V
 from countercheck.functions.names import ref, require_columns
@@ -17,10 +18,12 @@ PHONE_PATTERN = r"(?U)^\+?[\d\-().\s]{7,20}$"
 PATTERN_SHARE = 0.8
 IDENTIFIER_SHARE = 0.95
 
-#: A quantile sketch of this accuracy ranks values to within N / accuracy.
-SKETCH_ACCURACY = 10_000
-#: Ranks to keep on either side of the sketched median, as a share of N.
-BRACKET_MARGIN = 8 / SKETCH_ACCURACY
+#: Size of the quantile sketches. At this size ranks are off by about 0.1% of
+#: the rows in one case of a hundred.
+SKETCH_SIZE = 4000
+#: Ranks to keep on either side of a sketched rank, as a share of the rows:
+#: eight standard deviations of the sketch's error.
+BRACKET_MARGIN = 0.004
 #: Brackets expected to hold more values than this are narrowed again.
 BRACKET_ROWS = 10_000_000
 
@@ -28,23 +31,47 @@ BRACKET_ROWS = 10_000_000
 def value_counts(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """``column, value (as text), frequency`` for every distinct value.
 
-    One shuffle on (column, value), after counts per map task, serves all
-    columns; a value that most rows share arrives as one row per task.
+    One shuffle serves all columns. Values are counted per map task first, in
+    their own type, so a value that most rows share arrives as one row per
+    task, and only distinct values are turned into text.
     """
     names = require_columns(columns, df.columns, "Column(s)") if columns else df.columns
+    text = F.coalesce(
+        "text",
+        F.col("whole").cast("string"),
+        F.when(F.col("real") == 0, F.lit("0.0")).otherwise(F.col("real").cast("string")),
+        F.col("time").cast("string"),
+    )
+    return _typed_counts(df, names).select(
+        F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("column"),
+        text.alias("value"),
+        "frequency",
+    )
+
+
+def _typed_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Distinct values of column number ``i``, in the one of ``whole``,
+    ``real``, ``time`` and ``text`` that suits its type, with their counts."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("column"),
-                V.as_text(V.missing_as_null(ref(n), types[n]), types[n]).alias("value"),
-            )
-            for n in names
+    kinds = {"whole": "bigint", "real": "double", "time": "timestamp_ntz", "text": "string"}
+    cells = []
+    for i, n in enumerate(names):
+        value, dtype = V.missing_as_null(ref(n), types[n]), types[n]
+        if V.family(dtype) == V.INTEGER:
+            used = "whole"
+        elif isinstance(dtype, T.DoubleType):
+            used = "real"
+        elif isinstance(dtype, T.TimestampNTZType):
+            used = "time"
+        else:
+            used, value = "text", V.as_text(value, dtype)
+        cells.append(F.lit(i))
+        cells += [
+            (value if kind == used else F.lit(None)).cast(kinds[kind]) for kind in kinds
         ]
-    )
     return (
-        df.select(F.explode(cells).alias("cell"))
-        .groupBy(F.col("cell.column").alias("column"), F.col("cell.value").alias("value"))
+        df.select(F.stack(F.lit(len(names)), *cells).alias("i", *kinds))
+        .groupBy("i", *kinds)
         .agg(F.count("*").alias("frequency"))
     )
 
@@ -69,59 +96,68 @@ def profile(
 ) -> DataFrame:
     """One row per column, in column order.
 
-    The median is exact; finding it takes one job per narrowing step, whose
-    results are one row each (see ``exact_medians``).
+    Two jobs collect one row each: the statistics of all columns, and where
+    their medians are (see ``exact_medians``). Kept apart, the first stays in
+    generated code. Exact distinct counts and medians are then left to the
+    query that consumes the result.
     """
     names = require_columns(columns, df.columns, "Column(s)") if columns else df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
-    numbers, aggregates = {}, [F.count("*").alias("total_rows")]
+    numbers, prepared, aggregates = {}, [], [F.count("*").alias("total_rows")]
     for i, n in enumerate(names):
-        value = V.missing_as_null(ref(n), types[n])
-        kind = V.family(types[n])
-        text = value if kind == V.STRING else F.lit(None).cast("string")
+        value, kind = V.missing_as_null(ref(n), types[n]), V.family(types[n])
+        prepared.append(value.alias(f"value{i}"))
+        aggregates.append(F.count(f"value{i}").alias(f"filled{i}"))
+        if approximate_distinct:
+            aggregates.append(F.approx_count_distinct(f"value{i}").alias(f"distinct{i}"))
         if kind in (V.BOOLEAN, V.INTEGER, V.FLOAT, V.STRING):
             numbers[n] = V.as_number(ref(n), types[n])
-        number = numbers.get(n, F.lit(None).cast("double"))
-        aggregates += [
-            F.count(value).alias(f"filled{i}"),
-            F.min(number).alias(f"min{i}"),
-            F.max(number).alias(f"max{i}"),
-            F.avg(number).alias(f"mean{i}"),
-            F.stddev_samp(number).alias(f"stddev{i}"),
-            F.avg(text.rlike(EMAIL_PATTERN).cast("double")).alias(f"email{i}"),
-            F.avg(text.rlike(PHONE_PATTERN).cast("double")).alias(f"phone{i}"),
-        ]
-        if approximate_distinct:
-            aggregates.append(F.approx_count_distinct(value).alias(f"distinct{i}"))
-    per_column = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(n).alias("column"),
-            F.lit(types[n].simpleString()).alias("dtype"),
-            F.lit(V.family(types[n])).alias("family"),
-            *[F.col(f"{m}{i}").alias(m) for m in ("filled", "min", "max", "mean", "stddev")],
-            *[F.col(f"{m}{i}").alias(m) for m in ("email", "phone")],
-            (F.col(f"distinct{i}") if approximate_distinct else F.lit(None).cast("bigint")).alias(
-                "sketched"
-            ),
+            prepared.append(numbers[n].alias(f"number{i}"))
+            aggregates += [
+                F.min(f"number{i}").alias(f"min{i}"),
+                F.max(f"number{i}").alias(f"max{i}"),
+                F.avg(f"number{i}").alias(f"mean{i}"),
+                F.stddev_samp(f"number{i}").alias(f"stddev{i}"),
+            ]
+        if kind == V.STRING:
+            for name, pattern in (("email", EMAIL_PATTERN), ("phone", PHONE_PATTERN)):
+                prepared.append(value.rlike(pattern).cast("double").alias(f"{name}{i}"))
+                aggregates.append(F.avg(f"{name}{i}").alias(f"{name}{i}"))
+    seen = df.select(*prepared).agg(*aggregates).first().asDict()
+    rows = [
+        (
+            i,
+            n,
+            types[n].simpleString(),
+            V.family(types[n]),
+            seen["total_rows"],
+            seen.get(f"distinct{i}"),
+            *[seen.get(f"{m}{i}") for m in _SEEN],
         )
         for i, n in enumerate(names)
     ]
-    stats = (
-        df.agg(*aggregates)
-        .select("total_rows", F.explode(F.array(*per_column)).alias("c"))
-        .select("total_rows", "c.*")
+    stats = df.sparkSession.createDataFrame(
+        rows,
+        "position int, column string, dtype string, family string, total_rows bigint, "
+        "sketched bigint, filled bigint, min double, max double, mean double, stddev double, "
+        "email double, phone double",
     )
     if approximate_distinct:
         stats = stats.withColumn("distinct_count", F.col("sketched"))
     else:
-        distinct = value_counts(df, names).groupBy("column").agg(
-            F.count("value").alias("distinct_count")
+        distinct = (
+            _typed_counts(df, names)
+            .filter("whole is not null or real is not null or time is not null or text is not null")
+            .groupBy(F.col("i").alias("position"))
+            .agg(F.count("*").alias("distinct_count"))
         )
-        stats = stats.join(distinct, "column", "left")
+        stats = stats.join(distinct, "position", "left")
     stats = stats.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
-    if numbers:
-        stats = stats.join(exact_medians(df, numbers), "column", "left")
+    with_numbers = {
+        n: numbers[n] for i, n in enumerate(names) if seen.get(f"min{i}") is not None
+    }
+    if with_numbers:
+        stats = stats.join(exact_medians(df, with_numbers), "column", "left")
     else:
         stats = stats.withColumn("median", F.lit(None).cast("double"))
     null_count = F.col("total_rows") - F.col("filled")
@@ -140,6 +176,9 @@ def profile(
     )
 
 
+_SEEN = ("filled", "min", "max", "mean", "stddev", "email", "phone")
+
+
 def _meaning() -> Column:
     mostly_distinct = F.coalesce(
         F.col("distinct_count") > IDENTIFIER_SHARE * F.col("total_rows"), F.lit(False)
@@ -178,58 +217,101 @@ def exact_medians(
     Here a quantile sketch of fixed size first brackets the median; then only
     the values inside the bracket are counted and ranked, exactly. A bracket
     that may still hold too many values is sketched again. Each sketch is one
-    job with a one-row result; the last step stays lazy.
+    job with a one-row result; the last step stays lazy. Should a sketch ever
+    miss, the result is an error, not a wrong median.
     """
-    names = list(numbers)
-    if not names:
+    if not numbers:
         raise ValueError("No number columns.")
+    data = df.select(*[v.alias(f"v{i}") for i, v in enumerate(numbers.values())])
+    sketched = data.agg(*[a for i in range(len(numbers)) for a in _sketched(F.col(f"v{i}"), i)])
+    seen = sketched.select(
+        *[f"number_count{i}" for i in range(len(numbers))], *_first_bracket(range(len(numbers)))
+    ).first()
+    brackets = [_bracket(seen.asDict(), i) for i in range(len(numbers))]
+    return _rank(df, numbers, brackets, bracket_rows)
+
+
+def _sketched(value: Column, i: int) -> list[Column]:
+    return [
+        F.count(value).alias(f"number_count{i}"),
+        F.kll_sketch_agg_double(value, F.lit(SKETCH_SIZE)).alias(f"sketch{i}"),
+    ]
+
+
+def _quantile(sketch: str, share: float) -> Column:
+    return F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(share))
+
+
+def _first_bracket(which) -> list[Column]:
+    empty = F.lit(None).cast("double")
+    return [
+        F.when(F.col(f"number_count{i}") > 0, _quantile(f"sketch{i}", 0.5 + side))
+        .otherwise(empty)
+        .alias(f"{name}{i}")
+        for i in which
+        for name, side in (("low", -BRACKET_MARGIN), ("high", BRACKET_MARGIN))
+    ]
+
+
+def _bracket(seen: dict, i: int) -> _Bracket:
+    n = seen[f"number_count{i}"]
+    if not n:
+        return _Bracket(None, None, 0, 0, 0.0)
+    return _Bracket(seen[f"low{i}"], seen[f"high{i}"], (n - 1) // 2, n // 2, 2 * BRACKET_MARGIN * n)
+
+
+def _rank(
+    df: DataFrame, numbers: dict[str, Column], brackets: list[_Bracket], bracket_rows: int
+) -> DataFrame:
+    """Narrow the brackets as far as needed, then rank what is inside them."""
+    names = list(numbers)
     data = df.select(*[numbers[n].alias(f"v{i}") for i, n in enumerate(names)])
-    brackets = _sketch(data, len(names), None)
     while any(b.expected > bracket_rows for b in brackets):
-        narrower = _sketch(data, len(names), brackets)
-        if all(n.expected >= b.expected for n, b in zip(narrower, brackets, strict=True)):
-            break
+        narrower = _narrow(data, brackets)
+        shrunk = any(
+            n.expected < b.expected / 2 and n.expected > 0
+            for n, b in zip(narrower, brackets, strict=True)
+        )
         brackets = narrower
+        if not shrunk:
+            break
+    open_columns = [i for i, b in enumerate(brackets) if b.low is not None]
+    if not open_columns:
+        return df.sparkSession.createDataFrame([], "column string, median double")
 
     def inside(i: int) -> Column:
         b = brackets[i]
-        if b.low is None:
-            return F.lit(False)
-        return F.col(f"v{i}").between(F.lit(b.low), F.lit(b.high))
+        return F.when(F.col(f"v{i}").between(F.lit(b.low), F.lit(b.high)), F.col(f"v{i}"))
 
-    cells = F.array(
-        *[
-            F.when(inside(i), F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")))
-            for i in range(len(names))
-        ]
-    )
+    cells = [c for i in open_columns for c in (F.lit(i), inside(i))]
     ranked = (
-        data.select(F.explode(F.array_compact(cells)).alias("cell"))
-        .groupBy("cell.i", "cell.v")
+        data.select(F.stack(F.lit(len(open_columns)), *cells).alias("i", "v"))
+        .filter("v is not null")
+        .groupBy("i", "v")
         .agg(F.count("*").alias("n"))
     )
-    below = data.agg(
-        *[F.count_if(F.col(f"v{i}") < F.lit(b.low)).alias(f"b{i}") for i, b in enumerate(brackets)]
-    ).select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"),
-                        F.lit(name).alias("column"),
-                        F.lit(b.low_rank).cast("bigint").alias("low_rank"),
-                        F.lit(b.high_rank).cast("bigint").alias("high_rank"),
-                        F.col(f"b{i}").alias("below"),
-                    )
-                    for i, (name, b) in enumerate(zip(names, brackets, strict=True))
-                    if b.low is not None
-                ]
-                or [F.lit(None).cast("struct<i:int,column:string,low_rank:bigint,high_rank:bigint,below:bigint>")]
+    facts = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(names[i]).alias("column"),
+                F.lit(brackets[i].low_rank).cast("bigint").alias("low_rank"),
+                F.lit(brackets[i].high_rank).cast("bigint").alias("high_rank"),
+                F.col(f"below{i}").alias("below"),
             )
-        ).alias("b")
-    ).select("b.*")
-    up_to_here = Window.partitionBy("i").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+            for i in open_columns
+        ]
+    )
+    below = (
+        data.agg(
+            *[F.count_if(F.col(f"v{i}") < F.lit(brackets[i].low)).alias(f"below{i}") for i in open_columns]
+        )
+        .select(F.explode(facts).alias("fact"))
+        .select("fact.*")
+    )
+    # The window sees the distinct values inside one bracket, of bounded size.
+    up_to_here = (
+        Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     last = F.col("below") + F.col("upto") - 1
     first = last - F.col("n") + 1
@@ -251,38 +333,35 @@ def exact_medians(
     )
 
 
-def _sketch(data: DataFrame, columns: int, brackets: list[_Bracket] | None) -> list[_Bracket]:
-    """One job, one row back: a (narrower) bracket for every column."""
+#: Ranks at which a bracket is cut when it is narrowed.
+_CUTS = [i / 200 for i in range(1, 200)]
+
+
+def _narrow(data: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
+    """One job, one row back: a narrower bracket for every column."""
+    which = [i for i, b in enumerate(brackets) if b.low is not None]
     aggregates = []
-    for i in range(columns):
-        v, shares = F.col(f"v{i}"), [0.5 - BRACKET_MARGIN, 0.5 + BRACKET_MARGIN]
-        if brackets is not None and brackets[i].low is not None:
-            b = brackets[i]
-            v = F.when(v.between(F.lit(b.low), F.lit(b.high)), v)
+    for i in which:
+        v, b = F.col(f"v{i}"), brackets[i]
         aggregates += [
-            F.count(v).alias(f"n{i}"),
-            F.count_if(F.col(f"v{i}") < F.lit(brackets[i].low if brackets else None)).alias(f"b{i}"),
-            F.percentile_approx(v, _grid() if brackets else shares, SKETCH_ACCURACY).alias(f"q{i}"),
+            F.count_if(v < F.lit(b.low)).alias(f"below{i}"),
+            *_sketched(F.when(v.between(F.lit(b.low), F.lit(b.high)), v), i),
         ]
-    row = data.agg(*aggregates).first()
-    out = []
-    for i in range(columns):
-        n, q = row[f"n{i}"], row[f"q{i}"]
-        if not n:
-            out.append(_Bracket(None, None, 0, 0, 0))
-        elif brackets is None:
-            out.append(_Bracket(q[0], q[1], (n - 1) // 2, n // 2, 2 * BRACKET_MARGIN * n))
-        else:
-            b, below = brackets[i], row[f"b{i}"]
-            grid = _grid()
-            low = [p for p in grid if p <= (b.low_rank - below) / n - BRACKET_MARGIN]
-            high = [p for p in grid if p >= (b.high_rank - below) / n + BRACKET_MARGIN]
-            low_value = q[len(low) - 1] if low else b.low
-            high_value = q[len(grid) - len(high)] if high else b.high
-            span = (high[0] if high else 1.0) - (low[-1] if low else 0.0)
-            out.append(_Bracket(low_value, high_value, b.low_rank, b.high_rank, span * n))
+    cuts = F.array(*[F.lit(c) for c in _CUTS])
+    row = data.agg(*aggregates).select(
+        *[f"below{i}" for i in which],
+        *[f"number_count{i}" for i in which],
+        *[F.kll_sketch_get_quantile_double(f"sketch{i}", cuts).alias(f"cuts{i}") for i in which],
+    ).first()
+    out = list(brackets)
+    for i in which:
+        b, n = brackets[i], row[f"number_count{i}"]
+        low_share = (b.low_rank - row[f"below{i}"]) / n - BRACKET_MARGIN
+        high_share = (b.high_rank + 1 - row[f"below{i}"]) / n + BRACKET_MARGIN
+        under = [k for k, c in enumerate(_CUTS) if c <= low_share]
+        over = [k for k, c in enumerate(_CUTS) if c >= high_share]
+        low = row[f"cuts{i}"][under[-1]] if under else b.low
+        high = row[f"cuts{i}"][over[0]] if over else b.high
+        span = (_CUTS[over[0]] if over else 1.0) - (_CUTS[under[-1]] if under else 0.0)
+        out[i] = _Bracket(low, high, b.low_rank, b.high_rank, span * n if low < high else 0.0)
     return out
-
-
-def _grid() -> list[float]:
-    return [i / 1000 for i in range(1, 1000)]

@@ -236,11 +236,11 @@ def row_diff(
         status = F.when(
             (F.col(n_source) > 1) | (F.col(n_target) > 1), F.raise_error(message).cast("string")
         ).otherwise(status)
-    differing = F.array_compact(
-        F.array(*[F.when(~equal[c], F.lit(c)) for c in columns])
-        if columns
-        else F.array().cast("array<string>")
-    )
+    # Listing columns is the slow part per row, so it is left to rows that need it.
+    nothing = F.array().cast("array<string>")
+    listed = F.array_compact(F.array(*[F.when(~equal[c], F.lit(c)) for c in columns]))
+    both = (F.col(n_source) > 0) & (F.col(n_target) > 0)
+    differing = F.when(both & ~all_equal, listed).otherwise(nothing) if columns else nothing
     rows = folded.select(
         *[ref(k) for k in keys],
         status.alias("diff_status"),
