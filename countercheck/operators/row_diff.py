@@ -74,18 +74,27 @@ class RowDiff:
     keys: list[str]
     columns: list[str]
     rows: DataFrame
-    #: Source-side and target-side rows per key, and their names in ``rows``.
+    #: Names in ``rows`` of the counts of source and target rows per key.
     source_rows: str
     target_rows: str
+    #: True if ``rows`` was written, partitioned by ``diff_status``.
+    stored: bool = False
 
     def matched(self) -> DataFrame:
         return self._one_side(F.col("diff_status") == MATCH, SOURCE_SUFFIX)
 
     def missing(self) -> DataFrame:
-        return self._one_side(F.col("diff_status") == MISSING, SOURCE_SUFFIX)
+        """Not stored, this needs no column of the target but its keys."""
+        by_count = F.col(self.target_rows) == 0
+        return self._one_side(
+            F.col("diff_status") == MISSING if self.stored else by_count, SOURCE_SUFFIX
+        )
 
     def extra(self) -> DataFrame:
-        return self._one_side(F.col("diff_status") == EXTRA, TARGET_SUFFIX)
+        by_count = F.col(self.source_rows) == 0
+        return self._one_side(
+            F.col("diff_status") == EXTRA if self.stored else by_count, TARGET_SUFFIX
+        )
 
     def mismatches(self) -> DataFrame:
         """Keys, value pairs and the comma list of columns that differ."""
@@ -225,7 +234,9 @@ def row_diff(
         .when(all_equal, F.lit(MATCH))
         .otherwise(F.lit(MISMATCH))
     )
+    counts = {n_source: F.col(n_source), n_target: F.col(n_target)}
     if options.on_duplicate_key == "error":
+        # Every way to tell the classes apart goes through status or counts.
         repeated = F.when(F.col(n_source) > 1, F.lit("source")).otherwise(F.lit("target"))
         message = F.concat(
             F.lit("Duplicate business key in "),
@@ -233,9 +244,12 @@ def row_diff(
             F.lit(": "),
             F.to_json(F.struct(*[ref(k) for k in keys])),
         )
-        status = F.when(
-            (F.col(n_source) > 1) | (F.col(n_target) > 1), F.raise_error(message).cast("string")
-        ).otherwise(status)
+        unique = (F.col(n_source) <= 1) & (F.col(n_target) <= 1)
+        status = F.when(unique, status).otherwise(F.raise_error(message).cast("string"))
+        counts = {
+            n: F.when(unique, value).otherwise(F.raise_error(message).cast("bigint"))
+            for n, value in counts.items()
+        }
     # Listing columns is the slow part per row, so it is left to rows that need it.
     nothing = F.array().cast("array<string>")
     listed = F.array_compact(F.array(*[F.when(~equal[c], F.lit(c)) for c in columns]))
@@ -250,8 +264,7 @@ def row_diff(
             for value, suffix in ((s, SOURCE_SUFFIX), (t, TARGET_SUFFIX))
         ],
         differing.alias("mismatched"),
-        F.col(n_source),
-        F.col(n_target),
+        *[value.alias(n) for n, value in counts.items()],
     )
     return RowDiff(keys, columns, rows, n_source, n_target)
 

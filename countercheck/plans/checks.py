@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +24,8 @@ class CheckError(ValueError):
 class Check:
     """One check: its module, the sides it reads and the module's settings.
 
-    A side is a ``Source``, or the settings of one, or a DataFrame.
+    A side is a ``Source``, or the settings of one, or a DataFrame; for a file
+    comparison, a path.
     """
 
     module: str
@@ -44,63 +45,71 @@ class Outcome:
     error: str | None = None
 
 
-#: A module turns its sides and settings into a one-row summary, which has a
-#: ``status``, and named sections of detail.
-Module = Callable[..., tuple[DataFrame, dict[str, DataFrame]]]
+#: A module turns its sides and settings into named sections of detail, and a
+#: function that makes the one-row summary, with a ``status``, from them. The
+#: sections are stored first, so a summary reads results instead of sides
+#: wherever it can.
+Sections = dict[str, DataFrame]
+Result = tuple[Sections, Callable[[Sections], DataFrame]]
 
 
-def _schema(source: DataFrame, target: DataFrame, **_) -> tuple:
+def _schema(source: DataFrame, target: DataFrame) -> Result:
     spark = source.sparkSession
     diff = schema_diff.schema_diff(
         schema_diff.catalog_of(spark, {"table": source}),
         schema_diff.catalog_of(spark, {"table": target}),
     )
-    return schema_diff.schema_summary(diff), {"Column Comparison": diff}
+    title = "Column Comparison"
+    return {title: diff}, lambda stored: schema_diff.schema_summary(stored[title])
 
 
-def _record_count(source, target, group_by=(), **tolerance) -> tuple:
-    if not group_by:
-        return counts.record_count(source, target, **tolerance), {}
-    by_group = counts.record_count_by_group(source, target, group_by)
-    return counts.record_count(source, target, **tolerance), {"Group Breakdown": by_group}
+def _record_count(source, target, group_by=(), **tolerance) -> Result:
+    sections = {}
+    if group_by:
+        by_group = counts.record_count_by_group(source, target, group_by)
+        sections["Group Breakdown"] = by_group
+    return sections, lambda stored: counts.record_count(source, target, **tolerance)
 
 
-def _duplicate(source, target=None, keys: Sequence[str] = (), sample_limit=1000) -> tuple:
+def _duplicate(source, target, keys: Sequence[str] = (), sample_limit=1000) -> Result:
     rows = duplicates.duplicate_rows(source, keys, sample_limit)
-    return duplicates.duplicate_summary(source, keys), {"Duplicate Rows": rows}
+    return {"Duplicate Rows": rows}, lambda stored: duplicates.duplicate_summary(source, keys)
 
 
-def _nullability(source, target=None, threshold_percent=100.0, **settings) -> tuple:
-    stats = completeness.null_stats(source, **settings)
-    return completeness.null_score(stats, threshold_percent), {"Column Statistics": stats}
+def _nullability(source, target, threshold_percent=100.0, **settings) -> Result:
+    stats, title = completeness.null_stats(source, **settings), "Column Statistics"
+    return {title: stats}, lambda stored: completeness.null_score(stored[title], threshold_percent)
 
 
-def _aggregation(source, target, metrics=(), **settings) -> tuple:
+def _aggregation(source, target, metrics=(), **settings) -> Result:
     wanted = [m if isinstance(m, aggregates.Metric) else aggregates.Metric(**m) for m in metrics]
     comparison = aggregates.aggregate_compare(source, target, wanted, **settings)
-    return aggregates.aggregate_summary(comparison), {"Aggregation Comparison": comparison}
+    title = "Aggregation Comparison"
+    return {title: comparison}, lambda stored: aggregates.aggregate_summary(stored[title])
 
 
-def _integrity(source, target, child_keys=(), parent_keys=(), sample_limit=1000, **tolerance):
+def _integrity(
+    source, target, child_keys=(), parent_keys=(), sample_limit=1000, **tolerance
+) -> Result:
     rows = integrity.orphans(source, target, child_keys, parent_keys, sample_limit)
-    summary = integrity.orphan_summary(source, target, child_keys, parent_keys, **tolerance)
-    return summary, {"Orphan Rows": rows}
+    return {"Orphan Rows": rows}, lambda stored: integrity.orphan_summary(
+        source, target, child_keys, parent_keys, **tolerance
+    )
 
 
-def _profiling(source, target=None, columns=(), top_n=5) -> tuple:
-    profiles = profile.profile(source, columns)
-    summary = source.agg(F.count("*").alias("total_rows")).select(
+def _profiling(source, target, columns=(), top_n=5) -> Result:
+    sections = {
+        "Column Profiles": profile.profile(source, columns),
+        "Top Values": profile.top_values(source, columns, top_n),
+    }
+    return sections, lambda stored: source.agg(F.count("*").alias("total_rows")).select(
         "total_rows",
         F.lit(len(columns or source.columns)).alias("columns_profiled"),
         F.lit("PASS").alias("status"),
     )
-    return summary, {
-        "Column Profiles": profiles,
-        "Top Values": profile.top_values(source, columns, top_n),
-    }
 
 
-def _full_data(source, target, keys: Sequence[str] = (), **settings) -> tuple:
+def _full_data(source, target, keys: Sequence[str] = (), **settings) -> Result:
     """The classified rows are written once, to the shared folder; summary and
     sections are read back from there, so nothing is compared twice."""
     options = row_diff.RowDiffOptions(**settings)
@@ -111,29 +120,28 @@ def _full_data(source, target, keys: Sequence[str] = (), **settings) -> tuple:
     path = storage.new_folder(spark, "row-diff")
     diff.rows.write.partitionBy("diff_status").parquet(path)
     stored = spark.read.schema(diff.rows.schema).parquet(path)
-    diff = row_diff.RowDiff(diff.keys, diff.columns, stored, diff.source_rows, diff.target_rows)
+    diff = replace(diff, rows=stored, stored=True)
     if strict:
         repeated = diff.duplicate_rows().first()
         for side in ("source", "target"):
             if repeated[side]:
                 raise row_diff.DuplicateKeyError(side, repeated[side])
-    return diff.summary(), {
+    sections = {
         "Mismatches": diff.mismatches(),
         "Missing in Target": diff.missing(),
         "Extra in Target": diff.extra(),
         "Matched": diff.matched(),
     }
+    return sections, lambda stored: diff.summary()
 
 
-def _file_comparison(source: str, target: str, spark: SparkSession, algorithm="sha256") -> tuple:
-    sides = [
-        files.checksums(files.list_files(spark, path), algorithm) for path in (source, target)
-    ]
-    comparison = files.compare_files(*sides)
-    return files.file_summary(comparison), {"Files": comparison}
+def _file_comparison(source: DataFrame, target: DataFrame, algorithm="sha256") -> Result:
+    sides = [files.checksums(listed, algorithm) for listed in (source, target)]
+    title = "Files"
+    return {title: files.compare_files(*sides)}, lambda stored: files.file_summary(stored[title])
 
 
-MODULES: dict[str, Module] = {
+MODULES: dict[str, Callable[..., Result]] = {
     "Schema Validation": _schema,
     "Record Count Validation": _record_count,
     "Duplicate Validation": _duplicate,
@@ -146,9 +154,11 @@ MODULES: dict[str, Module] = {
 }
 
 
-def _side(spark: SparkSession, side: object) -> DataFrame | None:
+def _side(spark: SparkSession, side: object, module: str) -> DataFrame | None:
     if side is None or isinstance(side, DataFrame):
         return side
+    if isinstance(side, str) and module == "File Comparison":
+        return files.list_files(spark, side)
     if isinstance(side, Source):
         return load(spark, side)
     if isinstance(side, Mapping):
@@ -157,42 +167,52 @@ def _side(spark: SparkSession, side: object) -> DataFrame | None:
 
 
 def run_check(
-    table: RunTable,
-    check: Check,
-    project_id: str = "default",
-    suite_id: str | None = None,
-    save_detail: bool = True,
+    table: RunTable, check: Check, project_id: str = "default", suite_id: str | None = None
 ) -> Outcome:
-    """Run one check and record it. A failure is recorded as an ERROR run and
-    raised again."""
+    """Run one check, store its detail and record it. A failure is recorded as
+    an ERROR run and raised again."""
     spark, started = table.spark, now()
     run_id, name = uuid.uuid4().hex, check.name or check.module
     try:
         if check.module not in MODULES:
             raise CheckError(f"Unknown module: '{check.module}'")
-        if check.module == "File Comparison":
-            summary, sections = _file_comparison(
-                check.source, check.target, spark, **check.settings
-            )
-        else:
-            summary, sections = MODULES[check.module](
-                _side(spark, check.source), _side(spark, check.target), **check.settings
-            )
-        values = summary.first().asDict()
+        sections, summarise = MODULES[check.module](
+            _side(spark, check.source, check.module),
+            _side(spark, check.target, check.module),
+            **check.settings,
+        )
+        table.details.save(run_id, sections)
+        values = summarise(table.details.load_all(run_id)).first().asDict()
         status = values.pop("status")
-        if save_detail:
-            table.details.save(run_id, sections)
         if check.module == "Full Data Validation":
             values["execution_start"] = started.isoformat()
             values["execution_end"] = now().isoformat()
-        table.record(
-            check.module, name, status, started, values,
-            project_id=project_id, suite_id=suite_id, run_id=run_id,
-        )
-        return Outcome(name, check.module, status, run_id, values)
+        error = None
     except Exception as problem:
-        table.record(
-            check.module, name, "ERROR", started, error=str(problem),
-            project_id=project_id, suite_id=suite_id, run_id=run_id,
-        )
-        raise
+        status, values, error = "ERROR", {}, problem
+    table.record(
+        check.module,
+        name,
+        status,
+        started,
+        values,
+        source=_label(check.source),
+        target=_label(check.target),
+        error=None if error is None else str(error),
+        project_id=project_id,
+        suite_id=suite_id,
+        run_id=run_id,
+    )
+    if error is not None:
+        raise error
+    return Outcome(name, check.module, status, run_id, values)
+
+
+def _label(side: object) -> str | None:
+    """Where a side comes from, for the record; no options, which may hold
+    credentials."""
+    if isinstance(side, Mapping):
+        side = Source(**side)
+    if isinstance(side, Source):
+        return side.path or side.table or side.query
+    return side if isinstance(side, str) else None

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,23 @@ def test_duplicate_keys(spark):
     assert count_duplicate_rows(df, ["k"]).first()[0] == 1
 
 
+@pytest.mark.parametrize("view", ["matched", "missing", "extra", "mismatches", "by_column", "summary"])
+def test_every_view_refuses_duplicate_keys(spark, view):
+    twice = [(1, 1.0), (2, 2.0), (2, 2.0), (3, 3.0)]
+    result = diff(spark, twice, [(2, 2.0), (3, 4.0)])
+    with pytest.raises(Exception, match="Duplicate business key in source"):
+        getattr(result, view)().collect()
+
+
+def test_one_sided_views_read_only_keys_of_the_other_side(spark, tmp_path):
+    for side in ("s", "t"):
+        spark.createDataFrame([(1, "a", 1.0)], "K int, A string, B double").write.parquet(str(tmp_path / side))
+    s, t = (spark.read.parquet(str(tmp_path / side)) for side in "st")
+    plan = row_diff(s, t, ["K"]).missing()._jdf.queryExecution().executedPlan().toString()
+    schemas = sorted(line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema" in line)
+    assert schemas == ["struct<K:int,A:string,B:double>", "struct<K:int>"]
+
+
 def test_keep_first_puts_nulls_last(spark):
     result = diff(spark, [(1, None), (1, 3.0)], [(1, 3.0)], on_duplicate_key="keep_first")
     assert statuses(result) == {1: "match"}
@@ -213,3 +231,55 @@ def test_a_hot_key_is_folded_before_the_shuffle(spark):
 
 def test_full_duplicate_error_is_typed():
     assert DuplicateKeyError("source", 3).rows == 3
+
+
+def brute_force(source, target, tolerance, nulls_equal):
+    """The four classes from plain dicts, for unique keys."""
+    s, t = {r[0]: r[1:] for r in source}, {r[0]: r[1:] for r in target}
+
+    def same(a, b):
+        if a is None or b is None:
+            return nulls_equal and a is b
+        if isinstance(a, float) and tolerance:
+            return a == b or abs(a - b) <= tolerance
+        return a == b
+
+    out = {}
+    for k in s.keys() | t.keys():
+        if k not in t:
+            out[k] = ("missing_in_target", [])
+        elif k not in s:
+            out[k] = ("extra_in_target", [])
+        else:
+            names = [n for n, a, b in zip("ABC", s[k], t[k], strict=True) if not same(a, b)]
+            out[k] = ("mismatch" if names else "match", names)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+
+    def rows():
+        keys = rng.sample([None, *range(60)], 45)
+        return [
+            (
+                k,
+                rng.choice([None, 1.0, 1.005, 2.0]),
+                rng.choice([None, "x", "X "]),
+                rng.choice([None, True, False]),
+            )
+            for k in keys
+        ]
+
+    source, target = rows(), rows()
+    tolerance, nulls_equal = rng.choice([0.0, 0.01]), rng.random() < 0.5
+    result = diff(
+        spark, source, target, "K int, A double, B string, C boolean",
+        float_tolerance=tolerance, nulls_equal=nulls_equal,
+    )
+    got = {r["K"]: (r["diff_status"], r["mismatched"]) for r in result.rows.collect()}
+    assert got == brute_force(source, target, tolerance, nulls_equal)
+    s = result.summary().first()
+    assert s["rows_compared"] == len(got)
+    assert s["rows_source"] == len(source) and s["rows_target"] == len(target)
