@@ -190,6 +190,22 @@ MODULE_METRICS: Mapping[str, Sequence[str]] = {
 }
 
 
+def with_last_run(suites: DataFrame, runs: DataFrame) -> DataFrame:
+    """Saved suites with the id, status and time of their latest run. Runs are
+    folded to one per suite, per map task first."""
+    latest = (
+        runs.filter(F.col("suite_id").isNotNull())
+        .groupBy("suite_id")
+        .agg(F.max(F.struct("started_at", "run_id", "status", "finished_at")).alias("latest"))
+    )
+    return suites.join(latest, "suite_id", "left").select(
+        *suites.columns,
+        F.col("latest.run_id").alias("last_run_id"),
+        F.col("latest.status").alias("last_run_status"),
+        F.col("latest.finished_at").alias("last_run_at"),
+    )
+
+
 def suite_report(
     suites: DataFrame, runs: DataFrame, module: str, metrics: Sequence[str] | None = None
 ) -> DataFrame:

@@ -108,6 +108,7 @@ RUNS_SQL = """runs AS (
          CASE WHEN value < 100 THEN NULL ELSE 'timeout' END AS error,
          value AS runtime_seconds,
          'project-' || CAST(user_id AS VARCHAR) AS project_id,
+         'suite-' || CAST(user_id AS VARCHAR) AS suite_id,
          ts AS started_at
   FROM events
 )"""
@@ -132,7 +133,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         F.when(value >= 100, "timeout").alias("error"),
         value.alias("runtime_seconds"),
         F.concat(F.lit("project-"), F.col("user_id").cast("string")).alias("project_id"),
-        none.alias("suite_id"),
+        F.concat(F.lit("suite-"), F.col("user_id").cast("string")).alias("suite_id"),
         F.col("ts").alias("started_at"),
         F.col("ts").alias("finished_at"),
     )

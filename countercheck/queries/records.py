@@ -70,29 +70,21 @@ def _suites(spark, folder):
     module = F.lit(None).cast("string")
     for segment, name in SEGMENT_MODULES.items():
         module = F.when(F.col("c_mktsegment") == segment, name).otherwise(module)
-    last = (
-        D.runs(spark, folder)
-        .withColumn("user", F.expr("cast(substring(project_id, 9) as bigint)"))
-        .groupBy("user")
-        .agg(F.max(F.struct("started_at", "run_id", "status")).alias("last"))
-    )
-    customers = D.table(spark, folder, "customer").withColumn("module", module)
-    return customers.join(last, F.col("c_custkey") == F.col("user"), "left").select(
+    customers = D.table(spark, folder, "customer").select(
+        F.concat(F.lit("suite-"), F.col("c_custkey").cast("string")).alias("suite_id"),
         F.col("c_name").alias("name"),
-        "module",
-        F.col("last.run_id").alias("last_run_id"),
-        F.col("last.status").alias("last_run_status"),
-        F.col("last.started_at").alias("last_run_at"),
+        module.alias("module"),
     )
+    return H.with_last_run(customers, D.runs(spark, folder))
 
 
 def _suites_sql() -> str:
     cases = " ".join(f"WHEN '{s}' THEN '{m}'" for s, m in SEGMENT_MODULES.items())
     return f"""WITH {D.RUNS_SQL}, last AS (
-  SELECT project_id, arg_max(run_id, started_at) AS run_id, max(started_at) AS last_at FROM runs GROUP BY project_id
+  SELECT suite_id, arg_max(run_id, started_at) AS run_id, max(started_at) AS last_at FROM runs GROUP BY suite_id
 ), suites AS (
   SELECT c_name AS name, CASE c_mktsegment {cases} END AS module, run_id AS last_run_id, last_at AS last_run_at
-  FROM customer LEFT JOIN last ON project_id = 'project-' || CAST(c_custkey AS VARCHAR)
+  FROM customer LEFT JOIN last ON suite_id = 'suite-' || CAST(c_custkey AS VARCHAR)
 )"""
 
 

@@ -7,6 +7,7 @@ by the executors.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
@@ -180,9 +181,10 @@ def _read_files(spark: SparkSession, kind: str, source: Source) -> DataFrame:
             reader = reader.option("multiLine", _json_spans_lines(spark, source.path))
         return flatten(reader.json(source.path))
     if kind == "xml":
-        if "rowTag" not in options:
-            raise SourceError("An XML source needs the option rowTag.")
-        return flatten(reader.xml(source.path))
+        tag = re.search(r"([^/@\[\]*.:]+)$", options.get("xpath", ""))
+        if "rowTag" not in options and not tag:
+            raise SourceError("An XML source needs the option rowTag, or an xpath that ends in it.")
+        return flatten(reader.option("rowTag", options.get("rowTag") or tag.group(1)).xml(source.path))
     return reader.format(kind).load(source.path)
 
 

@@ -235,6 +235,9 @@ def test_suites(spark, tmp_path, at_once):
     assert "not found" in outcomes[2].error
     assert outcomes_frame(spark, outcomes).filter("status = 'PASS'").first()["name"] == "DV_ids"
     assert table.runs().filter("suite_id = 's1'").count() == 1
+    saved = spark.createDataFrame([("s1", "ids"), ("s7", "new")], "suite_id string, name string")
+    last = {r["name"]: r["last_run_status"] for r in H.with_last_run(saved, table.runs()).collect()}
+    assert last == {"ids": "PASS", "new": None}
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -214,6 +215,16 @@ def test_generated_200k(spark):
     ) == (50, 25, 50, n - 100)
 
 
+@pytest.mark.skipif("RUN_SLOW" not in os.environ, reason="set RUN_SLOW for five million rows a side")
+def test_generated_5m(spark):
+    base = spark.range(5_000_000).select(
+        F.col("id").alias("K"), (F.rand(7) * 1000).alias("AMT"), (F.col("id") * 31 % 97).alias("QTY")
+    )
+    target = base.withColumn("AMT", F.when(F.col("K") < 1000, F.col("AMT") + 1).otherwise(F.col("AMT")))
+    s = row_diff(base, target, ["K"]).summary().first()
+    assert (s["rows_mismatched"], s["rows_matched"]) == (1000, 4_999_000)
+
+
 def test_one_bad_row_in_many_fails(spark):
     rows = spark.range(3_000_000).select(F.col("id").alias("K"))
     s = row_diff(rows, rows.filter("K <> 7"), ["K"]).summary().first()

@@ -52,7 +52,8 @@ def test_json(spark, tmp_path, text):
 
 def test_xml_and_parquet(spark, tmp_path):
     path = write(tmp_path, "a.xml", "<rows><row><id>1</id><name>x</name></row><row><id>2</id><name>y</name></row></rows>")
-    assert load(spark, Source(path=path, options={"rowTag": "row"})).count() == 2
+    for options in ({"rowTag": "row"}, {"xpath": ".//row"}):
+        assert load(spark, Source(path=path, options=options)).count() == 2
     with pytest.raises(SourceError):
         load(spark, Source(path=path))
     spark.range(4).write.parquet(str(tmp_path / "p.pq"))
