@@ -114,13 +114,14 @@ def _full_data(source, target, keys: Sequence[str] = (), **settings) -> Result:
     sections are read back from there, so nothing is compared twice."""
     options = row_diff.RowDiffOptions(**settings)
     strict = options.on_duplicate_key == "error"
-    counted = row_diff.RowDiffOptions(**{**settings, "on_duplicate_key": "count"})
-    diff = row_diff.row_diff(source, target, keys, counted if strict else options)
+    if strict:
+        options = replace(options, on_duplicate_key="count")
+    diff = row_diff.row_diff(source, target, keys, options)
     spark = source.sparkSession
     path = storage.new_folder(spark, "row-diff")
     diff.rows.write.partitionBy("diff_status").parquet(path)
     stored = spark.read.schema(diff.rows.schema).parquet(path)
-    diff = replace(diff, rows=stored, stored=True)
+    diff = replace(diff, rows=stored, only_in=None)
     if strict:
         repeated = diff.duplicate_rows().first()
         for side in ("source", "target"):

@@ -128,6 +128,14 @@ def test_duplicate_keys(spark):
         diff(spark, rows, other).summary().collect()
     with pytest.raises(Exception, match="Duplicate business key in target"):
         diff(spark, other, rows).missing().collect()
+    with pytest.raises(Exception, match="Duplicate business key in source"):
+        diff(spark, [(None, 1.0), (None, 2.0)], other).extra().collect()
+    with pytest.raises(Exception, match="Duplicate business key"):
+        diff(
+            spark, [("a ",), ("A",)], [("a",)], "K string", trim_strings=True, ignore_case=True
+        ).summary().collect()
+    counted = diff(spark, rows, other, on_duplicate_key="count")
+    assert counted.duplicate_rows().first().asDict() == {"source": 2, "target": 0}
     kept = diff(spark, rows, other, on_duplicate_key="keep_first").summary().first()
     assert (kept["rows_compared"], kept["status"]) == (1, "PASS")
     ordered = diff(
@@ -135,8 +143,6 @@ def test_duplicate_keys(spark):
         on_duplicate_key="keep_first", order_by=["o"], compare_columns=["V"],
     )
     assert statuses(ordered) == {1: "match"}
-    counted = diff(spark, rows, other, on_duplicate_key="count")
-    assert counted.duplicate_rows().first().asDict() == {"source": 2, "target": 0}
     df = spark.createDataFrame([(None,), (None,), (1,)], "K int")
     assert count_duplicate_rows(df, ["k"]).first()[0] == 1
 
@@ -194,10 +200,11 @@ def test_names_differing_by_case(spark):
 
 
 def test_names_with_dots_and_reserved_names(spark):
-    s = spark.createDataFrame([(1, 2, 3)], "source_rows int, `a.b` int, __side int")
-    t = spark.createDataFrame([(1, 2, 4)], "source_rows int, `a.b` int, __side int")
-    result = row_diff(s, t, ["source_rows"])
-    assert result.mismatches().first()["MISMATCHED_COLUMNS"] == "__side"
+    s = spark.createDataFrame([(1, 2, 3)], "in_source int, `a.b` int, __k0 int")
+    t = spark.createDataFrame([(1, 2, 4)], "in_source int, `a.b` int, __k0 int")
+    for mode in ("error", "keep_first"):
+        result = row_diff(s, t, ["in_source"], RowDiffOptions(on_duplicate_key=mode))
+        assert result.mismatches().first()["MISMATCHED_COLUMNS"] == "__k0"
 
 
 def test_generated_200k(spark):
@@ -237,11 +244,7 @@ def test_a_hot_key_is_folded_before_the_shuffle(spark):
     s = result.summary().first()
     assert (s["rows_matched"], s["rows_failed"]) == (200_001, 0)
     plan = result.rows._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "partial_min" in plan
-
-
-def test_full_duplicate_error_is_typed():
-    assert DuplicateKeyError("source", 3).rows == 3
+    assert plan.count("Exchange") == 1 and "partial_min" in plan and "Join" not in plan
 
 
 def brute_force(source, target, tolerance, nulls_equal):
@@ -288,6 +291,7 @@ def test_against_brute_force(spark, seed):
     result = diff(
         spark, source, target, "K int, A double, B string, C boolean",
         float_tolerance=tolerance, nulls_equal=nulls_equal,
+        on_duplicate_key=rng.choice(["error", "keep_first"]),
     )
     got = {r["K"]: (r["diff_status"], r["mismatched"]) for r in result.rows.collect()}
     assert got == brute_force(source, target, tolerance, nulls_equal)
