@@ -1,0 +1,32 @@
+"""Joining rows to keys when a few keys may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from countercheck.functions.names import ref
+
+#: This many of the heaviest keys are joined by broadcast. No other key can
+#: have more than one row in a hundred.
+HOT_KEYS = 100
+
+
+def join_on_keys(
+    rows: DataFrame, keyed: DataFrame, names: Sequence[str], weight: str, wanted: Column
+) -> DataFrame:
+    """Rows whose key is in ``keyed`` and ``wanted``, with the other columns of
+    ``keyed``. Its keys are unique and never NULL; ``weight`` counts their rows.
+
+    Rows of the heaviest keys meet a broadcast of at most ``HOT_KEYS`` keys
+    where they are read, so they are not shuffled to one task. All other rows
+    are joined by shuffle.
+    """
+    hot = keyed.orderBy(F.desc(weight), *[ref(n) for n in names]).limit(HOT_KEYS)
+    hot_names = F.broadcast(hot.select(*[ref(n) for n in names]))
+    heavy = rows.join(F.broadcast(hot.filter(wanted)), list(names))
+    cold = keyed.filter(wanted).join(hot_names, list(names), "left_anti")
+    light = rows.join(hot_names, list(names), "left_anti").join(cold, list(names))
+    return heavy.unionByName(light)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from countercheck.functions import values as V
 from countercheck.functions.names import ref, require_columns
@@ -29,13 +31,10 @@ def null_stats(
 
     def counts(i: int, name: str) -> list[Column]:
         value = V.missing_as_null(ref(name), types[name])
-        text = value.cast("string") if V.family(types[name]) != V.OTHER else V.as_text(value, types[name])
-        listed = text.isin(*sentinels) if sentinels else F.lit(False)
-        blank = F.trim(text) == ""
         return [
             F.count_if(value.isNull()).alias(f"n{i}"),
-            F.count_if(blank).alias(f"b{i}"),
-            F.count_if(listed).alias(f"s{i}"),
+            F.count_if(_blank(value, types[name])).alias(f"b{i}"),
+            F.count_if(_listed(value, types[name], sentinels)).alias(f"s{i}"),
         ]
 
     one_row = df.agg(
@@ -82,6 +81,33 @@ def null_stats(
     )
 
 
+def _text(value: Column, dtype: T.DataType) -> Column:
+    return value.cast("string") if V.family(dtype) != V.OTHER else V.as_text(value, dtype)
+
+
+def _blank(value: Column, dtype: T.DataType) -> Column:
+    """Only text can be blank."""
+    return F.trim(value) == "" if V.family(dtype) == V.STRING else F.lit(False)
+
+
+def _listed(value: Column, dtype: T.DataType, sentinels: Sequence[str]) -> Column:
+    """Is the value's text a sentinel? Sentinels that the text of a value of
+    this type can never be are left out first, so that numbers and times need
+    not be turned into text for them."""
+    kind = V.family(dtype)
+    shapes = {V.INTEGER: r"-?\d+", V.BOOLEAN: "true|false"}
+    if V.is_binary_float(dtype):
+        shape = r"-?\d+\.\d+(E-?\d+)?|-?Infinity"
+    elif isinstance(dtype, T.DateType):
+        shape = r"[+-]?\d{4,}-\d\d-\d\d"
+    elif kind == V.DATETIME:
+        shape = r"[+-]?\d{4,}-\d\d-\d\d \d\d:\d\d:\d\d.*"
+    else:
+        shape = shapes.get(kind, "(?s:.*)")
+    possible = [s for s in sentinels if re.fullmatch(shape, s)]
+    return _text(value, dtype).isin(possible) if possible else F.lit(False)
+
+
 def null_score(stats: DataFrame, threshold_percent: float = 100.0) -> DataFrame:
     """One row: the mean completeness of the columns and the verdict, which
     uses the unrounded mean. 100 when there is nothing to measure."""

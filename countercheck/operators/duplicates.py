@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countercheck.functions import values as V
+from countercheck.functions.hot_keys import join_on_keys
 from countercheck.functions.names import ColumnError, free_name, ref, require_columns
 
 
@@ -59,8 +60,8 @@ def duplicate_rows(
 
     The first ``n`` rows in key order belong to the first ``n`` repeated keys
     at most. So with a limit, at most that many keys are broadcast to the
-    table, and the table itself is not shuffled. Without a limit it is a join
-    on the repeated keys, where AQE splits a hot key.
+    table, and the table itself is not shuffled. Without a limit, rows of the
+    most frequent keys meet those by broadcast, and only the others shuffle.
     """
     names = _keys(df, keys)
     n = free_name(df.columns, "occurrence_count")
@@ -71,7 +72,7 @@ def duplicate_rows(
         .dropna(subset=["`" + k.replace("`", "``") + "`" for k in names])
     )
     if sample_limit is None:
-        return df.join(repeated, on=names, how="inner").select(
+        return join_on_keys(df, repeated, names, n, F.lit(True)).select(
             *[ref(c) for c in df.columns], F.col(n)
         )
     first_keys = repeated.orderBy(*[ref(k) for k in names]).limit(sample_limit)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countercheck.functions import values as V
-from countercheck.functions.names import ColumnError, ref, require_columns
+from countercheck.functions.hot_keys import join_on_keys
+from countercheck.functions.names import ColumnError, free_name, ref, require_columns
 
 
 @dataclass(frozen=True)
@@ -116,20 +117,26 @@ def orphans(
 
     With a limit, rows come in key order (then all other columns); they belong
     to the first ``limit`` orphan keys at most, so no more keys than that are
-    broadcast and the child is not shuffled by row. Without a limit it is an
-    anti join, where AQE splits a hot child key.
+    broadcast and the child is not shuffled by row. Without a limit, rows of the
+    most frequent child keys, orphans or not, are told apart by a broadcast of
+    those keys, and only the others shuffle.
     """
     ck, pk = _key_names(child, parent, child_keys, parent_keys)
     whole = child.filter(~_missing(child, ck))
+    keyed = _child_key_counts(child, parent, ck, pk).filter(~F.col("key_missing"))
     if sample_limit is None:
-        keys = parent.select(*[ref(k).alias(f"__p{i}") for i, k in enumerate(pk)])
-        on = F.lit(True)
-        for i, k in enumerate(ck):
-            on = on & (ref(k) == F.col(f"__p{i}"))
-        return whole.join(keys, on, "left_anti")
+        weight = free_name(child.columns, "child_rows")
+        flag = free_name([*child.columns, weight], "orphan")
+        keyed = keyed.select(
+            *[F.col(f"k{i}").alias(k) for i, k in enumerate(ck)],
+            F.col("child_rows").alias(weight),
+            F.col("orphan").alias(flag),
+        )
+        return join_on_keys(whole, keyed, ck, weight, F.col(flag)).select(
+            *[ref(c) for c in child.columns]
+        )
     first = (
-        _child_key_counts(child, parent, ck, pk)
-        .filter("orphan")
+        keyed.filter("orphan")
         .select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(ck)])
         .orderBy(*[ref(k) for k in ck])
         .limit(sample_limit)

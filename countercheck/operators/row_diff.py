@@ -214,9 +214,14 @@ def row_diff(
         .when(all_equal, F.lit(MATCH))
         .otherwise(F.lit(MISMATCH))
     )
-    # Listing columns is the slow part per row, so it is left to rows that need it.
+    # Listing columns is the slow part per row, so it is left to rows that need
+    # it. Names are distinct, so array_except only takes the NULLs away, and it
+    # runs in generated code where array_compact would not.
     nothing = F.array().cast("array<string>")
-    listed = F.array_compact(F.array(*[F.when(~equal[c], F.lit(c)) for c in columns]))
+    null_name = F.array(F.lit(None).cast("string"))
+    listed = F.array_except(
+        F.array(*[F.when(~equal[c], F.lit(c)) for c in columns]), null_name
+    )
     differ = (F.col("__s_rows") > 0) & (F.col("__t_rows") > 0) & ~all_equal
     source_rows = free_name(keys, "source_rows")
     target_rows = free_name([*keys, source_rows], "target_rows")

@@ -194,3 +194,59 @@ def test_foreign_key_sweep(spark):
     tables = {"orders": orders(spark, [10, 99]), "customers": parents(spark)}
     row = integrity.foreign_key_sweep(tables, [fk, fk]).collect()
     assert len(row) == 2 and row[0]["orphan_rows"] == 1 and row[0]["foreign_key"] == "fk1"
+
+
+@pytest.mark.parametrize(
+    ("kind", "values", "sentinels", "expected"),
+    [
+        ("int", [-999, 5, 0], ["-999", "0", "5.0", "x"], 2),
+        ("double", [-999.0, 1.5, 1e10], ["-999", "1.5", "1.0E10"], 2),
+        ("boolean", [True, False], ["true"], 1),
+        ("string", ["-", "NA ", "NA", "two\nlines"], ["-", "NA", "two\nlines"], 3),
+        ("date", ["1900-01-01", "2000-01-01"], ["1900-01-01"], 1),
+        ("timestamp_ntz", ["1900-01-01", "2000-01-01"], ["1900-01-01", "2000-01-01 00:00:00"], 1),
+        ("decimal(9,2)", ["-999", "1.50"], ["-999", "1.50", "-999.00"], 2),
+    ],
+)
+def test_sentinels_match_the_text_of_any_type(spark, kind, values, sentinels, expected):
+    df = spark.createDataFrame([(str(v),) for v in values], "v string")
+    df = df.select(F.col("v").cast(kind).alias("v"))
+    assert completeness.null_stats(df, ["v"], sentinels).first()["sentinel_count"] == expected
+    text = df.filter(F.col("v").cast("string").isin(sentinels)).count()
+    assert text == expected
+
+
+def test_unlimited_lists_keep_hot_keys_out_of_the_shuffle(spark):
+    hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000)
+    child = spark.range(30_000).select(hot.alias("k"), F.col("id").alias("orphan"))
+    parent = spark.range(5000).select(F.col("id").alias("p"))
+
+    for gone in (7, 8):  # the hot key is an orphan, or a common one is
+        listed = integrity.orphans(child, parent.filter(F.col("p") != gone), ["k"], ["p"], None)
+        expected = child.filter(F.col("k") == gone)
+        assert listed.exceptAll(expected).count() == 0 == expected.exceptAll(listed).count()
+
+    rows = duplicates.duplicate_rows(child, ["k"], None)
+    counts = {r["k"]: r["count"] for r in child.groupBy("k").count().collect()}
+    got = rows.groupBy("k", "occurrence_count").count().collect()
+    assert {r["k"]: r["count"] for r in got} == {k: n for k, n in counts.items() if n > 1}
+    assert all(r["occurrence_count"] == r["count"] for r in got)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "BroadcastExchange" in plan
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "N/A")], "`k.id` int, `t.x` string")
+    assert duplicates.duplicate_rows(df, ["K.ID"]).count() == 2
+    assert duplicates.duplicate_rows(df, ["k.id"], None).count() == 2
+    assert {r["column"]: r["sentinel_count"] for r in completeness.null_stats(df).collect()} == {
+        "k.id": 0, "t.x": 1,
+    }
+    parent = spark.createDataFrame([(1,)], "`p.id` int")
+    for limit in (10, None):
+        assert integrity.orphans(df, parent, ["k.id"], ["p.id"], limit).first()["t.x"] == "N/A"
+    assert integrity.orphan_summary(df, parent, ["k.id"], ["p.id"]).first()["orphan_rows"] == 1
+    by_group = counts.record_count_by_group(df, df, ["k.id"])
+    assert [r["source_count"] for r in by_group.collect()] == [2, 1]
+    compared = aggregates.aggregate_compare(df, df, [Metric("k.id", "SUM")], ["t.x"])
+    assert compared.filter("status = 'PASS'").count() == 3
