@@ -242,8 +242,7 @@ EVENT = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "val
 
 
 def file_checksums(spark, folder):
-    """Every given file against itself, hashed twice by two algorithms' worth
-    of reading: the tables as source, the same folder as target."""
+    """Every given file against itself: the folder as source and as target."""
     sides = [files.checksums(files.list_files(spark, folder, "*.parquet")) for _ in range(2)]
     return files.compare_files(*sides)
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from countercheck.functions.names import ColumnError
 from countercheck.operators.row_diff import (
-    DuplicateKeyError,
     RowDiffOptions,
     count_duplicate_rows,
     row_diff,
