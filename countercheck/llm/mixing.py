@@ -114,18 +114,19 @@ def mix(
     text: str = "text",
     weights: tuple[int, ...] = (5, 2, 1),
     seed: int = SEED,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How often to take each document so that sources meet their target weights.
 
-    Returns the columns of ``record`` with ``size`` (words of the text),
+    Returns the columns of ``record`` and ``carry`` with ``size`` (words of the text),
     ``source_size``, ``target`` and ``taken`` (words taken, repeats counted).
-    Names of ``record`` that meet one of these give way to it. Sources in the
-    order of their code points, null last, weigh ``weights`` in turn.
+    Names that meet one of these give way to it. Sources in the order of their code points, null last, weigh ``weights`` in turn.
 
     Documents are counted by source and exact size; from these counts a task
     per source fits the budget (see ``fit``). It sees a row per distinct size,
     not per document. Which documents of a size are taken is decided by a
-    seeded hash of record, source and text; the same table gives the same mix.
+    seeded hash of record, source and text, whatever ``carry`` holds; the same
+    table gives the same mix.
     Documents of one size are counted in LANES hash ranges, and only the place
     in its own range is ever ranked, so a hot source or size spreads.
 
@@ -137,7 +138,7 @@ def mix(
     columns = [F.col(f"`{c}`") for c in dict.fromkeys([*record, source, text])]
     digest = put(
         df.select(
-            *[F.col(f"`{c}`") for c in record],
+            *[F.col(f"`{c}`") for c in [*record, *carry]],
             key.alias("mix key"),
             F.xxhash64(F.lit(seed), *columns).alias("mix hash"),
             words(F.col(f"`{text}`")).alias("mix size"),
@@ -176,5 +177,19 @@ def mix(
     out = put(out, {"mix spot": spot})
     taken = F.col("size") * (F.col("copies") + (F.col("mix spot") <= F.col("mix more")).cast("long"))
     names = ["size", "source_size", "target"]
-    kept = [c for c in record if c.lower() not in {*names, "taken"}]
+    kept = [c for c in [*record, *carry] if c.lower() not in {*names, "taken"}]
     return out.select(*[F.col(f"`{c}`") for c in kept], *names, taken.alias("taken"))
+
+
+def take(df: DataFrame, record: list[str], **options) -> DataFrame:
+    """The rows that the mix takes, with the columns of the table, each as often as it takes it.
+
+    Documents without words, which are no part of any budget, are left out.
+    """
+    row = "mix row"
+    rows = stored(put(df, {row: F.monotonically_increasing_id()}), "mix-rows")
+    picks = mix(rows, record, carry=(row,), **options).filter("taken > 0")
+    picks = stored(picks.select(row, (F.col("taken") / F.col("size")).cast("int").alias("mix copies")), "mix-taken")
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("mix copies")))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return rows.join(picks, row).select(*own, copies.alias("mix copy")).select(*own)

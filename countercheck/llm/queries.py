@@ -13,36 +13,44 @@ from countercheck.llm.support import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    both = bpe.round_trip(docs)
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+def digests(docs: DataFrame, *columns: str, ids: bool = False) -> DataFrame:
+    """Token counts and digests of ids and decoded text, beside some columns of the documents."""
+    both = bpe.round_trip(docs.select(*columns, "text"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select(
-        "doc_id",
+        *columns,
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *(["ids"] if ids else []),
     )
 
 
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(table(spark, folder, "documents"), "doc_id")
+
+
 def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def held_out() -> Column:
+    """Whether a document's label is kept from training; not for a null key."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def learn_quality(spark: SparkSession, folder: str, docs: DataFrame):
     """Weights from the labels whose keys are not held out."""
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    return quality.train(docs, table(spark, folder, "labels").filter(~held_out))
+    return quality.train(docs, table(spark, folder, "labels").filter(~held_out()))
 
 
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     scored = quality.score(docs, learn_quality(spark, folder, docs))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     return scored.select(
         "doc_id",
-        held_out.alias("held_out"),
+        held_out().alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
