@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countercheck.llm import bpe, forest, mixing, neighbours, pii, quality, shards, simhash
+from countercheck.llm import bpe, forest, mixing, neighbours, passages, pii, quality, shards, simhash, urls
 from countercheck.llm.support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,92 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return digests(table(spark, folder, "documents"), "doc_id")
 
 
+FIRST_DAY = "2024-01-01"
+
+
+def _number(text: Column) -> Column:
+    """0 to 65535 from a text, as the SQL below has it."""
+    return F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("int")
+
+
+def dated_lists(pages: DataFrame) -> DataFrame:
+    """Entries for hosts, domains and path prefixes of the pages, by a rule on their names.
+
+    The tables hold no lists. About a third of the names is blocked from some
+    day on and a quarter of the others allowed; half of those are removed later,
+    and some of them added again.
+    """
+    host, labels = urls.host_of(F.col("url")), F.split(urls.host_of(F.col("url")), r"\.")
+    segments = F.filter(F.split(urls.path_of(F.col("url")), "/"), lambda s: s != "")
+
+    def name(kind: str, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+    def last(n: int) -> Column:
+        return F.when(F.size(labels) >= n, F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), "."))
+
+    prefix = F.when(F.size(segments) >= 1, F.concat_ws("/", host, F.get(segments, F.lit(0))))
+    names = F.array(name("host", host), name("domain", last(2)), name("domain", last(3)), name("prefix", prefix))
+    names = pages.filter(host.isNotNull()).select(F.explode(names).alias("n")).select("n.*").filter("key is not null")
+    names = names.distinct().withColumn("x", _number(F.concat_ws(":", "kind", "key")))
+    names = names.withColumn("list", F.when(F.col("x") % 3 == 0, "block").when(F.col("x") % 4 == 1, "allow"))
+    start, x = F.col("x") % 200, F.col("x")
+    first = F.struct(start.alias("after"), F.lit("add").alias("action"))
+    gone = F.when(x % 2 == 0, F.struct((start + 40 + x % 50).alias("after"), F.lit("remove").alias("action")))
+    again = F.when(x % 10 == 0, F.struct((start + 100 + x % 50).alias("after"), F.lit("add").alias("action")))
+    events = names.filter("list is not null").select("list", "kind", "key", F.explode(F.array_compact(F.array(first, gone, again))).alias("e"))
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("e.after"))
+    return events.select("list", "kind", "key", day.alias("day"), F.col("e.action").alias("action"))
+
+
+def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    captured = F.date_add(F.lit(FIRST_DAY).cast("date"), _number(F.col("page_id").cast("string")) % 366)
+    out = urls.filter_urls(pages.withColumn("day", captured), dated_lists(pages))
+    dates = [F.col(c).cast("string").alias(c) for c in ("day", "valid_from", "valid_to")]
+    return out.select("page_id", "host", *dates, "decision", "entry_kind", "entry_key")
+
+
+_URL = "'" + urls.URL + "'"
+OP2_SQL = f"""
+WITH parts AS (
+  SELECT page_id, nullif(rtrim(lower(regexp_extract(url, {_URL}, 1)), '.'), '') AS host,
+         [s FOR s IN string_split(regexp_extract(url, {_URL}, 2), '/') IF s <> ''] AS segments,
+         DATE '{FIRST_DAY}' + ('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 4))::INT % 366 AS day
+  FROM pages),
+labels AS (SELECT *, string_split(host, '.') AS l FROM parts WHERE host IS NOT NULL),
+names AS (
+  SELECT 'host' AS kind, host AS key FROM labels
+  UNION SELECT 'domain', array_to_string(l[len(l) - 1:], '.') FROM labels WHERE len(l) >= 2
+  UNION SELECT 'domain', array_to_string(l[len(l) - 2:], '.') FROM labels WHERE len(l) >= 3
+  UNION SELECT 'prefix', host || '/' || segments[1] FROM labels WHERE len(segments) >= 1),
+listed AS (
+  SELECT *, CASE WHEN x % 3 = 0 THEN 'block' ELSE 'allow' END AS list
+  FROM (SELECT *, ('0x' || substr(md5(kind || ':' || key), 1, 4))::INT AS x FROM names)
+  WHERE x % 3 = 0 OR x % 4 = 1),
+spans AS (
+  SELECT list, kind, lower(key) AS key, DATE '{FIRST_DAY}' + x % 200 AS valid_from,
+         CASE WHEN x % 2 = 0 THEN DATE '{FIRST_DAY}' + (x % 200 + 40 + x % 50) ELSE DATE '9999-12-31' END AS valid_to
+  FROM listed
+  UNION ALL
+  SELECT list, kind, lower(key), DATE '{FIRST_DAY}' + (x % 200 + 100 + x % 50), DATE '9999-12-31'
+  FROM listed WHERE x % 10 = 0),
+hits AS (
+  SELECT p.page_id, s.*, CASE kind WHEN 'domain' THEN len(string_split(key, '.')) WHEN 'host' THEN 1000
+                         ELSE 2000 + len(string_split(key, '/')) - 1 END AS weight
+  FROM parts p JOIN spans s ON p.day >= s.valid_from AND p.day < s.valid_to AND (
+    (kind = 'host' AND host = key)
+    OR (kind = 'domain' AND ends_with('.' || host, '.' || key))
+    OR (kind = 'prefix' AND starts_with(host || '/' || array_to_string(segments, '/') || '/', key || '/')))),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY weight DESC, list, kind, key, valid_from) AS n FROM hits)
+SELECT p.page_id, p.host, CAST(p.day AS VARCHAR) AS day, CAST(valid_from AS VARCHAR) AS valid_from,
+       CAST(valid_to AS VARCHAR) AS valid_to, coalesce(list, 'none') AS decision,
+       kind AS entry_kind, key AS entry_key
+FROM parts p LEFT JOIN best b ON p.page_id = b.page_id AND n = 1
+"""
+
+
 def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -97,8 +183,13 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_bpe": (op1_bpe, None),
+    "op2_urls": (op2_urls, OP2_SQL),
     "op3_nearest": (op3_nearest, None),
     "op4_quality": (op4_quality, None),
     "op5_shards": (op5_shards, None),
@@ -106,4 +197,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op7_pii": (op7_pii, None),
     "op8_mix": (op8_mix, None),
     "op9_simhash": (op9_simhash, None),
+    "op10_passages": (op10_passages, None),
 }
