@@ -44,26 +44,25 @@ def shape(word: str) -> str:
     return "".join(runs[:12])
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        own = xxhash.xxh32_intdigest(word.lower().encode())
+        found = self[word] = own << 32 | xxhash.xxh32_intdigest(shape(word).encode(), 1)
+        return found
+
+
 class Features:
-    """Turns texts into weight numbers; remembers the hashes of CACHED words at most."""
+    """Turns texts into weight numbers; remembers words between texts, CACHED or so."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def _hash(self, word: str) -> int:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > CACHED:
-                self.known.clear()
-            own = xxhash.xxh32_intdigest(word.lower().encode())
-            found = own << 32 | xxhash.xxh32_intdigest(shape(word).encode(), 1)
-            self.known[word] = found
-        return found
+        self.known = _Hashes()
 
     def readings(self, text: str) -> list[np.ndarray]:
         """Weight numbers of words, word pairs, shapes and shape pairs."""
         words = text.split()
-        both = np.fromiter(map(self._hash, words), np.uint64, len(words))
+        if len(self.known) > CACHED:
+            self.known.clear()
+        both = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         word, form = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
         form[1:] += SAME * (word[1:] == word[:-1])
         out = []
