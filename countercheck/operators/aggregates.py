@@ -27,12 +27,34 @@ class Metric:
         return self.alias or f"{self.function}_{self.column}"
 
 
+#: Sums of floats depend on the order of the rows. Two of them are equal if they
+#: differ by no more than this share of the sum of absolute values.
+NOISE = 1e-9
+
+
 def _expression(metric: Metric, value: Column, dtype: T.DataType) -> Column:
+    """The aggregate: a double for means and of floats, otherwise a decimal."""
     if metric.function == "COUNT":
-        return F.count(value)
+        return F.count(value).cast("decimal(38,0)")
     if metric.function == "COUNT_DISTINCT":
-        return F.count_distinct(value)
-    return {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}[metric.function](value)
+        return F.count_distinct(value).cast("decimal(38,0)")
+    if isinstance(dtype, T.IntegralType):
+        value = value.cast("decimal(28,0)")
+    if metric.function == "AVG":
+        return F.try_divide(F.sum(value).cast("double"), F.count(value))
+    found = {"SUM": F.sum, "MIN": F.min, "MAX": F.max}[metric.function](value)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return found.cast("double")
+    scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+    return found.cast(T.DecimalType(38, scale))
+
+
+def _size(metric: Metric, value: Column, dtype: T.DataType) -> Column:
+    """The sum or mean of absolute values that NOISE is a share of; 0 where order is no matter."""
+    if metric.function not in ("SUM", "AVG") or not isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.lit(0.0)
+    total = F.sum(F.abs(value.cast("double")))
+    return F.try_divide(total, F.count(value)) if metric.function == "AVG" else total
 
 
 def _one_side(df: DataFrame, groups: list[str], metrics: Sequence[Metric]) -> DataFrame:
@@ -46,7 +68,8 @@ def _one_side(df: DataFrame, groups: list[str], metrics: Sequence[Metric]) -> Da
                 f"{metric.function} needs a number, but '{name}' is {types[name].simpleString()}"
             )
         value = V.missing_as_null(ref(name), types[name])
-        aggregates.append(_expression(metric, value, types[name]).cast("double").alias(f"m{i}"))
+        aggregates.append(_expression(metric, value, types[name]).alias(f"m{i}"))
+        aggregates.append(_size(metric, value, types[name]).alias(f"n{i}"))
     by_group = [V.missing_as_null(ref(g), types[g]).alias(g) for g in groups]
     return df.groupBy(*by_group).agg(*aggregates)
 
@@ -62,6 +85,10 @@ def aggregate_compare(
 
     All metrics of a side come from one aggregation. Only its results, one row
     per group, are then brought together. Missing group values are equal.
+
+    Counts, and sums and extremes of whole and decimal numbers, are compared
+    exactly, of any size; values are shown as doubles. Sums and means of floats
+    are equal within NOISE, as their last digits depend on the order of rows.
     """
     if not metrics:
         raise ValueError("At least one aggregation is required.")
@@ -75,37 +102,36 @@ def aggregate_compare(
     sides = [
         _one_side(frame, groups, metrics).select(
             *[ref(g) for g in groups],
-            *[F.col(f"m{i}").alias(f"{tag}{i}") for i in range(len(metrics))],
+            *[F.col(f"{own}{i}").alias(f"{tag}{own}{i}") for i in range(len(metrics)) for own in "mn"],
         )
         for tag, frame in (("s", source), ("t", target))
     ]
-    together = (
-        sides[0]
-        .unionByName(sides[1], allowMissingColumns=True)
-        .groupBy(*[ref(g) for g in groups])
-        .agg(
-            *[F.max(f"{t}{i}").alias(f"{t}{i}") for i in range(len(metrics)) for t in ("s", "t")]
+    kinds = {f.name: f.dataType for side in sides for f in side.schema.fields}
+    together = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    both = [f"{t}{own}{i}" for i in range(len(metrics)) for t in "st" for own in "mn"]
+    together = together.groupBy(*[ref(g) for g in groups]).agg(*[F.max(c).alias(c) for c in both])
+
+    def compared(i: int, metric: Metric) -> Column:
+        own = [kinds[f"{t}m{i}"] for t in "st"]
+        common: T.DataType = T.DoubleType()
+        if all(isinstance(kind, T.DecimalType) for kind in own):
+            common = T.DecimalType(38, max(kind.scale for kind in own))
+        s, t = (F.coalesce(F.col(f"{t}m{i}").cast(common), F.lit(0).cast(common)) for t in "st")
+        size = F.greatest(F.coalesce(f"sn{i}", F.lit(0.0)), F.coalesce(f"tn{i}", F.lit(0.0)))
+        difference = (t - s).cast("double")
+        return F.struct(
+            F.lit(metric.name).alias("metric"),
+            s.cast("double").alias("source_value"),
+            t.cast("double").alias("target_value"),
+            F.when(F.abs(difference) <= NOISE * size, 0.0).otherwise(difference).alias("difference"),
         )
-    )
-    zero = F.lit(0.0)
-    per_metric = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(m.name).alias("metric"),
-                    F.coalesce(F.col(f"s{i}"), zero).alias("source_value"),
-                    F.coalesce(F.col(f"t{i}"), zero).alias("target_value"),
-                )
-                for i, m in enumerate(metrics)
-            ]
-        )
-    )
+
+    per_metric = F.explode(F.array(*[compared(i, m) for i, m in enumerate(metrics)]))
     long = together.select(*[ref(g) for g in groups], per_metric.alias("r")).select(
         *[ref(g) for g in groups], "r.*"
     )
     return (
-        long.withColumn("difference", F.col("target_value") - F.col("source_value"))
-        .withColumn("v", V.variance_percent(F.col("source_value"), F.col("difference")))
+        long.withColumn("v", V.variance_percent(F.col("source_value"), F.col("difference")))
         .withColumn("variance_percent", F.round("v", 4))
         .withColumn("status", V.verdict(F.col("v") <= tolerance_percent))
         .drop("v")

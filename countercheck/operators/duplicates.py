@@ -53,7 +53,7 @@ def duplicate_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def duplicate_rows(
-    df: DataFrame, keys: Sequence[str], sample_limit: int | None = 1000
+    df: DataFrame, keys: Sequence[str], sample_limit: int | None = None
 ) -> DataFrame:
     """Rows of repeated keys with their count, ordered by key and then by all
     other columns. Keys with a missing part are left out.

@@ -48,8 +48,6 @@ MODULE_CODES = {
     "Data Profiling": "DP",
     "File Comparison": "FC",
 }
-HISTORY_LIMIT = 200
-DASHBOARD_LIMIT = 500
 ARCHIVE, RESTORE, DELETE = "archive", "restore", "delete"
 
 
@@ -76,7 +74,7 @@ def run_history(
     project_id: str | None = None,
     module: str | None = None,
     suite_id: str | None = None,
-    limit: int | None = HISTORY_LIMIT,
+    limit: int | None = None,
     include_archived: bool = False,
 ) -> DataFrame:
     """The newest runs that match, newest first; ties in run id order."""

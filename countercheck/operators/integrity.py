@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countercheck.functions import values as V
-from countercheck.functions.hot_keys import join_on_keys
 from countercheck.functions.names import ColumnError, free_name, ref, require_columns
 
 
@@ -111,30 +110,25 @@ def orphans(
     parent: DataFrame,
     child_keys: Sequence[str],
     parent_keys: Sequence[str],
-    sample_limit: int | None = 1000,
+    sample_limit: int | None = None,
 ) -> DataFrame:
     """Child rows with a whole key that names no parent.
 
-    With a limit, rows come in key order (then all other columns); they belong
+    Without a limit this is one anti join of plain reads, so that adaptive
+    execution splits a key that many child rows share. With a limit, rows come in key order (then all other columns); they belong
     to the first ``limit`` orphan keys at most, so no more keys than that are
-    broadcast and the child is not shuffled by row. Without a limit, rows of the
-    most frequent child keys, orphans or not, are told apart by a broadcast of
-    those keys, and only the others shuffle.
+    broadcast and the child is not shuffled by row.
     """
     ck, pk = _key_names(child, parent, child_keys, parent_keys)
     whole = child.filter(~_missing(child, ck))
-    keyed = _child_key_counts(child, parent, ck, pk).filter(~F.col("key_missing"))
     if sample_limit is None:
-        weight = free_name(child.columns, "child_rows")
-        flag = free_name([*child.columns, weight], "orphan")
-        keyed = keyed.select(
-            *[F.col(f"k{i}").alias(k) for i, k in enumerate(ck)],
-            F.col("child_rows").alias(weight),
-            F.col("orphan").alias(flag),
-        )
-        return join_on_keys(whole, keyed, ck, weight, F.col(flag)).select(
-            *[ref(c) for c in child.columns]
-        )
+        names = [free_name(child.columns, f"parent_key_{i}") for i in range(len(pk))]
+        parents = parent.select(*[ref(k).alias(n) for k, n in zip(pk, names, strict=True)]).dropna()
+        on = F.lit(True)
+        for k, n in zip(ck, names, strict=True):
+            on = on & (ref(k) == F.col(n))
+        return whole.join(parents, on, "left_anti")
+    keyed = _child_key_counts(child, parent, ck, pk).filter(~F.col("key_missing"))
     first = (
         keyed.filter("orphan")
         .select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(ck)])

@@ -328,6 +328,7 @@ def _rank(
     return found.select(
         "column",
         F.when(F.col("low").isNull() | F.col("high").isNull(), missed.cast("double"))
+        .when(F.col("low") == F.col("high"), F.col("low"))  # two infinities have no difference
         .otherwise(F.col("low") + (F.col("high") - F.col("low")) / 2)
         .alias("median"),
     )

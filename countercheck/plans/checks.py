@@ -71,7 +71,7 @@ def _record_count(source, target, group_by=(), **tolerance) -> Result:
     return sections, lambda stored: counts.record_count(source, target, **tolerance)
 
 
-def _duplicate(source, target, keys: Sequence[str] = (), sample_limit=1000) -> Result:
+def _duplicate(source, target, keys: Sequence[str] = (), sample_limit=None) -> Result:
     rows = duplicates.duplicate_rows(source, keys, sample_limit)
     return {"Duplicate Rows": rows}, lambda stored: duplicates.duplicate_summary(source, keys)
 
@@ -89,7 +89,7 @@ def _aggregation(source, target, metrics=(), **settings) -> Result:
 
 
 def _integrity(
-    source, target, child_keys=(), parent_keys=(), sample_limit=1000, **tolerance
+    source, target, child_keys=(), parent_keys=(), sample_limit=None, **tolerance
 ) -> Result:
     rows = integrity.orphans(source, target, child_keys, parent_keys, sample_limit)
     return {"Orphan Rows": rows}, lambda stored: integrity.orphan_summary(

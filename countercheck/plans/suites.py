@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from countercheck.plans.checks import Check, CheckError, Outcome, run_check
-from countercheck.sinks.reports import prefixed_name
+from countercheck.sinks.reports import with_code
 from countercheck.sinks.run_table import RunTable
 
 # Modules that can be saved as a suite.
@@ -50,7 +50,7 @@ class Suite:
             source=config.pop("source", None),
             target=config.pop("target", None),
             settings=config.pop("settings", {}),
-            name=prefixed_name(self.module, self.name),
+            name=with_code(self.module, self.name),
         )
 
 

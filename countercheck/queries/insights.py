@@ -39,6 +39,14 @@ def insight_null(spark, folder):
     return _finding("customer", "c_custkey", "c_name", lambda c: F.lit(None).cast("string"))(spark, folder)
 
 
+def insight_null_source(spark, folder):
+    """Values that only the target has."""
+    target = D.table(spark, folder, "customer").select("c_custkey", "c_name")
+    source = target.withColumn("c_name", F.lit(None).cast("string"))
+    diff = row_diff(source, target, ["c_custkey"])
+    return I.explain_columns(I.column_evidence(I.mismatched_cells(diff))).select(*SHOWN)
+
+
 def insight_hits(spark, folder):
     """Differing rows per column, with their share of all differing rows."""
     diff = row_diff(D.orders(spark, folder), D.target_orders(spark, folder), ["o_orderkey"])
@@ -117,6 +125,11 @@ def _constant(expression: str, test: str) -> str:
 
 QUERIES = {
     "insight_hits": (insight_hits, HITS_SQL),
+    "insight_null_source": (
+        insight_null_source,
+        """SELECT 'null-on-source' AS kind, 'c_name' AS "column", count(*) AS affected_rows,
+       CAST(1.0 AS DOUBLE) AS coverage FROM customer WHERE c_name IS NOT NULL""",
+    ),
     "insight_null": (
         insight_null,
         _finding_sql(

@@ -23,17 +23,18 @@ def run_state(spark, folder):
 
 def run_history(spark, folder):
     """The newest 200 runs of one module that are not archived."""
-    return H.run_history(D.current_runs(spark, folder), module="Duplicate Validation").select(*SHOWN)
+    return H.run_history(D.current_runs(spark, folder), module="Duplicate Validation", limit=200).select(*SHOWN)
 
 
 def run_totals(spark, folder):
-    """Totals over the latest 500 runs, as the dashboard shows them."""
-    return H.run_totals(H.run_history(D.current_runs(spark, folder), limit=H.DASHBOARD_LIMIT))
+    return H.run_totals(_all(spark, folder))
 
 
-def project_report(spark, folder):
-    history = H.run_history(D.current_runs(spark, folder), limit=H.DASHBOARD_LIMIT)
-    return H.project_report(history, "demo")["Runs by Module"]
+def _project(title):
+    def query(spark, folder):
+        return H.project_report(_all(spark, folder), "demo")[title]
+
+    return query
 
 
 def _all(spark, folder):
@@ -54,7 +55,9 @@ def runtime_trend(spark, folder):
 
 COUNTS = """count(*) FILTER (WHERE status = 'PASS') AS passed,
   count(*) FILTER (WHERE status = 'FAIL') AS failed, count(*) FILTER (WHERE status = 'ERROR') AS errored"""
-LATEST = "(SELECT * FROM current_runs WHERE NOT archived ORDER BY started_at DESC, run_id LIMIT 500)"
+CURRENTLY = "(SELECT * FROM current_runs WHERE NOT archived)"
+TOTALS = f"""count(*) AS total_runs, {COUNTS},
+  round(count(*) FILTER (WHERE status = 'PASS') / count(*) * 100.0, 2) AS pass_rate_percent FROM {CURRENTLY}"""
 
 # One suite per customer; its last run is the latest event of that user.
 SEGMENT_MODULES = {
@@ -145,10 +148,25 @@ def json_report(spark, folder):
     diff = row_diff(D.orders(spark, folder), D.target_orders(spark, folder), ["o_orderkey"])
     sections = {"Missing in Target": diff.missing(), "Extra in Target": diff.extra()}
     path = storage.new_folder(spark, "json-report")
-    reports.write_json_report(spark, path, "Orders", {}, sections)
-    return _section_counts(
-        {t: spark.read.json(f"{path}/{reports.export_name(t)}") for t in sections}
-    )
+    written = reports.write_json_report(spark, path, "Orders", {}, sections)
+    return _section_counts({t: spark.read.json(written[t]) for t in sections})
+
+
+TITLES = ("A B", "A/B", "\u5dee\u5f02", "\u7f3a\u5931", "Summary", "report")
+
+
+def report_titles(spark, folder):
+    """Sections whose titles are alike or mean something else to a file system, read back."""
+    orders = D.orders(spark, folder)
+    status = F.pmod(F.col("o_orderkey"), F.lit(len(TITLES)))
+    sections = {t: orders.filter(status == i) for i, t in enumerate(TITLES)}
+    path = storage.new_folder(spark, "titles")
+    written = reports.write_csv_report(spark, path, {}, sections)
+    return _section_counts({t: spark.read.csv(written[t], header=True) for t in sections})
+
+
+REPORT_TITLES_SQL = f"""SELECT list_value{TITLES}[CAST(o_orderkey % {len(TITLES)} AS INT) + 1] AS section, count(*) AS rows,
+  CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders GROUP BY 1"""
 
 
 def detail_roundtrip(spark, folder):
@@ -178,14 +196,10 @@ def export_manifest(spark, folder):
     return reports.export_manifest(D.runs(spark, folder)).select("folder", "run_id", "module", "name", "status")
 
 
-MANIFEST_SQL = f"""WITH {D.RUNS_SQL}, named AS (
-  SELECT *, CASE module WHEN 'Duplicate Validation' THEN 'DV_' WHEN 'Record Count Validation' THEN 'RC_'
-       WHEN 'Full Data Validation' THEN 'FD_' WHEN 'Schema Validation' THEN 'SC_' ELSE 'RI_' END
-       || replace(name, ' ', '_') AS base FROM runs
-)
-SELECT CASE WHEN row_number() OVER (PARTITION BY base ORDER BY started_at, run_id) = 1 THEN base
-            ELSE base || '_' || substr(run_id, 1, 8) END AS folder, run_id, module, name, status
-FROM named"""
+MANIFEST_SQL = f"""WITH {D.RUNS_SQL}
+SELECT CASE module WHEN 'Duplicate Validation' THEN 'DV-' WHEN 'Record Count Validation' THEN 'RC-'
+       WHEN 'Full Data Validation' THEN 'FD-' WHEN 'Schema Validation' THEN 'SC-' ELSE 'RI-' END
+       || run_id AS folder, run_id, module, name, status FROM runs"""
 
 
 def suite_batch(spark, folder):
@@ -221,12 +235,17 @@ WHERE module = 'Duplicate Validation' AND NOT archived ORDER BY started_at DESC,
     ),
     "run_totals": (
         run_totals,
-        f"""{CURRENT} SELECT count(*) AS total_runs, {COUNTS},
-  round(count(*) FILTER (WHERE status = 'PASS') / count(*) * 100.0, 2) AS pass_rate_percent FROM {LATEST}""",
+        f"{CURRENT} SELECT {TOTALS}",
     ),
     "project_report": (
-        project_report,
-        f"{CURRENT} SELECT module, count(*) AS total, {COUNTS} FROM {LATEST} GROUP BY module",
+        _project("Runs by Module"),
+        f"{CURRENT} SELECT module, count(*) AS total, {COUNTS} FROM {CURRENTLY} GROUP BY module",
+    ),
+    "project_summary": (_project("Summary"), f"{CURRENT} SELECT 'demo' AS project, {TOTALS}"),
+    "project_history": (
+        _project("Run History"),
+        f"""{CURRENT} SELECT started_at, module, name, status, runtime_seconds, coalesce(error, '') AS error_message
+FROM {CURRENTLY}""",
     ),
     "pass_rate_by_day": (
         pass_rate_by_day,
@@ -271,6 +290,7 @@ SELECT CASE WHEN count(*) OVER () = 1 THEN 'LINEITEM' ELSE 'LINEITEM_' || CAST(n
     "batch_files": (batch_files, BATCH_FILES_SQL),
     "csv_report": (csv_report, SECTIONS_SQL),
     "json_report": (json_report, SECTIONS_SQL),
+    "report_titles": (report_titles, REPORT_TITLES_SQL),
     "detail_roundtrip": (detail_roundtrip, SECTIONS_SQL),
     "export_manifest": (export_manifest, MANIFEST_SQL),
     "suite_batch": (suite_batch, None),

@@ -87,6 +87,34 @@ def agg_compare_grouped(spark, folder):
     )
 
 
+def agg_compare_self(spark, folder):
+    """The same rows in another order and other partitions differ in nothing, at tolerance 0."""
+    orders = D.orders(spark, folder)
+    moved = orders.repartition(7, "o_custkey")
+    same = aggregates.aggregate_compare(orders, moved, METRICS, ["o_orderstatus"])
+    return same.select("o_orderstatus", "metric", "difference", "status")
+
+
+AGG_SELF_SQL = f"""SELECT o_orderstatus, unnest([{', '.join(repr(m.name) for m in METRICS)}]) AS metric,
+  CAST(0 AS DOUBLE) AS difference, 'PASS' AS status FROM (SELECT DISTINCT o_orderstatus FROM orders)"""
+LARGE = 9007199254740993
+
+
+def agg_exact(spark, folder):
+    """Whole numbers beyond 2**53 that differ by one in one row."""
+    key = F.col("o_orderkey").cast("bigint")
+    source = D.orders(spark, folder).select((key + LARGE).alias("v"))
+    last = D.orders(spark, folder).agg(F.max("o_orderkey").alias("last"))
+    target = D.orders(spark, folder).crossJoin(F.broadcast(last))
+    target = target.select((key + LARGE - (key == F.col("last")).cast("bigint")).alias("v"))
+    wanted = [aggregates.Metric("v", f) for f in ("SUM", "MAX", "MIN", "COUNT")]
+    return aggregates.aggregate_compare(source, target, wanted).select("metric", "difference", "status")
+
+
+AGG_EXACT_SQL = """SELECT * FROM (VALUES ('SUM_v', CAST(-1 AS DOUBLE), 'FAIL'), ('MAX_v', CAST(-1 AS DOUBLE), 'FAIL'),
+  ('MIN_v', CAST(0 AS DOUBLE), 'PASS'), ('COUNT_v', CAST(0 AS DOUBLE), 'PASS')) t(metric, difference, status)"""
+
+
 def agg_summary(spark, folder):
     return aggregates.aggregate_summary(agg_compare_grouped(spark, folder))
 
@@ -285,6 +313,8 @@ QUERIES = {
     "agg_compare": (agg_compare, _aggregate_sql(None)),
     "agg_compare_grouped": (agg_compare_grouped, _aggregate_sql("o_orderpriority")),
     "agg_summary": (agg_summary, AGG_SUMMARY_SQL),
+    "agg_compare_self": (agg_compare_self, AGG_SELF_SQL),
+    "agg_exact": (agg_exact, AGG_EXACT_SQL),
     "dup_groups": (
         dup_groups,
         "SELECT l_orderkey, l_linenumber, count(*) AS occurrence_count FROM lineitem "

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from countercheck.functions import values as V
 from countercheck.functions.names import free_name, ref
 from countercheck.operators.history import MODULE_CODES
 from countercheck.sinks import storage
@@ -26,19 +25,20 @@ CSV_OPTIONS = {
     "escape": '"',
     "emptyValue": "",
     "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
 }
 
 
-def export_name(name: str) -> str:
-    """A name that is safe as a file name everywhere."""
-    return re.sub(r"[^A-Za-z0-9._-]+", "_", name).strip("_") or "export"
+def with_code(module: str, name: str) -> str:
+    """A suite's name behind its module's code; a code that is there already is not repeated."""
+    code = MODULE_CODES[module] + "_"
+    return re.sub(f"^(?:{code})?", code, name.strip(), count=1, flags=re.IGNORECASE)
 
 
-def prefixed_name(module: str, name: str) -> str:
-    """A suite name with its module's code in front, once."""
-    name, prefix = name.strip(), MODULE_CODES[module] + "_"
-    rest = name[len(prefix) :] if name.casefold().startswith(prefix.casefold()) else name
-    return prefix + rest
+def section_folder(path: str, position: int) -> str:
+    """Where a section goes: by its position, so no two titles can meet."""
+    return f"{path.rstrip('/')}/section-{position:04d}"
 
 
 def number_rows(df: DataFrame, order_by: Sequence[str], index: str = "row_number") -> DataFrame:
@@ -160,69 +160,53 @@ def summary_frame(spark: SparkSession, summary: Mapping[str, object]) -> DataFra
 def write_csv_report(
     spark: SparkSession, path: str, summary: Mapping[str, object], sections: Mapping[str, DataFrame]
 ) -> dict[str, str]:
-    """One CSV folder per section; with no section, or several, the summary has
-    one too. Returns folder by title."""
-    tables = dict(sections)
-    if len(tables) != 1:
-        tables = {"Summary": summary_frame(spark, summary), **tables}
+    """One CSV folder per section, by position. With no section, or several,
+    the summary has the folder ``summary``. ``sections`` lists position and
+    title. Returns folder by title."""
+    root = path.rstrip("/")
+    if len(sections) != 1:
+        write_csv(summary_frame(spark, summary), f"{root}/summary")
     written = {}
-    for title, df in tables.items():
-        written[title] = f"{path.rstrip('/')}/{export_name(title)}"
+    for position, (title, df) in enumerate(sections.items()):
+        written[title] = section_folder(root, position)
         write_csv(df, written[title])
+    write_csv(section_list(spark, sections), f"{root}/sections")
     return written
 
 
+def section_list(spark: SparkSession, titles) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(titles)), "position int, title string").coalesce(1)
+
+
 def write_json_report(
     spark: SparkSession,
     path: str,
     title: str,
     summary: Mapping[str, object],
     sections: Mapping[str, DataFrame],
-) -> None:
-    """A folder of JSON records per section, and ``report`` with title, time
-    and summary."""
+) -> dict[str, str]:
+    """A folder of JSON records per section, by position, and ``report`` with
+    title, time, summary and the sections' titles. Returns folder by title."""
     root = path.rstrip("/")
     head = (title, datetime.now(UTC).isoformat(), json.dumps(dict(summary), default=str), list(sections))
     spark.createDataFrame(
         [head], "title string, generated_at string, summary string, sections array<string>"
     ).coalesce(1).write.mode("overwrite").json(f"{root}/report")
-    for name, df in sections.items():
-        df.write.mode("overwrite").option("ignoreNullFields", "false").json(
-            f"{root}/{export_name(name)}"
-        )
+    written = {}
+    for position, (name, df) in enumerate(sections.items()):
+        written[name] = section_folder(root, position)
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(written[name])
+    return written
 
 
 def export_manifest(runs: DataFrame) -> DataFrame:
-    """One row per run with the folder its export goes to.
-
-    The folder is named after the run. Where several runs share a name, the
-    first (by start, then id) has it plain and the others add their id. The
-    first run of a name is found with a map-side minimum, so a suite that runs
-    every night costs no more than any other.
-    """
-    prefix = F.lit("")
-    for module, code in MODULE_CODES.items():
-        prefix = F.when(F.col("module") == module, F.lit(code + "_")).otherwise(prefix)
-    name = V.strip(F.col("name"))
-    already = F.lower(name).startswith(F.lower(prefix))
-    bare = F.when(already, F.expr("substring(n, length(p) + 1)")).otherwise(F.col("n"))
-    safe = F.btrim(
-        F.regexp_replace(F.concat(F.col("p"), bare), "[^A-Za-z0-9._-]+", "_"), F.lit("_")
-    )
-    named = (
-        runs.withColumns({"p": prefix, "n": name})
-        .withColumn("base", F.when(safe == "", F.lit("export")).otherwise(safe))
-        .drop("p", "n")
-    )
-    first = (
-        named.groupBy("base")
-        .agg(F.min(F.struct("started_at", "run_id")).alias("first"))
-        .select(F.col("first.run_id").alias("run_id"), F.lit(True).alias("plain"))
-    )
-    return named.join(first, "run_id", "left").select(
-        F.when(F.col("plain"), F.col("base"))
-        .otherwise(F.concat_ws("_", "base", F.substring("run_id", 1, 8)))
-        .alias("folder"),
+    """One row per run with the folder its export goes to: the module's code
+    and the whole run id, so no two runs share one, whatever they are called."""
+    code = F.lit("run")
+    for module, short in MODULE_CODES.items():
+        code = F.when(F.col("module") == module, short).otherwise(code)
+    return runs.select(
+        F.concat_ws("-", code, "run_id").alias("folder"),
         "run_id",
         "module",
         "name",
@@ -239,19 +223,20 @@ def export_runs(
     """Write the summary and all detail of the given runs under ``path`` and
     return the manifest, which is written as well. Unknown ids are skipped.
 
-    One folder per run, one folder per section in it, in batches.
+    One folder per run, one folder per section in it, by position, in batches.
     """
     spark, root = table.spark, path.rstrip("/")
     asked = spark.createDataFrame([(r,) for r in dict.fromkeys(run_ids)], "run_id string")
-    runs = table.runs().join(F.broadcast(asked), "run_id", "left_semi")
+    runs = table.runs().join(asked, "run_id", "left_semi")
     manifest = export_manifest(runs)
-    summaries = {r["run_id"]: json.loads(r["summary"]) for r in runs.select("run_id", "summary").collect()}
-    for row in manifest.collect():
+    summaries = runs.select("run_id", "summary")
+    for row in manifest.join(summaries, "run_id").toLocalIterator():
         folder = f"{root}/{row['folder']}"
-        write_csv(summary_frame(spark, summaries[row["run_id"]]), f"{folder}/summary")
-        for title, df in table.details.load_all(row["run_id"]).items():
-            name = export_name(title)
+        write_csv(summary_frame(spark, json.loads(row["summary"])), f"{folder}/summary")
+        sections = table.details.load_all(row["run_id"])
+        write_csv(section_list(spark, sections), f"{folder}/sections")
+        for position, (title, df) in enumerate(sections.items()):
             order = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-            write_batches(df, f"{folder}/{name}", name, order, batch_rows)
+            write_batches(df, section_folder(folder, position), title, order, batch_rows)
     write_csv(manifest, f"{root}/manifest")
     return manifest

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +15,7 @@ from countercheck.sinks import storage
 from countercheck.sinks.details import DetailStore
 
 
-@dataclass(frozen=True)
-class BulkResult:
-    requested: int
-    succeeded: int
-    missing: list[str] = field(default_factory=list)
-
-    @property
-    def failed(self) -> int:
-        return self.requested - self.succeeded
+DONE, UNKNOWN = "done", "unknown"
 
 
 def now() -> datetime:
@@ -93,32 +84,33 @@ class RunTable:
         """One run as a Row, or None."""
         return self.runs().filter(F.col("run_id") == run_id).first()
 
-    def archive(self, run_ids: Sequence[str]) -> BulkResult:
+    def archive(self, run_ids: Sequence[str]) -> dict[str, str]:
         return self._change(run_ids, ARCHIVE)
 
-    def restore(self, run_ids: Sequence[str]) -> BulkResult:
+    def restore(self, run_ids: Sequence[str]) -> dict[str, str]:
         return self._change(run_ids, RESTORE)
 
-    def delete(self, run_ids: Sequence[str]) -> BulkResult:
+    def delete(self, run_ids: Sequence[str]) -> dict[str, str]:
         """Remove runs and their detail. The detail goes first: a run without
         detail can be deleted again, detail without a run would be lost."""
         for run_id in run_ids:
             self.details.delete(run_id)
-        result = self._change(run_ids, DELETE)
-        for run_id in set(run_ids) - set(result.missing):
-            storage.remove(self.spark, f"{self.base}/runs/{run_id}")
-        return result
-
-    def _change(self, run_ids: Sequence[str], action: str) -> BulkResult:
+        outcome = self._change(run_ids, DELETE)
+        for run_id, what in outcome.items():
+            if what == DONE:
+                storage.remove(self.spark, f"{self.base}/runs/{run_id}")
+        return outcome
+
+    def _change(self, run_ids: Sequence[str], action: str) -> dict[str, str]:
+        """Outcome by run id: DONE, or UNKNOWN where there is no such run."""
         if not run_ids:
-            return BulkResult(0, 0)
-        asked = self.spark.createDataFrame([(r,) for r in run_ids], "run_id string")
-        found = self.runs().join(F.broadcast(asked.distinct()), "run_id", "left_semi")
-        known = {r["run_id"] for r in found.select("run_id").distinct().collect()}
+            return {}
+        asked = self.spark.createDataFrame([(r,) for r in dict.fromkeys(run_ids)], "run_id string")
+        found = asked.join(self.runs().select("run_id"), "run_id", "left_semi")
+        known = {r["run_id"] for r in found.collect()}
         if known:
             events = [(r, action, now()) for r in sorted(known)]
             self.spark.createDataFrame(events, STATE_EVENTS).coalesce(1).write.parquet(
                 f"{self.base}/state/{uuid.uuid4().hex}"
             )
-        missing = [r for r in run_ids if r not in known]
-        return BulkResult(len(run_ids), len(run_ids) - len(missing), missing)
+        return {r: DONE if r in known else UNKNOWN for r in run_ids}

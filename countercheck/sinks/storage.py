@@ -11,8 +11,9 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as named in ``spark.checkpoint.dir``.
 
-    Only where a session names none, as in tests on one machine, a new
-    temporary folder is set for it.
+    Only where a session on one machine names none, as in tests, a new
+    temporary folder is set for it; on a cluster that is an error, as machines
+    would each write to a folder of their own.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
@@ -20,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     )
     current = context.getCheckpointDir()
     if current is None:
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that all machines share.")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="countercheck-"))
         current = context.getCheckpointDir()
     return named or current

@@ -177,9 +177,9 @@ def _read_files(spark: SparkSession, kind: str, source: Source) -> DataFrame:
     if source.schema:
         reader = reader.schema(source.schema)
     if kind == "json":
-        if "multiLine" not in options:
-            reader = reader.option("multiLine", _json_spans_lines(spark, source.path))
-        return flatten(reader.json(source.path))
+        # One record per line unless the option multiLine says otherwise; a
+        # record that can't be read is an error.
+        return flatten(reader.options(**{"mode": "FAILFAST"} | options).json(source.path))
     if kind == "xml":
         tag = re.search(r"([^/@\[\]*.:]+)$", options.get("xpath", ""))
         if "rowTag" not in options and not tag:
@@ -191,8 +191,20 @@ def _read_files(spark: SparkSession, kind: str, source: Source) -> DataFrame:
 def _read_csv(spark: SparkSession, source: Source, options: dict) -> DataFrame:
     """CSV with a header. Cells listed in ``na_values`` are missing. Without a
     schema, a column whose other cells are all true/false, whole or decimal
-    numbers gets that type; finding out takes one pass."""
+    numbers gets that type; finding out takes one pass. Whole numbers beyond
+    bigint become decimals, and text beyond 38 digits, never doubles.
+
+    Quotes inside quoted cells are doubled, and a quoted cell may hold line
+    breaks; give multiLine=false for files without any, to read parts of a file
+    side by side. Rows with more or fewer cells than the header, and files of a
+    folder whose headers differ, are errors.
+    """
     reader = spark.read.options(
+        quote=options.pop("quote", '"'),
+        escape=options.pop("escape", '"'),
+        multiLine=options.pop("multiLine", "true"),
+        mode=options.pop("mode", "FAILFAST"),
+        enforceSchema=options.pop("enforceSchema", "false"),
         header=options.pop("header", "true"),
         sep=options.pop("delimiter", options.pop("sep", ",")),
         encoding=options.pop("encoding", "utf-8"),
@@ -210,7 +222,8 @@ def _read_csv(spark: SparkSession, source: Source, options: dict) -> DataFrame:
     patterns = {
         "boolean": r"^\s*([Tt]rue|TRUE|[Ff]alse|FALSE)\s*$",
         "bigint": r"^\s*[+-]?\d{1,18}\s*$",
-        "double": r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$",
+        "decimal(38,0)": r"^\s*[+-]?\d{1,38}\s*$",
+        "double": r"^\s*[+-]?(\d{1,15}|\d+\.\d*|\.\d+|(\d+\.?\d*|\.\d+)[eE][+-]?\d+)\s*$",
     }
     seen = cells.agg(
         *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(raw.columns)],
@@ -227,17 +240,6 @@ def _read_csv(spark: SparkSession, source: Source, options: dict) -> DataFrame:
     return cells.select(out)
 
 
-def _json_spans_lines(spark: SparkSession, path: str) -> bool:
-    """Is each record, or the one array, spread over several lines? Looks at
-    the first lines only. One record per line can be split and read in
-    parallel; records over several lines cannot."""
-    lines = spark.read.text(path).select(F.trim(F.substring("value", 1, 2048)).alias("line"))
-    head = [r["line"] for r in lines.filter("line <> ''").limit(2).collect()]
-    if len(head) < 2:
-        return False
-    return not (head[0].startswith("{") and head[1].startswith("{"))
-
-
 def _read_jdbc(spark: SparkSession, kind: str, source: Source) -> DataFrame:
     """Give partitionColumn, lowerBound, upperBound and numPartitions as
     options to read in parallel; without them JDBC reads in one task."""

@@ -133,22 +133,23 @@ def test_row_numbers_follow_the_order(spark):
 def test_csv_and_json_reports(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "hi", ok', None, ["a"])], "id int, t string, n string, l array<string>")
     out = R.write_csv_report(spark, str(tmp_path / "c"), {"total": 1}, {"Rows": df, "More": df.limit(0)})
-    assert list(out) == ["Summary", "Rows", "More"]
+    assert list(out) == ["Rows", "More"] and (tmp_path / "c" / "summary").is_dir()
+    listed = spark.read.csv(str(tmp_path / "c" / "sections"), header=True).orderBy("position")
+    assert [r["title"] for r in listed.collect()] == ["Rows", "More"]
     back = spark.read.options(header="true", escape='"').csv(out["Rows"]).first()
     assert tuple(back) == ("1", 'say "hi", ok', None, '["a"]')
-    text = "".join(p.read_text() for p in (tmp_path / "c" / "More").glob("*.csv"))
+    text = "".join(p.read_text() for p in (tmp_path / "c" / "section-0001").glob("*.csv"))
     assert text == "id,t,n,l\n"
     assert list(R.write_csv_report(spark, str(tmp_path / "one"), {}, {"Rows": df})) == ["Rows"]
-    assert list(R.write_csv_report(spark, str(tmp_path / "none"), {"a": 1}, {})) == ["Summary"]
-    R.write_json_report(spark, str(tmp_path / "j"), "T", {"total": 1}, {"Rows": df})
-    assert spark.read.json(str(tmp_path / "j" / "report")).first()["sections"] == ["Rows"]
-    assert spark.read.json(str(tmp_path / "j" / "Rows")).first()["t"] == 'say "hi", ok'
+    assert list(R.write_csv_report(spark, str(tmp_path / "none"), {"a": 1}, {})) == []
+    written = R.write_json_report(spark, str(tmp_path / "j"), "T", {"total": 1}, {"Rows": df, "report": df})
+    assert spark.read.json(str(tmp_path / "j" / "report")).first()["sections"] == ["Rows", "report"]
+    assert spark.read.json(written["report"]).first()["t"] == 'say "hi", ok'
 
 
 def test_names():
-    assert R.export_name("a / b") == "a_b" and R.export_name("//") == "export"
-    assert R.prefixed_name("Record Count Validation", "rc_customers") == "RC_customers"
-    assert R.prefixed_name("Duplicate Validation", " x ") == "DV_x"
+    assert R.with_code("Record Count Validation", "rc_customers") == "RC_customers"
+    assert R.with_code("Duplicate Validation", " x ") == "DV_x"
 
 
 def test_run_table_and_export(spark, tmp_path):
@@ -165,21 +166,20 @@ def test_run_table_and_export(spark, tmp_path):
 
     manifest = R.export_runs(table, [first.run_id, second.run_id, "gone"], str(tmp_path / "out"), 1)
     folders = {r["run_id"]: r["folder"] for r in manifest.collect()}
-    assert folders == {first.run_id: "DV_nightly", second.run_id: f"DV_nightly_{second.run_id[:8]}"}
-    rows = spark.read.option("header", "true").csv(str(tmp_path / "out" / "DV_nightly" / "Duplicate_Rows"))
+    assert folders == {r: f"DV-{r}" for r in (first.run_id, second.run_id)}
+    rows = spark.read.option("header", "true").csv(str(tmp_path / "out" / folders[first.run_id] / "section-0000"))
     assert rows.count() == 2 and rows.select("batch").distinct().count() == 2
-    summary = spark.read.option("header", "true").csv(str(tmp_path / "out" / "DV_nightly" / "summary"))
+    summary = spark.read.option("header", "true").csv(str(tmp_path / "out" / folders[first.run_id] / "summary"))
     assert {r["metric"]: r["value"] for r in summary.collect()}["duplicate_key_count"] == "1"
 
-    done = table.archive([first.run_id, "gone"])
-    assert (done.requested, done.succeeded, done.missing, done.failed) == (2, 1, ["gone"], 1)
+    assert table.archive([first.run_id, "gone"]) == {first.run_id: "done", "gone": "unknown"}
     assert len(H.run_history(table.runs()).collect()) == 2
-    assert table.restore([first.run_id]).succeeded == 1
+    assert table.restore([first.run_id]) == {first.run_id: "done"}
     assert len(H.run_history(table.runs()).collect()) == 3
-    assert table.delete([first.run_id]).succeeded == 1
+    assert table.delete([first.run_id]) == {first.run_id: "done"}
     assert not table.details.has_detail(first.run_id) and table.get(first.run_id) is None
-    assert table.delete([first.run_id]).missing == [first.run_id]
-    assert table.archive([]).requested == 0
+    assert table.delete([first.run_id]) == {first.run_id: "unknown"}
+    assert table.archive([]) == {}
 
 
 def test_every_module_runs(spark, tmp_path):

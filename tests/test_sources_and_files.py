@@ -7,6 +7,7 @@ from countercheck.operators import files as FI
 from countercheck.sources.catalog import foreign_keys_of, information_schema_catalog, session_table_catalog
 from countercheck.sources.flatten import flatten
 from countercheck.sources.load import Source, SourceError, format_of, load
+from countercheck.sinks.reports import write_csv
 
 
 def test_names(spark):
@@ -36,19 +37,56 @@ def test_csv(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    "text",
+    ("text", "options"),
     [
-        '{"id":1,"n":{"a":{"b":2}}}\n{"id":2,"n":{"a":{"b":3}}}\n',
-        '[{"id":1,"n":{"a":{"b":2}}},{"id":2,"n":{"a":{"b":3}}}]',
-        '[\n {"id":1,\n  "n":{"a":{"b":2}}},\n {"id":2,"n":{"a":{"b":3}}}\n]',
+        ('{"id":1,"n":{"a":{"b":2}}}\n{"id":2,"n":{"a":{"b":3}}}\n', {}),
+        ('[{"id":1,"n":{"a":{"b":2}}},{"id":2,"n":{"a":{"b":3}}}]', {}),
+        ('[\n {"id":1,\n  "n":{"a":{"b":2}}},\n {"id":2,"n":{"a":{"b":3}}}\n]', {"multiLine": "true"}),
     ],
 )
-def test_json(spark, tmp_path, text):
-    df = load(spark, Source(path=write(tmp_path, "a.json", text)))
+def test_json(spark, tmp_path, text, options):
+    df = load(spark, Source(path=write(tmp_path, "a.json", text), options=options))
     assert df.columns == ["id", "n.a.b"]
     assert [tuple(r) for r in df.collect()] == [(1, 2), (2, 3)]
 
 
+def test_broken_json_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)malformed|corrupt"):
+        load(spark, Source(path=write(tmp_path, "a.json", '{"id":1}\n{"id":\n'))).collect()
+
+
+def test_csv_cells(spark, tmp_path):
+    text = 'id,t\n9007199254740993001,"he said ""hi"""\n9007199254740993002,"two\nlines"\n1,back\\\n'
+    df = load(spark, Source(path=write(tmp_path, "q.csv", text)))
+    assert df.schema["id"].dataType.simpleString() == "decimal(38,0)"
+    rows = {int(r["id"]): r["t"] for r in df.collect()}
+    assert rows == {9007199254740993001: 'he said "hi"', 9007199254740993002: "two\nlines", 1: "back\\"}
+    mixed = load(spark, Source(path=write(tmp_path, "m.csv", "v\n9007199254740993001\n1.5\n")))
+    assert mixed.schema["v"].dataType.simpleString() == "string"
+
+
+@pytest.mark.parametrize("bad", ["id,v\n3,4,5\n", "id,v\n3\n"])
+def test_csv_rows_of_another_length_are_errors(spark, tmp_path, bad):
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load(spark, Source(path=write(tmp_path, "l.csv", bad))).collect()
+
+
+def test_csv_headers_must_agree(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    write(folder, "1.csv", "a,b\n1,x\n")
+    write(folder, "2.csv", "b,a\ny,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        load(spark, Source(format="csv", path=str(folder))).collect()
+
+
+def test_written_csv_reads_back(spark, tmp_path):
+    rows = [(1, 'a "b", c'), (2, "x\ny"), (3, " padded "), (4, "end\\")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    write_csv(df, str(tmp_path / "w"))
+    assert sorted(map(tuple, load(spark, Source(format="csv", path=str(tmp_path / "w"))).collect())) == rows
+
+
 def test_xml_and_parquet(spark, tmp_path):
     path = write(tmp_path, "a.xml", "<rows><row><id>1</id><name>x</name></row><row><id>2</id><name>y</name></row></rows>")
     for options in ({"rowTag": "row"}, {"xpath": ".//row"}):
