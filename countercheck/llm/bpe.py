@@ -25,7 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countercheck.llm.support import put
+from countercheck.functions.names import free_name
+from countercheck.llm.support import put, small_batches
 
 SHORT = 64
 PIECE = 1 << 20  # characters that are split and looked up at a time
@@ -269,6 +270,7 @@ def _shared(df: DataFrame, path: str | None):
 
 def _encoding(df: DataFrame, text: Column, path: str | None, back: bool) -> Column:
     vocabulary = _shared(df, path)
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>" if back else "struct<ids:array<int>>")
     def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -322,7 +324,7 @@ def round_trip(
     df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None
 ) -> DataFrame:
     """``encode`` and ``decode`` of its ids in one pass over the texts."""
-    both = "bpe round trip"
+    both = free_name(df.columns, "bpe round trip")
     out = put(df, {both: _encoding(df, F.col(f"`{text}`"), path, True)})
     out = put(out, {ids: F.col(f"`{both}`.ids"), decoded: F.col(f"`{both}`.decoded")})
     return out.drop(both)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from countercheck.functions.names import free_name
 from countercheck.llm.support import put, stored
 
 SEED = 42
@@ -54,8 +55,8 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     First the same share of every size, rounded down; then, from the largest
     size down, more of them while the rest exceeds DYNAMIC words; the last part
     by a bounded knapsack over all sums up to the rest, which by then is at most
-    DYNAMIC words or fits no two more of what is left. The sum never exceeds the
-    budget. ``sizes`` are distinct and over 0.
+    DYNAMIC words or less than any larger size that is left. The sum never
+    exceeds the budget. ``sizes`` are distinct and over 0.
     """
     total = int((sizes * counts).sum())
     if budget >= total:
@@ -65,7 +66,8 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     for i in np.argsort(-sizes, kind="stable").tolist():
         if rest <= DYNAMIC:
             break
-        more = min(int(counts[i] - taken[i]), max(0, (rest - DYNAMIC // 2) // int(sizes[i])))
+        spare = 0 if sizes[i] > DYNAMIC // 2 else DYNAMIC // 2
+        more = min(int(counts[i] - taken[i]), max(0, (rest - spare) // int(sizes[i])))
         taken[i] += more
         rest -= more * int(sizes[i])
     if rest <= 0:
@@ -184,12 +186,17 @@ def mix(
 def take(df: DataFrame, record: list[str], **options) -> DataFrame:
     """The rows that the mix takes, with the columns of the table, each as often as it takes it.
 
-    Documents without words, which are no part of any budget, are left out.
+    Documents without words, which are no part of any budget, are left out. Rows
+    that are equal in full are taken together as often as their parts say. Texts
+    are read twice and moved once.
     """
-    row = "mix row"
-    rows = stored(put(df, {row: F.monotonically_increasing_id()}), "mix-rows")
-    picks = mix(rows, record, carry=(row,), **options).filter("taken > 0")
-    picks = stored(picks.select(row, (F.col("taken") / F.col("size")).cast("int").alias("mix copies")), "mix-taken")
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("mix copies")))
     own = [F.col(f"`{c}`") for c in df.columns]
-    return rows.join(picks, row).select(*own, copies.alias("mix copy")).select(*own)
+    row, n, more, each = (free_name(df.columns, f"mix {x}") for x in ("row", "copies", "more", "copy"))
+    whole = F.xxhash64(*own)
+    picks = mix(put(df, {row: whole}), record, carry=(row,), **options)
+    copies = F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size"))).cast("int").alias(n)
+    picks = picks.groupBy(row).agg(copies, (F.count(F.lit(1)) > 1).alias(more)).filter(F.col(n) > 0)
+    out = put(df, {row: whole}).join(stored(picks, "mix-taken").hint("merge"), row).drop(row)
+    once = out.filter(F.col(more)).dropDuplicates([c for c, kind in df.dtypes if "map<" not in kind])
+    out = out.filter(~F.col(more)).unionByName(once)
+    return out.select(*own, F.explode(F.array_repeat(F.lit(0), F.col(n))).alias(each)).select(*own)

@@ -17,10 +17,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countercheck.llm.support import put, stored
+from countercheck.functions.names import free_name
+from countercheck.llm.support import put, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
+SEED = 42
 SUPPORT = 5  # distinct known instances that a pattern needs
 SURE = 0.8  # share of known instances from which a pattern counts as good
 FOUND = "found"  # kind of a learned span is this and the kind of its pattern
@@ -143,6 +145,18 @@ def _read(texts: pa.Array) -> pa.Array:
     return pa.array(rows, kind)
 
 
+def _read_base(texts: pa.Array) -> pa.Array:
+    """Spans of the fixed patterns, and whether other tokens look like identifiers."""
+    rows = []
+    for value in texts:
+        text = value.as_py() or ""
+        base = base_spans(text) if MARKED.search(text) else []
+        more = bool(MARKED.search(text)) and bool(candidates(text, base))
+        rows.append({"base": [{"kind": k, "start": a, "stop": b} for k, a, b in base], "more": more})
+    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+    return pa.array(rows, pa.struct([("base", pa.list_(span)), ("more", pa.bool_())]))
+
+
 def good_patterns(hits: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
     """``pattern`` and ``kind`` of the patterns that find identifiers.
 
@@ -177,31 +191,42 @@ def good_patterns(hits: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
     return patterns.filter((F.col("n_known") >= support) & (F.col("share") >= sure)).select("pattern", "kind")
 
 
-def find(df: DataFrame, text: str = "text", row: str = "pii row", spans: str = "pii spans", **options) -> DataFrame:
-    """Add ``spans``, all spans as kind, start and stop, and ``pii base``, those of the fixed patterns.
+def find(
+    df: DataFrame, text: str = "text", spans: str = "pii spans", base: str = "pii base", **options
+) -> DataFrame:
+    """Add ``spans``, all spans as kind, start and stop, and ``base``, those of the fixed patterns.
 
     Offsets are code points, the stop exclusive. Kinds are email, ip, card and
     phone, and for learned spans "found_" with the kind of the pattern that
-    found them; spans stand by kind in that order, then start. The table is
-    stored with a number per row, ``row``, which the result keeps. A null or
-    empty text has no spans, repeated rows stay, names that clash give way.
-    Only rows that hold identifier-like tokens take part in the joins.
+    found them; spans stand by kind in that order, then start. A null or empty
+    text has no spans, repeated rows stay, names that clash give way.
+
+    Only what was found is stored, under two hashes of the text, on which its
+    spans depend alone. Texts are read again for the result; those that hold
+    identifier-like tokens outside the fixed patterns are joined with the spans
+    learned, the others stay where they are.
     """
-    both = put(df, {row: F.monotonically_increasing_id(), "pii read": F.arrow_udf(_read, f"struct<base:{_SPANS},hits:{_HITS}>")(F.col(f"`{text}`"))})
-    both = put(both, {"pii base": F.col("`pii read`.base"), "pii hits": F.col("`pii read`.hits")}).drop("pii read")
-    both = stored(both, "pii-rows")
-    unknown = F.exists("pii hits", lambda h: h["kind"].isNull())
-    hits = both.select(F.col(f"`{row}`").alias("row"), F.explode("pii hits").alias("hit")).select("row", "hit.*")
+    small_batches(df.sparkSession)
+    own = F.col(f"`{text}`")
+    one, two = F.xxhash64(own).alias("one"), F.xxhash64(F.lit(SEED), own).alias("two")
+    read = F.arrow_udf(_read, f"struct<base:{_SPANS},hits:{_HITS}>")
+    known = df.filter(own.rlike("[0-9@]")).select(one, two, read(own)["hits"].alias("hits"))
+    known = stored(known.filter(F.size("hits") > 0), "pii-hits")
+    hits = known.select("one", "two", F.explode("hits").alias("hit")).select("one", "two", "hit.*")
     good = stored(good_patterns(hits, **options), "pii-good")
     new = hits.filter("kind is null").drop("kind").join(good, "pattern")
-    new = new.groupBy("row", "start", "stop").agg(F.min("kind").alias("kind"))
+    new = new.groupBy("one", "two", "start", "stop").agg(F.min("kind").alias("kind"))
     each = F.struct(F.concat(F.lit(f"{FOUND}_"), F.col("kind")).alias("kind"), "start", "stop")
-    new = stored(new.groupBy("row").agg(F.sort_array(F.collect_list(each)).alias("new")), "pii-found")
-    plain = put(both.filter(~unknown), {spans: F.col("pii base")})
-    rest = both.filter(unknown).join(new.withColumnRenamed("row", row), row, "left")
-    found = F.coalesce(F.col("new"), F.lit(None).cast(_SPANS), F.array().cast(_SPANS))
-    rest = put(rest, {spans: F.concat("pii base", found)}).drop("new")
-    return plain.unionByName(rest).drop("pii hits")
+    key1, key2, learned, more, got = (free_name(df.columns, f"pii {n}") for n in ("one", "two", "new", "more", "read"))
+    new = new.groupBy(F.col("one").alias(key1), F.col("two").alias(key2))
+    new = stored(new.agg(F.sort_array(F.collect_list(each)).alias(learned)), "pii-found")
+    both = put(df, {got: F.arrow_udf(_read_base, f"struct<base:{_SPANS},more:boolean>")(own)})
+    both = put(both, {base: F.col(got)["base"], more: F.col(got)["more"]}).drop(got)
+    plain = put(both.filter(~F.col(more)), {spans: F.col(base)})
+    rest = put(both.filter(F.col(more)), {key1: one, key2: two}).join(new, [key1, key2], "left")
+    found = F.concat(base, F.coalesce(F.col(learned), F.array().cast(_SPANS)))
+    rest = put(rest, {spans: found}).drop(learned, key1, key2)
+    return plain.unionByName(rest).drop(more)
 
 
 def spans_text(spans: Column) -> Column:
@@ -228,6 +253,7 @@ def mask(text: str | None, spans: list[dict] | None) -> str | None:
 
 def redact(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """The same rows and columns, with personal data in the text replaced by its kind."""
-    found = find(df, text, **options)
-    out = put(found, {"pii text": F.arrow_udf(_mask, "string")(F.col(f"`{text}`"), F.col("pii spans"))})
-    return out.select(*[F.col("pii text").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    spans, base, clean = (free_name(df.columns, f"pii {n}") for n in ("spans", "base", "text"))
+    found = find(df, text, spans, base, **options)
+    out = put(found, {clean: F.arrow_udf(_mask, "string")(F.col(f"`{text}`"), F.col(f"`{spans}`"))})
+    return out.select(*[F.col(clean).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countercheck.llm.support import put
+from countercheck.llm.support import put, small_batches
 
 BITS = 18
 BIAS = 0  # the weight of every text
@@ -140,6 +140,7 @@ def train(
     counts each time. Without any labelled document all weights are 0, and
     every score is 0.5.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("label"))
     known = known.filter("key is not null and label in (0, 1)")
     known = known.orderBy(F.xxhash64("key"), "key", "label").limit(rows)
@@ -170,6 +171,7 @@ def score(df: DataFrame, weights: np.ndarray, text: str = "text", out: str = "sc
 
 def scored(df: DataFrame, weights: np.ndarray, text: Column) -> Column:
     shared = df.sparkSession.sparkContext.broadcast(weights)
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("double")
     def score_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -25,6 +25,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in small batches, where the session has the default size.
+
+    A batch of the default 10,000 rows of long texts takes hundreds of MB in a worker.
+    """
+    for key, usual, wanted in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"),
+    ):
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, wanted)
+
+
 def put(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """Add columns. A column of the input that has the same name, in any case, gives way."""
     taken = {name.lower() for name in columns}

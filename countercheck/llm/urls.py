@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from countercheck.functions.names import free_name
 from countercheck.llm.support import put, stored
 
 FOREVER = "9999-12-31"
@@ -95,7 +96,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", day:
     scan.
     """
     spans = stored(intervals(entries), "url-intervals")
-    row = "url row"
+    row, entry = free_name(captures.columns, "url row"), free_name(captures.columns, "url entry")
     rows = stored(put(captures, {row: F.monotonically_increasing_id()}), "url-captures")
     segments = F.filter(F.split(path_of(F.col(f"`{url}`")), "/"), lambda s: s != "")
     asked = rows.select(row, host_of(F.col(f"`{url}`")).alias("url host"), segments.alias("url segments"), F.col(f"`{day}`").cast("date").alias("url day"))
@@ -105,16 +106,16 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", day:
     active = (F.col("url day") >= F.col("valid_from")) & (F.col("url day") < F.col("valid_to"))
     hits = asked.join(spans, ["kind", "key"]).filter(active)
     first = F.struct(-F.col("weight"), F.col("list"), F.col("kind"), F.col("key"), F.col("valid_from"), F.col("valid_to"))
-    best = stored(hits.groupBy(row).agg(F.min(first).alias("entry")), "url-decisions")
+    best = stored(hits.groupBy(row).agg(F.min(first).alias(entry)), "url-decisions")
     out = rows.join(best, row, "left")
     return put(
         out,
         {
             "host": host_of(F.col(f"`{url}`")),
-            "decision": F.coalesce(F.col("entry.list"), F.lit("none")),
-            "entry_kind": F.col("entry.kind"),
-            "entry_key": F.col("entry.key"),
-            "valid_from": F.col("entry.valid_from"),
-            "valid_to": F.col("entry.valid_to"),
+            "decision": F.coalesce(F.col(entry)["list"], F.lit("none")),
+            "entry_kind": F.col(entry)["kind"],
+            "entry_key": F.col(entry)["key"],
+            "valid_from": F.col(entry)["valid_from"],
+            "valid_to": F.col(entry)["valid_to"],
         },
-    ).drop(row, "entry")
+    ).drop(row, entry)
