@@ -205,6 +205,21 @@ def test_compact_windows():
             assert got == brute_windows(hashes.tolist(), width)
 
 
+def test_tokens_of_pieces_and_groups():
+    rnd = random.Random(3)
+    parts = ["a", "B", "é ", " ", "\n", "c" * 200]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(300))) for _ in range(60)] + [None, "", "x" * 500]
+    small = passages.Tokens()
+    small.PIECE = 64  # texts are cut, and words are longer than a piece
+    by_words: dict = {}
+    for text, own, whole in zip(texts, small.each(texts), passages.Tokens().each(texts), strict=True):
+        words = (text or "").encode().lower().split()
+        assert own.tolist() == whole.tolist() and len(own) == max(0, len(words) - 4)
+        for k, token in enumerate(own.tolist()):
+            assert by_words.setdefault(tuple(words[k : k + 5]), token) == token
+    assert len(set(by_words.values())) == len(by_words)
+
+
 def test_passages(spark):
     rnd = random.Random(6)
 
