@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,8 +77,11 @@ def schema_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     def same(name: str) -> Column:
         return F.when(known, s[name].eqNullSafe(t[name]))
 
+    # One table has one name, the source's if it has the table; the window sees a table's columns.
+    whole = Window.partitionBy("table_key")
+    name = F.coalesce(F.min(s["table_name"]).over(whole), F.min(t["table_name"]).over(whole))
     return joined.select(
-        F.coalesce(s["table_name"], t["table_name"]).alias("table_name"),
+        name.alias("table_name"),
         F.coalesce(s["column_name"], t["column_name"]).alias("column"),
         s["position"].alias("source_position"),
         t["position"].alias("target_position"),

@@ -13,7 +13,8 @@ from countercheck.operators import aggregates, completeness, counts, duplicates,
 from countercheck.operators import integrity, profile, row_diff, schema_diff
 from countercheck.sinks import storage
 from countercheck.sinks.run_table import RunTable, now
-from countercheck.sources.load import Source, load
+from countercheck.sources.catalog import session_table_catalog
+from countercheck.sources.load import Source, format_of, load
 
 
 class CheckError(ValueError):
@@ -54,15 +55,28 @@ Result = tuple[Sections, Callable[[Sections], DataFrame]]
 
 
 def _schema(source: DataFrame, target: DataFrame) -> Result:
-    spark = source.sparkSession
-    diff = schema_diff.schema_diff(
-        schema_diff.catalog_of(spark, {"table": source}),
-        schema_diff.catalog_of(spark, {"table": target}),
-    )
+    """Both sides are catalogs, see ``_catalog``."""
     title = "Column Comparison"
+    diff = schema_diff.schema_diff(source, target)
     return {title: diff}, lambda stored: schema_diff.schema_summary(stored[title])
 
 
+def _catalog(spark: SparkSession, side: object) -> DataFrame:
+    """Catalog rows of one side, under the name ``table``. A session table's
+    declared lengths and defaults take part; other sides have only types."""
+    if isinstance(side, Mapping):
+        side = Source(**side)
+    df, declared = _side(spark, side, ""), None
+    if isinstance(side, Source) and side.table and not side.query and format_of(side) == "table":
+        declared = session_table_catalog(spark, side.table)
+    if declared is None:
+        return schema_diff.catalog_of(spark, {"table": df})
+    read = F.array(*[F.lit(c.lower()) for c in df.columns])
+    place = F.array_position(read, F.lower("column_name")).cast("int") - 1
+    named = declared.withColumns({"table_name": F.lit("table"), "position": place})
+    return named.filter(F.col("position") >= 0)
+
+
 def _record_count(source, target, group_by=(), **tolerance) -> Result:
     sections = {}
     if group_by:
@@ -177,11 +191,11 @@ def run_check(
     try:
         if check.module not in MODULES:
             raise CheckError(f"Unknown module: '{check.module}'")
-        sections, summarise = MODULES[check.module](
-            _side(spark, check.source, check.module),
-            _side(spark, check.target, check.module),
-            **check.settings,
-        )
+        if check.module == "Schema Validation":
+            sides = [_catalog(spark, side) for side in (check.source, check.target)]
+        else:
+            sides = [_side(spark, side, check.module) for side in (check.source, check.target)]
+        sections, summarise = MODULES[check.module](*sides, **check.settings)
         table.details.save(run_id, sections)
         values = summarise(table.details.load_all(run_id)).first().asDict()
         status = values.pop("status")

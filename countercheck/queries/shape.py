@@ -123,7 +123,7 @@ def schema_status(spark, folder):
 
 def schema_attributes(spark, folder):
     diff = schema_diff.schema_diff(*_catalogs(spark, folder))
-    return diff.select("table_name", "column", "length_match", "source_key", "target_key", "key_match")
+    return diff.select("table_name", "column", "length_match", "source_key", "target_key", "key_match", "default_match")
 
 
 def schema_summary(spark, folder):
@@ -148,7 +148,7 @@ SCHEMA_SQL = f"""WITH {D.OTHER_CUSTOMER_SQL}, s(table_name, "column", p, ty, len
   UNION ALL SELECT 'customer', 'c_acctbal', 1, 'FLOAT', NULL, false
   UNION ALL SELECT 'customer', 'c_name', 2, 'STRING', max(length(c_name)), false FROM other_customer
   UNION ALL SELECT 'customer', 'c_nationkey', 3, 'STRING', max(length(c_nationkey)), false FROM other_customer
-  UNION ALL SELECT 'CUSTOMER', 'segment', 4, 'STRING', max(length(segment)), false FROM other_customer
+  UNION ALL SELECT 'customer', 'segment', 4, 'STRING', max(length(segment)), false FROM other_customer
   UNION ALL SELECT table_name, "column", p, ty, len, false FROM s WHERE table_name = 'part' AND "column" <> 'p_name'
   UNION ALL SELECT 'part', 'p_name', 1, 'STRING', max(length(p_name)), count(DISTINCT p_name) = count(*) FROM part
 ), diff AS (
@@ -161,7 +161,8 @@ SCHEMA_SQL = f"""WITH {D.OTHER_CUSTOMER_SQL}, s(table_name, "column", p, ty, len
          CAST(s.len AS BIGINT) AS source_length, CAST(t.len AS BIGINT) AS target_length,
          s.pk AS source_key, t.pk AS target_key,
          CASE WHEN s."column" IS NOT NULL AND t."column" IS NOT NULL THEN s.len IS NOT DISTINCT FROM t.len END AS length_match,
-         CASE WHEN s."column" IS NOT NULL AND t."column" IS NOT NULL THEN s.pk = t.pk END AS key_match
+         CASE WHEN s."column" IS NOT NULL AND t."column" IS NOT NULL THEN s.pk = t.pk END AS key_match,
+         s."column" = t."column" AS default_match  -- files have no defaults, so all agree
   FROM s FULL OUTER JOIN t ON s.table_name = t.table_name AND s."column" = t."column"
 )"""
 
@@ -282,7 +283,7 @@ QUERIES = {
     ),
     "schema_attributes": (
         schema_attributes,
-        f'{SCHEMA_SQL} SELECT table_name, "column", length_match, source_key, target_key, key_match FROM diff',
+        f'{SCHEMA_SQL} SELECT table_name, "column", length_match, source_key, target_key, key_match, default_match FROM diff',
     ),
     "schema_summary": (
         schema_summary,

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from countercheck.operators import profile as P
 from countercheck.operators import schema_diff as S
+from countercheck.plans.checks import Check, run_check
+from countercheck.sinks.run_table import RunTable
 
 
 def customers(spark):
@@ -145,3 +147,25 @@ def test_plan_checks(spark):
     assert rows["t", "NULLABILITY"]["null_check_columns"] == ["id"]
     assert rows["gone", None]["error"]
     assert S.plan_checks(spark, catalog).count() == 4
+
+
+def test_one_table_has_one_spelling(spark):
+    source = S.catalog_of(spark, {"customer": spark.createDataFrame([], "a int")})
+    target = S.catalog_of(spark, {"CUSTOMER": spark.createDataFrame([], "A int, b int"), "New": spark.createDataFrame([], "c int")})
+    found = {(r["table_name"], r["column"]): r["status"] for r in S.schema_diff(source, target).collect()}
+    assert found == {("customer", "a"): "MATCH", ("customer", "b"): "EXTRA_IN_TARGET", ("New", "c"): "EXTRA_IN_TARGET"}
+
+
+def test_a_check_sees_declared_lengths(spark, tmp_path):
+    for name, width in (("narrow", 10), ("wide", 20)):
+        spark.sql(f"CREATE TABLE {name} (id int, v varchar({width})) USING parquet LOCATION '{tmp_path / name}'")
+    try:
+        runs = RunTable(spark, str(tmp_path / "runs"))
+        for columns, target, status in (((), "wide", "FAIL"), ((), "narrow", "PASS"), (("id",), "wide", "PASS"), (("v", "id"), "wide", "FAIL")):
+            sides = [{"table": t, "columns": columns} for t in ("narrow", target)]
+            outcome = run_check(runs, Check("Schema Validation", *sides))
+            assert (outcome.status, outcome.summary["mismatches"]) == (status, 0)
+            assert outcome.summary["attribute_mismatches"] == (status == "FAIL")
+    finally:
+        spark.sql("DROP TABLE narrow")
+        spark.sql("DROP TABLE wide")
