@@ -137,3 +137,35 @@ def test_passages_find_every_repeat(spark):
         for i in range(len(w) - 49):
             if len(seen[tuple(w[i : i + 50])]) > 1:
                 assert any(a <= i and i + 50 <= b for a, b in spans.get(k, [])), (k, i)
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_leave_the_corpus(stages):
+    """By brute-force Jaccard: no two documents that go on are similar, and each that goes was like another."""
+    rows = sorted(stages[1], key=lambda r: r["doc_id"])
+    sets, holders = [shingles(r["text"]) for r in rows], {}
+    edges, similar = [], 0
+    for i, own in enumerate(sets):
+        met = Counter(j for s in own for j in holders.get(s, ()))
+        for j, common in met.items():
+            if 5 * common >= 4 * (len(own) + len(sets[j]) - common):
+                edges.append((j, i))
+                similar += rows[i]["text"] != rows[j]["text"]
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    prints = np.array([brute_print(r["text"]) for r in rows], np.uint64)
+    for i in range(len(rows)):
+        edges += [(int(j), i) for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= 2)]
+    root = list(range(len(rows)))
+    for _ in rows:
+        before = list(root)
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    assert similar
+    assert sorted(r["doc_id"] for r in stages[2]) == sorted(rows[i]["doc_id"] for i in set(root))
