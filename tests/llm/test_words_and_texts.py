@@ -243,3 +243,21 @@ def test_passages(spark):
     assert [k for k in sorted(found) if found[k]["kept"]] == [1, 3]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert passages.near_duplicate_passages(empty).count() == 0
+
+
+def test_matches_with_insertions_on_either_side():
+    rng = np.random.default_rng(11)
+    for own, more in ((72, 8), (80, 7), (50, 5), (120, 12), (120, 15)):
+        for at in range(5, own - 5, 6):
+            a = rng.integers(1, 1 << 40, own)
+            b = np.concatenate([a[: at - 4], rng.integers(1, 1 << 40, more + 4), a[at:]])
+            similar = len({*a.tolist()} & {*b.tolist()}) >= 0.8 * len({*a.tolist()} | {*b.tolist()})
+            noise = [rng.integers(1, 1 << 40, 30) for _ in range(4)]
+            one, two = (np.concatenate([noise[k], x, noise[k + 1]]) for k, x in ((0, a), (2, b)))
+            for x, y, size in ((one, two, len(a)), (two, one, len(b))):
+                got = passages.matches(x, y, 36, 0.8)
+                if similar:
+                    assert any(i <= 30 and j >= 30 + size for i, j, _, _ in got), (own, more, at)
+                for i, j, p, q in got:
+                    s, t = set(x[i:j].tolist()), set(y[p:q].tolist())
+                    assert j - i >= 36 and q - p >= 36 and len(s & t) >= 0.8 * len(s | t)
