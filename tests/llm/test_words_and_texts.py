@@ -261,3 +261,26 @@ def test_matches_with_insertions_on_either_side():
                 for i, j, p, q in got:
                     s, t = set(x[i:j].tolist()), set(y[p:q].tolist())
                     assert j - i >= 36 and q - p >= 36 and len(s & t) >= 0.8 * len(s | t)
+
+
+def test_finer_signatures_reach_explained_texts(spark):
+    """A chance leader, two copies explained by each other, and a fourth text that holds a passage of them."""
+    rnd = random.Random(21)
+    lines = [" ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(30)) for _ in range(300)]
+
+    def texts(k):
+        words = [["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)] for n in (60, 25, 25, 60, 60, 60, 60)]
+        passage = words[1] + lines[k].split() + words[2]  # 80 words around a line
+        x = " ".join(words[0] + passage + words[3])
+        return {"leader": " ".join(words[4] + lines[k].split() + words[5]), "x": x, "copy": x, "e": " ".join(passage + words[6])}
+
+    rows, roles = [], {}
+    for k in range(300):
+        for role, text in texts(k).items():
+            roles[len(rows)] = (k, role)
+            rows.append((len(rows), text))
+    out = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {roles[r["doc_id"]]: r for r in out}
+    assert all((k, role) in found for k in range(300) for role in ("x", "copy", "e"))
+    for k in range(300):
+        assert len({found[k, role]["class_key"] for role in ("x", "copy", "e")}) == 1
