@@ -284,3 +284,28 @@ def test_finer_signatures_reach_explained_texts(spark):
     assert all((k, role) in found for k in range(300) for role in ("x", "copy", "e"))
     for k in range(300):
         assert len({found[k, role]["class_key"] for role in ("x", "copy", "e")}) == 1
+
+
+def test_recall_of_lone_near_passages(spark):
+    """Passages of 50 words with Jaccard 0.8 to 0.9 by brute force, by a changed word or by inserted ones."""
+    rnd = random.Random(33)
+
+    def words(n):
+        return ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+
+    def tokens(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rows, wanted = [], []
+    for k in range(300):
+        passage, at = words(50), rnd.randrange(6, 44)
+        other = passage[:at] + words(1 + k % 3) + passage[at + k % 2 :]
+        similarity = len(tokens(passage) & tokens(other)) / len(tokens(passage) | tokens(other))
+        if 0.8 <= similarity <= 0.9:
+            wanted += [2 * k, 2 * k + 1]
+        rows += [(2 * k, " ".join(words(60) + passage + words(60))), (2 * k + 1, " ".join(words(90) + other + words(30)))]
+    out = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r["doc_id"] for r in out.collect()}
+    share = len(found & set(wanted)) / len(wanted)
+    print("recall", share, "of", len(wanted))
+    assert len(wanted) > 200 and share >= 0.98
