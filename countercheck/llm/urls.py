@@ -37,11 +37,15 @@ def intervals(entries: DataFrame) -> DataFrame:
     ``entries`` has list, kind, key, day and action (add or remove). An entry
     holds until the next of its list and key, the last one for ever. Of several
     on a day a removal counts. Rows with a null in any of these columns, or
-    another kind or action, are no entries.
+    another kind or action, are no entries. Hosts and domains are lower-cased; of
+    a prefix only the host, as paths differ by case.
     """
     known = entries.filter(F.col("kind").isin(*KINDS) & F.col("action").isin("add", "remove"))
     known = known.filter("list is not null and key is not null and day is not null")
-    days = known.groupBy("list", "kind", F.lower("key").alias("key"), F.col("day").cast("date").alias("day"))
+    host = F.substring_index("key", "/", 1)
+    rest = F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)")
+    key = F.when(F.col("kind") == "prefix", F.concat(F.lower(host), rest)).otherwise(F.lower("key"))
+    days = known.groupBy("list", "kind", key.alias("key"), F.col("day").cast("date").alias("day"))
     days = days.agg(F.max("action").alias("action"))
     following = F.lead("day").over(W.partitionBy("list", "kind", "key").orderBy("day"))
     spans = days.withColumn("valid_to", F.coalesce(following, F.lit(FOREVER).cast("date")))

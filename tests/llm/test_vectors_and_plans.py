@@ -180,3 +180,11 @@ def test_urls(spark):
     assert {r["page_id"]: r["decision"] for r in out.collect()} == {i: c[2] for i, c in enumerate(cases)}
     assert out.count() == len(rows) + 1 and urls.filter_urls(df.limit(0), entries).count() == 0
     assert {r["decision"] for r in urls.filter_urls(df, entries.limit(0)).collect()} == {"none"}
+
+
+def test_url_prefixes_keep_the_case_of_paths(spark):
+    rows = [(i, u, "2024-02-01") for i, u in enumerate(["http://Example.com/Wiki/A", "http://example.com/wiki/A", "http://example.com/"])]
+    df = spark.createDataFrame(rows, "id long, url string, day string")
+    entries = spark.createDataFrame([("block", "prefix", "EXAMPLE.com/Wiki", "2024-01-01", "add")], "list string, kind string, key string, day string, action string")
+    got = {r["id"]: (r["decision"], r["entry_key"]) for r in urls.filter_urls(df, entries).collect()}
+    assert got == {0: ("block", "example.com/Wiki"), 1: ("none", None), 2: ("none", None)}
