@@ -18,7 +18,8 @@ CHUNK_BYTES = 1 << 20
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``path, relative_path, bytes`` of every file under a directory (or of
-    one file). Contents are not read."""
+    one file). Contents are not read. Files whose names or folders start with
+    ``_`` or ``.``, which Spark's own listing hides, are listed too."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -26,6 +27,8 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
         .load(path)
         .select("path", F.col("length").alias("bytes"))
     )
+    hidden = spark.createDataFrame(_hidden(spark, path, pattern), "path string, bytes bigint")
+    files = files.unionAll(hidden).dropDuplicates(["path"])
     root = F.lit(_bare(path).rstrip("/"))
     bare = F.regexp_replace(F.col("path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
     below = F.expr("substring(bare, length(root) + 2)")
@@ -39,6 +42,24 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def _hidden(spark: SparkSession, path: str, pattern: str) -> list[tuple[str, int]]:
+    """Path and length of the files below a path that have a part which starts with ``_`` or ``.``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    accepted = hadoop.GlobFilter(pattern)
+    where = hadoop.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for root in system.globStatus(where) or []:
+        depth = root.getPath().depth() - (0 if root.isDirectory() else 1)
+        files = system.listFiles(root.getPath(), True)
+        while files.hasNext():
+            file = files.next()
+            parts = [p for p in _bare(file.getPath().toString()).split("/") if p][depth:]
+            if any(p[0] in "_." for p in parts) and accepted.accept(file.getPath()):
+                found.append((file.getPath().toString(), file.getLen()))
+    return found
+
+
 def _bare(path: str) -> str:
     """A path without its scheme and host."""
     if "://" in path:

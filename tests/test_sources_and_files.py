@@ -165,3 +165,16 @@ def test_file_comparison(spark, tmp_path, algorithm):
     assert (one["relative_path"], one["bytes"]) == ("a", 1)
     with pytest.raises(ValueError):
         FI.checksums(FI.list_files(spark, str(tmp_path / "s")), "nope")
+
+
+def test_hidden_files_are_compared(spark, tmp_path):
+    for side, texts in {"s": {"a": "1", "_b": "2", ".c/d": "3", "e/.f": "4"}, "t": {"a": "1", "_b": "x", ".c/d": "3"}}.items():
+        for name, text in texts.items():
+            path = tmp_path / side / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(text)
+    sides = [FI.checksums(FI.list_files(spark, str(tmp_path / s))) for s in "st"]
+    rows = {r["relative_path"]: r["status"] for r in FI.compare_files(*sides).collect()}
+    assert rows == {"a": "MATCH", "_b": "MISMATCH", ".c/d": "MATCH", "e/.f": "MISSING_IN_TARGET"}
+    one = FI.list_files(spark, str(tmp_path / "s" / "_b")).collect()
+    assert [(r["relative_path"], r["bytes"]) for r in one] == [("_b", 1)]
