@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countercheck.llm import bpe, forest, mixing, neighbours, passages, pii, quality, shards, simhash, urls
+from countercheck.llm import audit, bpe, collocations, forest, licenses, mixing, neighbours, passages, pii, quality, shards, simhash, urls
 from countercheck.llm.support import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +187,122 @@ def op10_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM places, (SELECT unnest(range(1, 5)) AS size) WHERE i + size - 1 <= len(w)),
+counts AS (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM counts WHERE size = 1 GROUP BY lang),
+found AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM found),
+scored AS (
+  SELECT c.lang, c.phrase, c.size, c.f AS a, l.f AS l, r.f AS r, k, (2000000 * c.f) // (l.f + r.f) AS score
+  FROM cuts c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM found b WHERE b.lang = s.lang AND b.size > s.size AND 100 * b.f >= 80 * s.a
+      AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Base places and labels, and those of the templates; score 1 for a whole template, 0.5 for a base phrase alone."""
+    found = licenses.find(table(spark, folder, "documents").select("doc_id", "text"))
+    places = F.col("license places")
+    base = F.filter(places, lambda p: ~p["template"])
+    starts = F.transform(base, lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        F.col("license words").alias("n_words"),
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.label_text(base).alias("base_labels"),
+        licenses.label_text(places).alias("labels"),
+        F.when(F.exists(places, lambda p: p["template"]), 1.0).when(F.size(places) > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
+_PHRASES = ", ".join(f"('{p}', {p.split()!r}, '{label}')" for p, label in licenses.PHRASES.items())
+_TEMPLATES = ", ".join(f"(' {licenses.pattern(t)}', '{label}')" for label, t in licenses.TEMPLATES)
+OP12_SQL = rf"""
+WITH phrases(phrase, p, label) AS (VALUES {_PHRASES}),
+templates(wording, label) AS (VALUES {_TEMPLATES}),
+docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, label, i - 1 AS start
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs), phrases
+  WHERE w[i:i + len(p) - 1] = p),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+         list_sort(list_distinct(list(label))) AS found
+  FROM places GROUP BY doc_id),
+more AS (
+  SELECT doc_id, list(label) AS found FROM docs, templates
+  WHERE regexp_matches(' ' || array_to_string(w, ' ') || ' ', wording) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(b.found, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(b.found, m.found))), ','), '') AS labels,
+       CASE WHEN m.found IS NOT NULL THEN 1.0 WHEN b.found IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM docs LEFT JOIN base b USING (doc_id) LEFT JOIN more m USING (doc_id)
+"""
+
+
+def op13_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP13_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS failed
+  FROM words LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, good, toxic, failed, count(*) AS n FROM fails GROUP BY ALL),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, step, o[step] AS filter, left(o, step - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+counted AS (
+  SELECT part, o, step, filter,
+         sum(CASE WHEN translate(before || filter, failed, '') = before || filter THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN contains(failed, filter) AND translate(before, failed, '') = before THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN contains(failed, filter) AND translate(before, failed, '') <> before THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN failed = filter THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN good AND contains(failed, filter) AND translate(before, failed, '') = before THEN n ELSE 0 END) AS good_lost,
+         sum(CASE WHEN toxic AND contains(failed, filter) AND translate(before, failed, '') = before THEN n ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY part, o, step, filter)
+SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM counted
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_bpe": (op1_bpe, None),
     "op2_urls": (op2_urls, OP2_SQL),
@@ -198,4 +314,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_mix": (op8_mix, None),
     "op9_simhash": (op9_simhash, None),
     "op10_passages": (op10_passages, None),
+    "op11_collocations": (op11_collocations, OP11_SQL),
+    "op12_licenses": (op12_licenses, OP12_SQL),
+    "op13_audit": (op13_audit, OP13_SQL),
 }
