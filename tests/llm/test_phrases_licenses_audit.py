@@ -1,0 +1,273 @@
+"""Collocations, license templates and the filter audit against plain versions, with odd inputs."""
+
+import math
+import random
+import re
+from collections import Counter
+from fractions import Fraction
+from itertools import permutations
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from countercheck.llm import audit, collocations, licenses
+
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def brute_collocations(rows, least, top):
+    """Rows are (lang, text)."""
+    counts, total = Counter(), Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(LOWER)):
+            words = re.findall("[^ \t]+", piece)
+            total[lang] += len(words)
+            for k in range(1, 5):
+                counts.update((lang, tuple(words[i : i + k])) for i in range(len(words) - k + 1))
+    found = {x: n for x, n in counts.items() if len(x[1]) > 1 and n >= least}
+    out = {}
+    for (lang, words), a in found.items():
+        if any(
+            b == lang and len(longer) > len(words) and 100 * n >= 80 * a
+            and any(longer[i : i + len(words)] == words for i in range(len(longer)))
+            for (b, longer), n in found.items()
+        ):
+            continue
+        cuts = []
+        for k in range(1, len(words)):
+            left, right = counts[lang, words[:k]], counts[lang, words[k:]]
+            cuts.append((2000000 * a // (left + right), k, left, right))
+        score, _, left, right = min(cuts)
+        out.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), left, right))
+    rows = []
+    for lang, own in out.items():
+        for i, (score, a, phrase, left, right) in enumerate(sorted(own)[:top]):
+            rows.append((lang, i + 1, phrase.decode(), -a, left, right, total[lang], -score))
+    return sorted(rows)
+
+
+@pytest.fixture(scope="module")
+def chatter():
+    rnd = random.Random(7)
+    words = ["a", "The", "of", "x", "é", "日本", "\x1c", "\x00", "w x", "B,", "c.", "d\n", "e\t"]
+    rows = []
+    for i in range(400):
+        text = " ".join(rnd.choices(words, weights=[9, 8, 7, 5, 3, 2, 1, 1, 1, 2, 2, 1, 1], k=rnd.randint(0, 60)))
+        rows.append((rnd.choice(["en", "en", "en", "de", None, "und"]), text))
+    line = "every text has this very line"
+    rows += [("en", f"{line}. {line}"), ("fr", " ".join(["ha"] * 500)), ("en", None), ("en", ""), ("it", " .,; \n"), ("de", "a " * 3000)] * 3
+    return rows
+
+
+@pytest.mark.parametrize("routes", [1, 50, 1 << 40])
+def test_collocations(spark, monkeypatch, chatter, routes):
+    """With no heavy pair, with some, and with all of them; over many chunks and blocks."""
+    monkeypatch.setattr(collocations, "ROUTES", routes)
+    monkeypatch.setattr(collocations, "CHUNK", 700)
+    monkeypatch.setattr(collocations, "BLOCK", 100)
+    monkeypatch.setattr(collocations, "PIECE", 64)
+    df = spark.createDataFrame(chatter, "lang string, text string").withColumn("phrase", F.lit(1)).withColumn("rank", F.lit("x"))
+    out = collocations.collocations(df.repartition(5), least=5, top=40)
+    assert sorted(tuple(r) for r in out.collect()) == brute_collocations(chatter, 5, 40)
+
+
+def test_collocations_of_nothing(spark, chatter):
+    df = spark.createDataFrame(chatter, "lang string, text string")
+    assert collocations.collocations(df.limit(0)).count() == 0
+    assert collocations.collocations(df, least=10**9).count() == 0
+
+
+def test_collocation_arithmetic_passes_64_bits(spark, monkeypatch):
+    rows = [("x", w, n) for w, n in [("a", 9 * 10**16), ("b", 8 * 10**16), ("a b", 7 * 10**16), ("c", 10**17), ("a b c", 5.6 * 10**16), ("b c", 6 * 10**16)]]
+    counts = spark.createDataFrame([(a, b, int(n)) for a, b, n in rows], "lang string, phrase string, n long")
+    total = spark.createDataFrame([("x", 10**18)], "lang string, words long")
+    monkeypatch.setattr(collocations, "phrases", lambda *_: (counts, total))
+    got = {r["phrase"]: (r["l"], r["r"], r["score"]) for r in collocations.collocations(None).collect()}
+    assert got == {
+        "a b c": (7 * 10**16, 10**17, 2000000 * 56 // 170),  # a b is dropped: exactly 80 %; b c by 93 %
+    }
+
+
+def test_quicksort_counts_equal_parts():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 5, (2000, 4))
+    words[rng.random((2000, 4)) < 0.1] = -1
+    for j in range(1, 4):
+        words[words[:, j - 1] < 0, j] = -1
+    weight = rng.integers(1, 4, 2000)
+    want = Counter()
+    for row, n in zip(words.tolist(), weight.tolist(), strict=True):
+        for k in range(2, 5):
+            if row[k - 1] >= 0:
+                want[tuple(row[:k])] += n
+    for whole, least in ((2, 30), (3, 30), (4, 1), (2, 1)):
+        got = {tuple(words[p, :d].tolist()): n for p, d, n in collocations.quicksort(words, weight, whole, least)}
+        assert all(want[x] == n for x, n in got.items())
+        assert {x for x in got if got[x] >= least} == {x for x, n in want.items() if n >= least}
+
+
+def test_hashes_are_those_of_spark(spark):
+    for lang, word, more in [("en", "the", "of"), ("", "", ""), ("日", "é" * 40, "x" * 100)]:
+        row = spark.createDataFrame([(lang, word, more)], "a string, b string, c string").select(F.xxhash64("a", "b"), F.xxhash64("a", "b", "c")).first()
+        own = collocations.word_hash(lang, word.encode())
+        assert own == row[0] % (1 << 64)
+        assert xxhash.xxh64_intdigest(more.encode(), own) == row[1] % (1 << 64)
+
+
+def brute_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+
+
+def brute_labels(text, templates):
+    line = " ".join([*brute_words(text), ""])
+    return {label for label, t in templates if re.search("(?<![^ ])" + licenses.pattern(t), line)}
+
+
+def wording(regions, rnd, spoil=False):
+    """A text that a template accepts."""
+    out = []
+    for kind, *more in regions:
+        if kind == "word":
+            out.append(more[0].decode())
+        elif kind == "any":
+            out += rnd.choices(["x", "holder", "the", "be"], k=rnd.randint(*more))
+        elif rnd.random() < 0.5:
+            out += wording(more[0], rnd)
+    return out
+
+
+def test_templates_accept_their_wording_only():
+    rnd = random.Random(3)
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    for label, template in licenses.TEMPLATES:
+        for _ in range(5):
+            own = wording(licenses.parse(template), rnd)
+            text = " ".join(["noise", *own, "noise"])
+            _, found = scanner.scan(text.upper())
+            assert any(x == label and is_template and (a, b) == (1, 1 + len(own)) for x, is_template, a, b in found), own
+    full = next(t for label, t in licenses.TEMPLATES if label == "mit" and "NONINFRINGEMENT" in t)
+    own = wording(licenses.parse(full), rnd)
+    for k in range(0, len(own), 7):
+        spoilt = [*own[:k], "wrong", *own[k + 1 :]]
+        labels = {x for x, t, _, _ in scanner.scan(" ".join(spoilt))[1] if t}
+        assert labels == brute_labels(" ".join(spoilt), licenses.TEMPLATES)
+
+
+def test_random_templates_as_regular_expressions(monkeypatch):
+    rnd = random.Random(5)
+
+    def made(depth):
+        out = []
+        for _ in range(rnd.randint(1, 4)):
+            kind = rnd.random()
+            if kind < 0.6:
+                out.append(rnd.choice("abc"))
+            elif kind < 0.8:
+                low = rnd.randint(0, 2)
+                out.append(f"<any:{low}-{low + rnd.randint(0, 3)}>")
+            elif depth:
+                out.append("{" + made(depth - 1) + "}")
+        return " ".join(out)
+
+    monkeypatch.setattr(licenses, "PIECE", 8)
+    for _ in range(150):
+        templates = [(str(i), f"{rnd.choice('abc')} {made(2)}") for i in range(3)]
+        phrases = {"a b": "p", "c": "q", "a b a": "p"}
+        scanner = licenses.Scanner(phrases, templates)
+        text = " ".join(rnd.choices("abcd", k=rnd.randint(0, 40)))
+        n, found = scanner.scan(text)
+        words = brute_words(text)
+        assert n == len(words)
+        assert {x for x, t, _, _ in found if t} == brute_labels(text, templates)
+        want = [(label, i) for p, label in phrases.items() for i in range(n) if words[i : i + len(p.split())] == p.split()]
+        assert sorted((x, a) for x, t, a, _ in found if not t) == sorted(want)
+
+
+@pytest.mark.parametrize("wrong", ["{a} <x:1-2>", "<x:1-2> a", "a {b", "a} b", "a <x> b", "a <x:3-2>", "{a}"])
+def test_wrong_templates(wrong):
+    with pytest.raises(ValueError):
+        licenses.Scanner({}, [("x", wrong)])
+
+
+def test_license_rows(spark):
+    long = "word " * 300_000 + "MIT License; Apache License cc by " + "é" * 10
+    rows = [(1, None, 0, "x"), (2, "", 0, "x"), (None, "The MIT-License, gnu General\nPublic license", 0, "x"), (3, long, 0, "x"), (3, long, 0, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `license words` int, `License places` string")
+    out = licenses.find(df)
+    assert sorted(out.columns) == ["doc_id", "license places", "license words", "text"]
+    got = [(r[0], r[1], r[2], r[3]) for r in out.select("doc_id", "license words", licenses.label_text(F.col("license places")), F.size("license places")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, "", 0), (2, 0, "", 0), (None, 7, "gpl,mit", 2), (3, 300_007, "apache,cc-by,mit", 3), (3, 300_007, "apache,cc-by,mit", 3)], key=str)
+    assert licenses.find(df.limit(0)).count() == 0
+
+
+def brute_audit(docs, labels):
+    """Each order is applied to each document."""
+    good = {k for k, q, t in labels if q == 1 and k is not None}
+    toxic = {k for k, q, t in labels if t == 1 and k is not None}
+    fails = []
+    for k, text, source in docs:
+        text = text or ""
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        own = {
+            "A": len(words) < 50,
+            "B": 100 * len(set(words)) < 65 * len(words),
+            "C": 100 * len(re.findall("[A-Z]", text)) > 5 * len(text),
+            "D": bool(re.search("[#$%&*|]", text)),
+            "E": k is not None and any(j is not None and j < k and (t or "") == text for j, t, _ in docs),
+        }
+        fails.append((source or "", {f for f in own if own[f]}, k in good, k in toxic))
+    out = {}
+    for part in {f[0] for f in fails}:
+        own = [f for f in fails if f[0] == part]
+        shares = Counter()
+        for order in permutations("ABCDE"):
+            left = own
+            for i, f in enumerate(order):
+                gone = [x for x in left if f in x[1]]
+                stay = [x for x in left if f not in x[1]]
+                early = len([x for x in own if f in x[1]]) - len(gone)
+                unique = len([x for x in own if x[1] == {f}])
+                out[part, "".join(order), i + 1] = [len(stay), len(gone), early, unique, sum(x[2] for x in gone), sum(x[3] for x in gone), f]
+                shares[f] += len(gone)
+                left = stay
+        for (p, _, _), row in out.items():
+            if p == part:
+                row[6] = shares[row[6]]
+    return out
+
+
+def test_audit(spark):
+    rnd = random.Random(11)
+    kinds = ["word%d" % i for i in range(90)]
+    texts = [None, "", "  \n", "A", "é" * 60, "#", "X " * 60, "\x1cA \x85"]
+    for _ in range(25):
+        words = rnd.sample(kinds, rnd.randint(20, 90)) + ["same"] * rnd.randint(0, 60)
+        texts.append(" ".join(words) + rnd.choice(["", " $", " CAPITALS" * 12]))
+    docs = [(i % 70 if rnd.random() < 0.9 else None, rnd.choice(texts), rnd.choice(["a", "b", None, ""])) for i in range(160)]
+    docs += [docs[3]] * 3 + [(5, "copy", "a"), (5, "copy", "b"), (4, "copy", None), (4, "copy", None)]
+    labels = [(rnd.randint(0, 70), rnd.choice([0, 1, None]), rnd.choice([0, 1])) for _ in range(60)] + [(None, 1, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({"mask": F.lit("x"), "good": F.lit(1), "key": F.lit(1)})
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit(""))
+    want = brute_audit(docs, labels)
+    for frame in (df, df.repartition(7)):
+        got = {(r["part"], r["filter_order"], r["step"]): list(r)[3:] for r in audit.audit(frame, marks).collect()}
+        assert got == want
+    assert audit.audit(df.limit(0), marks).count() == 0
+    none = audit.audit(df, marks.limit(0)).agg(F.sum("good_lost"), F.sum("toxic_lost"), F.count("*")).first()
+    assert tuple(none) == (0, 0, 3 * 600)
+
+
+def test_shapley_is_exact():
+    rnd = random.Random(2)
+    for n in (1, 2, 3, 5, 6):
+        value = [0] + [rnd.randint(0, 10**30) for _ in range((1 << n) - 1)]
+        want = [Fraction(0)] * n
+        for order in permutations(range(n)):
+            before = 0
+            for i in order:
+                want[i] += Fraction(value[before | 1 << i] - value[before], math.factorial(n))
+                before |= 1 << i
+        assert audit.shapley(value, n) == want
