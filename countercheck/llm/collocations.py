@@ -8,9 +8,10 @@ suffixes that begin with the same pair. There the pointers are sorted by
 multikey three-way quicksort: a pivot word splits them into smaller, equal and
 larger ones, the equal ones go on with the next word, and the size of an equal
 part is the number of places of its phrase. Parts that are too small are
-abandoned.
+abandoned. Pairs are counted by a hash of 64 bits; if two share one, both may be
+let through, to be abandoned here.
 
-Before they are sent, equal suffixes of a few million words are folded to one
+Before they are sent, equal suffixes of a million words are folded to one
 with a weight, so a line in a third of all texts arrives once from each task. A
 pair with more than 1/ROUTES of all places is routed by three words, and by four
 if its second pair is as heavy; sizes of phrases shorter than that are added up.
@@ -22,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,7 +36,7 @@ LONGEST = 4  # words; the packing of suffixes in _suffixes is made for this
 TOP = 2000
 COVERED = 80  # percent of a phrase's places from which a longer one makes it superfluous
 UNKNOWN = "und"
-CHUNK = 1 << 22  # words that are folded together
+CHUNK = 1 << 20  # words that are folded together
 PIECE = 1 << 20  # bytes whose words are split at a time
 BLOCK = 1 << 20  # suffixes that are sorted together, or all of a route if they are more
 BITS = 25  # of the filters of frequent words and pairs, as a power of two
@@ -91,30 +93,33 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[
         yield words, np.concatenate(parts)
 
 
-def _rows(names: list[str], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(columns[0]), EMIT):
-        yield pa.RecordBatch.from_arrays([c.slice(k, EMIT) for c in columns], names=names)
+Rows = Callable[[slice], list[pa.Array]]
 
 
-def _texts(words: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _rows(names: list[str], size: int, rows: Rows) -> Iterator[pa.RecordBatch]:
+    """``size`` rows in batches, whose columns ``rows`` makes."""
+    for k in range(0, size, EMIT):
+        yield pa.RecordBatch.from_arrays(rows(slice(k, min(size, k + EMIT))), names=names)
+
+
+def _texts(words: list[tuple[str, bytes]]) -> tuple[pa.Array, pa.Array]:
     """Language and text of each word number."""
-    return np.array([w[0] for w in words], object), np.array([w[1].decode() for w in words], object)
+    langs, texts = zip(*words, strict=True)
+    return pa.array(langs, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of chunks with their places; those of all words of a language under a null word."""
+    names = ["lang", "phrase", "n"]
     for words, ids in chunks(batches, CHUNK):
-        counts = np.bincount(ids, minlength=len(words))[1:]
-        total: dict[str, int] = {}
-        for (lang, _), n in zip(words[1:], counts.tolist(), strict=True):
-            total[lang] = total.get(lang, 0) + n
+        counts = np.bincount(ids, minlength=len(words))
+        counts[0] = 0
         langs, texts = _texts(words)
-        columns = [
-            pa.array([*langs[1:], *total], pa.string()),
-            pa.array([*texts[1:], *[None] * len(total)], pa.string()),
-            pa.array([*counts.tolist(), *total.values()], pa.int64()),
-        ]
-        yield from _rows(["lang", "phrase", "n"], columns)
+        total = pa.table({"lang": langs, "n": counts}).group_by("lang").aggregate([("n", "sum")])
+        none = pa.nulls(len(total), pa.string())
+        yield pa.RecordBatch.from_arrays([total["lang"].combine_chunks(), none, total["n_sum"].combine_chunks()], names=names)
+        langs, texts, n = langs[1:], texts[1:], pa.array(counts[1:], pa.int64())
+        yield from _rows(names, len(n), lambda part: [langs[part], texts[part], n[part]])  # noqa: B023
 
 
 class Filter:
@@ -147,45 +152,35 @@ def _word_hashes(words: list[tuple[str, bytes]]) -> np.ndarray:
     return np.array([word_hash(*w) for w in words], np.uint64)
 
 
-def _pairs_of(words: list[tuple[str, bytes]], ids: np.ndarray, hashes: np.ndarray, frequent: Filter):
-    """Distinct pairs of frequent words in a row as (first, second) numbers, their hashes, and each position's pair or -1.
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return x ^ (x >> np.uint64(27))
 
-    A pair's hash is Spark's ``xxhash64(lang, first, second)``.
-    """
+
+def _pairs_of(words: list[tuple[str, bytes]], ids: np.ndarray, hashes: np.ndarray, frequent: Filter):
+    """Distinct pairs of frequent words in a row: numbers of both, a hash, places; and each position's pair or -1."""
     known = frequent.holds(hashes)
     known[0] = False
     at = np.flatnonzero(known[ids[:-1]] & known[ids[1:]])
-    keys = ids[at].astype(np.int64) << 32 | ids[at + 1]
-    keys, which = np.unique(keys, return_inverse=True)
-    first, second = keys >> 32, keys & 0xFFFFFFFF
-    seeds = hashes[first].tolist()
-    texts = [w[1] for w in words]
-    own = np.array([xxhash.xxh64_intdigest(texts[s], h) for s, h in zip(second.tolist(), seeds, strict=True)], np.uint64)
+    keys, which, counts = np.unique(ids[at].astype(np.int64) << 32 | ids[at + 1], return_inverse=True, return_counts=True)
     where = np.full(len(ids), -1, np.int64)
     where[at] = which
-    return first, second, own, where
+    first, second = keys >> 32, keys & 0xFFFFFFFF
+    return first, second, mixed(mixed(hashes[first]) + hashes[second]), counts, where
 
 
 def _pairs(frequent) -> Callable:
-    """Pairs of frequent words in chunks, with their places."""
+    """Hashes of pairs of frequent words in chunks, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, ids in chunks(batches, CHUNK):
-            first, second, _, where = _pairs_of(words, ids, _word_hashes(words), frequent.value)
-            counts = np.bincount(where[where >= 0], minlength=len(first))
-            langs, texts = _texts(words)
-            columns = [pa.array(langs[first], pa.string()), pa.array(texts[first], pa.string())]
-            columns += [pa.array(texts[second], pa.string()), pa.array(counts, pa.int64())]
-            yield from _rows(["lang", "w1", "w2", "n"], columns)
+            _, _, own, counts, _ = _pairs_of(words, ids, _word_hashes(words), frequent.value)
+            columns = [pa.array(own.view(np.int64), pa.int64()), pa.array(counts, pa.int64())]
+            yield from _rows(["pair", "n"], len(own), lambda part: [c[part] for c in columns])  # noqa: B023
 
     return run
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return x ^ (x >> np.uint64(27))
-
-
 _SUFFIXES = "lang string, phrase string, n long, whole int, route long"
 
 
@@ -198,7 +193,7 @@ def _suffixes(frequent, pairs, heavy) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, ids in chunks(batches, CHUNK):
             hashes = _word_hashes(words)
-            first, second, own, where = _pairs_of(words, ids, hashes, frequent.value)
+            first, second, own, _, where = _pairs_of(words, ids, hashes, frequent.value)
             alive = np.append(pairs.value.holds(own), False)  # place -1 is no pair
             where[~alive[where]] = -1
             # A suffix is its first pair and a tail: nothing, one word more, or another pair behind.
@@ -221,19 +216,20 @@ def _suffixes(frequent, pairs, heavy) -> Callable:
             route = np.where(whole > 2, mixed(route + hashes[third]), route)
             route = np.where(whole > 3, mixed(route + hashes[fourth]), route)
             langs, texts = _texts(words)
-            lead = [f"{a} {b}" for a, b in zip(texts[first], texts[second], strict=True)]
-            phrases = [
-                lead[p] if n == 2 else f"{lead[p]} {texts[c]}" if n == 3 else f"{lead[p]} {lead[q]}"
-                for p, n, c, q in zip(one.tolist(), size.tolist(), third.tolist(), ((tail >> 1) - 1).tolist(), strict=True)
-            ]
-            columns = [
-                pa.array(langs[first[one]], pa.string()),
-                pa.array(phrases, pa.string()),
-                pa.array(counts, pa.int64()),
-                pa.array(whole, pa.int32()),
-                pa.array(route.view(np.int64), pa.int64()),
-            ]
-            yield from _rows(["lang", "phrase", "n", "whole", "route"], columns)
+
+            def rows(part: slice) -> list[pa.Array]:
+                lead, n = one[part], size[part]  # noqa: B023
+                more = [pa.array(x[part], mask=n < k) for k, x in ((3, third), (4, fourth))]  # noqa: B023
+                phrase = [texts.take(x) for x in (first[lead], second[lead], *more)]  # noqa: B023
+                return [
+                    langs.take(first[lead]),  # noqa: B023
+                    pc.binary_join_element_wise(*phrase, " ", null_handling="skip"),
+                    pa.array(counts[part], pa.int64()),  # noqa: B023
+                    pa.array(whole[part], pa.int32()),  # noqa: B023
+                    pa.array(route[part].view(np.int64), pa.int64()),  # noqa: B023
+                ]
+
+            yield from _rows(["lang", "phrase", "n", "whole", "route"], len(one), rows)
 
     return run
 
@@ -241,18 +237,18 @@ def _suffixes(frequent, pairs, heavy) -> Callable:
 def quicksort(words: np.ndarray, weight: np.ndarray, whole: int, least: int) -> Iterator[tuple[int, int, int]]:
     """Equal parts of suffixes as (one of their pointers, number of equal words, weight), by three-way partition.
 
-    ``words`` has a row of numbers for each suffix, -1 after its last word. All
+    ``words`` has a column of numbers for each suffix, -1 after its last word. All
     suffixes with the same first ``whole`` words are here. Parts of less than
     ``least`` are abandoned, unless phrases shorter than ``whole`` may come from
     them, whose other places are elsewhere.
     """
-    todo = [(np.arange(len(words)), 0)]
+    todo = [(np.arange(words.shape[1]), 0)]
     while todo:
         pointers, depth = todo.pop()
         while len(pointers):
             if max(2, depth + 1) >= whole and weight[pointers].sum() < least:
                 break
-            own = words[pointers, depth]
+            own = words[depth, pointers]
             pivot = sorted((own[0], own[len(own) // 2], own[-1]))[1]
             todo.append((pointers[own < pivot], depth))
             todo.append((pointers[own > pivot], depth))
@@ -263,7 +259,7 @@ def quicksort(words: np.ndarray, weight: np.ndarray, whole: int, least: int) ->
             size = int(weight[pointers].sum())
             if depth >= 2 and (size >= least or depth < whole):
                 yield int(pointers[0]), depth, size
-            if depth == words.shape[1]:
+            if depth == len(words):
                 break
 
 
@@ -271,24 +267,29 @@ def _sort(least: int) -> Callable:
     """Phrases and their sizes from suffixes that are ordered by whole and route."""
 
     def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        langs, phrases = rows["lang"].to_pylist(), rows["phrase"].to_pylist()
+        rows = rows.combine_chunks()
+        langs, phrases = rows["lang"].chunk(0), rows["phrase"].chunk(0)
         weight, whole = rows["n"].to_numpy(), rows["whole"].to_numpy()
-        known: dict[str, int] = {}
-        words = np.full((len(phrases), 1 + LONGEST), -1, np.int64)
-        for i, (lang, phrase) in enumerate(zip(langs, phrases, strict=True)):
-            for j, w in enumerate((lang, *phrase.split(" "))):
-                words[i, j] = known.setdefault(w, len(known))
+        split = pc.split_pattern(phrases, " ")
+        numbers = split.flatten().dictionary_encode().indices.to_numpy()
+        start = split.offsets.to_numpy().astype(np.int64)
+        start, size = start[:-1] - start[0], np.diff(start)
+        words = np.full((LONGEST, len(phrases)), -1, np.int32)
+        for j in range(LONGEST):
+            has = size > j
+            words[j, has] = numbers[start[has] + j]
+        spoken = langs.dictionary_encode().indices.to_numpy()
         found = []
-        for lang in np.unique(words[:, 0]):
-            for w in np.unique(whole):
-                own = np.flatnonzero((words[:, 0] == lang) & (whole == w))
-                if len(own):
-                    parts = quicksort(words[own, 1:], weight[own], int(w), least)
-                    found += [(langs[k := int(own[p])], " ".join(phrases[k].split(" ")[:d]), n) for p, d, n in parts]
+        for lang in np.unique(spoken):
+            for w in np.unique(whole[spoken == lang]):
+                own = np.flatnonzero((spoken == lang) & (whole == w))
+                for p, depth, n in quicksort(words[:, own], weight[own], int(w), least):
+                    k = int(own[p])
+                    found.append((langs[k].as_py(), " ".join(phrases[k].as_py().split(" ")[:depth]), n))
         if found:
             kinds = (pa.string(), pa.string(), pa.int64())
             columns = [pa.array(v, k) for v, k in zip(zip(*found, strict=True), kinds, strict=True)]
-            yield from _rows(["lang", "phrase", "n"], columns)
+            yield from _rows(["lang", "phrase", "n"], len(found), lambda part: [c[part] for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -313,6 +314,11 @@ def _sort(least: int) -> Callable:
     return run
 
 
+def _summed(counts: DataFrame, *by: str) -> DataFrame:
+    """Sums of n. The chunks are folded already: folding once more before the shuffle would only take memory."""
+    return counts.repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"))
+
+
 def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Places of all words and phrases of 2 to LONGEST words that have ``least`` or more, and number of words.
 
@@ -325,14 +331,13 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
     small_batches(spark)
     share = spark.sparkContext.broadcast
     own = df.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text}`").alias("text"))
-    words = own.mapInArrow(_words, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    words = _summed(own.mapInArrow(_words, "lang string, phrase string, n long"), "lang", "phrase")
     words = stored(words.filter(F.col("phrase").isNull() | (F.col("n") >= least)), "phrase-words")
     total = words.filter("phrase is null").select("lang", F.col("n").alias("words"))
     words = words.filter("phrase is not null")
     frequent = share(Filter(words.select(F.xxhash64("lang", "phrase"))))
-    pairs = own.mapInArrow(_pairs(frequent), "lang string, w1 string, w2 string, n long")
-    pairs = pairs.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    pairs = stored(pairs.select(F.xxhash64("lang", "w1", "w2").alias("pair"), "n"), "phrase-pairs")
+    pairs = _summed(own.mapInArrow(_pairs(frequent), "pair long, n long"), "pair")
+    pairs = stored(pairs.filter(F.col("n") >= least), "phrase-pairs")
     places = pairs.agg(F.sum("n")).first()[0] or 0
     heavy = pairs.filter(F.col("n").cast("decimal(38,0)") * ROUTES > places).select("pair").collect()  # below ROUTES rows
     heavy = share(np.array([r[0] for r in heavy], np.int64).view(np.uint64))
