@@ -124,18 +124,15 @@ def _profiling(source, target, columns=(), top_n=5) -> Result:
 
 
 def _full_data(source, target, keys: Sequence[str] = (), **settings) -> Result:
-    """The classified rows are written once, to the shared folder; summary and
-    sections are read back from there, so nothing is compared twice."""
+    """The classified rows are stored, and summary and sections read back from
+    there, so nothing is compared twice. ``run_check`` owns that table: it is
+    removed when the sections are written, or when keys turn out to repeat."""
     options = row_diff.RowDiffOptions(**settings)
     strict = options.on_duplicate_key == "error"
     if strict:
         options = replace(options, on_duplicate_key="count")
     diff = row_diff.row_diff(source, target, keys, options)
-    spark = source.sparkSession
-    path = storage.new_folder(spark, "row-diff")
-    diff.rows.write.partitionBy("diff_status").parquet(path)
-    stored = spark.read.schema(diff.rows.schema).parquet(path)
-    diff = replace(diff, rows=stored, only_in=None)
+    diff = replace(diff, rows=storage.stored(diff.rows, "row-diff", "diff_status"), only_in=None)
     if strict:
         repeated = diff.duplicate_rows().first()
         for side in ("source", "target"):
@@ -195,9 +192,10 @@ def run_check(
             sides = [_catalog(spark, side) for side in (check.source, check.target)]
         else:
             sides = [_side(spark, side, check.module) for side in (check.source, check.target)]
-        sections, summarise = MODULES[check.module](*sides, **check.settings)
-        table.details.save(run_id, sections)
-        values = summarise(table.details.load_all(run_id)).first().asDict()
+        with storage.owned(spark):
+            sections, summarise = MODULES[check.module](*sides, **check.settings)
+            table.details.save(run_id, sections)
+            values = summarise(table.details.load_all(run_id)).first().asDict()
         status = values.pop("status")
         if check.module == "Full Data Validation":
             values["execution_start"] = started.isoformat()

@@ -45,18 +45,14 @@ def number_rows(df: DataFrame, order_by: Sequence[str], index: str = "row_number
     """Number the rows from 1 in the given order, over the whole table.
 
     A window without partitions would pull the table into one task. Instead
-    the rows are sorted in parallel and stored by a checkpoint, which fixes
-    which row is in which partition; only one count per partition comes to the
-    driver. List enough columns that rows of a frequent value can be told
+    the rows are sorted in parallel and stored with their partition and place,
+    for whoever has a scope open to own; only one count per partition comes to
+    the driver. List enough columns that rows of a frequent value can be told
     apart, as equal rows cannot be spread over tasks.
     """
-    storage.shared_folder(df.sparkSession)
     place = free_name(df.columns, "__place")
-    ordered = (
-        df.orderBy(*[ref(c).asc_nulls_last() for c in order_by])
-        .withColumn(place, F.monotonically_increasing_id())
-        .checkpoint()
-    )
+    ordered = df.orderBy(*[ref(c).asc_nulls_last() for c in order_by])
+    ordered = storage.stored(ordered.withColumn(place, F.monotonically_increasing_id()), "numbered")
     # monotonically_increasing_id: partition number above bit 33, row below.
     part = F.shiftright(F.col(place), 33)
     sizes = ordered.groupBy(part.alias("part")).count().collect()

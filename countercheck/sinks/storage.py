@@ -1,11 +1,14 @@
-"""Shared storage: where intermediate tables go, and paths that exist."""
+"""Shared storage: where intermediate tables go, who owns them, and paths that exist."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,3 +51,69 @@ def remove(spark: SparkSession, path: str) -> bool:
     """Delete a folder with everything in it. False if there was none."""
     system, target = _file_system(spark, path)
     return system.delete(target, True) if system.exists(target) else False
+
+
+class Scope:
+    """The intermediate tables that were stored while it was open."""
+
+    def __init__(self, spark: SparkSession, outer: Scope | None) -> None:
+        self.spark = spark
+        self.outer = outer
+        self.paths: list[str] = []
+
+    def _read_by(self, df: DataFrame) -> list[str]:
+        """The scope's tables that ``df`` reads, wherever in its plan."""
+        files = df.inputFiles()
+        return [p for p in self.paths if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
+
+    def keep(self, *results: DataFrame) -> None:
+        """What these read outlives the scope and belongs to the one around it, or to the session."""
+        for df in results:
+            for path in self._read_by(df):
+                self.paths.remove(path)
+                if self.outer:
+                    self.outer.paths.append(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove what these read, as its successors are written."""
+        for df in tables:
+            for path in self._read_by(df):
+                self.paths.remove(path)
+                remove(self.spark, path)
+
+
+_OPEN: ContextVar[Scope | None] = ContextVar("open scope", default=None)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[Scope]:
+    """Own all tables that ``stored`` writes inside; at the end those not kept are removed.
+
+    A lost executor costs nothing that was not there before: a table is removed
+    only when no plan that is still to run reads it, and its successors are
+    files on shared storage themselves. Whoever passes a lazy result on has to
+    ``keep`` it.
+    """
+    scope = Scope(spark, _OPEN.get())
+    token = _OPEN.set(scope)
+    try:
+        yield scope
+    finally:
+        _OPEN.reset(token)
+        for path in scope.paths:
+            remove(spark, path)
+
+
+def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+    """The rows as a table in the shared folder, read back: later steps start from it.
+
+    It cuts the lineage, and both sides of a later join are plain scans, which
+    adaptive execution can split where a key is hot. The innermost open scope
+    owns the table; without one it stays.
+    """
+    path = new_folder(df.sparkSession, label)
+    scope = _OPEN.get()
+    if scope:
+        scope.paths.append(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
