@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countercheck.llm.support import stored
+from countercheck.llm.support import owned, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,23 +19,32 @@ def components(edges: DataFrame) -> DataFrame:
     (large star), then every node's smaller neighbours likewise (small star).
     Edges never get more, and the number of rounds grows with the logarithm of
     the longest path. A round's minima are stored before the join, so that a
-    node with very many edges is split between tasks.
+    node with very many edges is split between tasks. Of all tables that are
+    stored, only the result is left.
     """
     a, b = (F.col(f"`{c}`") for c in edges.columns)
     low = edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root"))
-    now = stored(low.filter("node <> root and root is not null").distinct(), "edges")
-    while True:
-        both = now.unionAll(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        large = _star(both).filter("root0 > node").selectExpr("root0 as node", "least(least0, node) as root")
-        large = stored(large.filter("node <> root").distinct(), "large-star")
-        small = _star(large)
-        new = small.selectExpr("root0 as node", "least0 as root").unionAll(
-            small.selectExpr("node", "least0 as root")
-        )
-        new = stored(new.filter("node <> root").distinct(), "small-star")
-        if _mark(new) == _mark(now):
-            return new
-        now = new
+    spark = edges.sparkSession
+    with owned(spark) as scope:
+        now = stored(low.filter("node <> root and root is not null").distinct(), "edges")
+        mark = _mark(now)
+        while True:
+            with owned(spark) as round_:
+                both = now.unionAll(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
+                large = _star(both).filter("root0 > node").selectExpr("root0 as node", "least(least0, node) as root")
+                large = stored(large.filter("node <> root").distinct(), "large-star")
+                small = _star(large)
+                new = small.selectExpr("root0 as node", "least0 as root").unionAll(
+                    small.selectExpr("node", "least0 as root")
+                )
+                new = stored(new.filter("node <> root").distinct(), "small-star")
+                round_.keep(new)
+            scope.drop(now)
+            before, mark = mark, _mark(new)
+            if mark == before:
+                scope.keep(new)
+                return new
+            now = new
 
 
 def _star(edges: DataFrame) -> DataFrame:

@@ -7,24 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countercheck.sinks.storage import new_folder
+from countercheck.sinks.storage import owned, stored
+
+__all__ = ["owned", "put", "small_batches", "stored", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a table in the shared folder, read back: later steps start from it.
-
-    It cuts the lineage, and both sides of a later join are plain scans, which
-    adaptive execution can split where a key is hot.
-    """
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Send texts to Python in small batches, where the session has the default size.
 
