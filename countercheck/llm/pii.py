@@ -81,7 +81,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _plain(word: str) -> str:
-    return re.sub(r"\d", "0", word.strip(EDGE).lower())
+    """A context word, or nothing for signs alone: a bar or a dash tells nothing about its neighbours."""
+    word = re.sub(r"\d", "0", word.strip(EDGE).lower())
+    return word if any(c.isalnum() for c in word) else ""
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:

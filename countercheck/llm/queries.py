@@ -94,11 +94,11 @@ listed AS (
   FROM (SELECT *, ('0x' || substr(md5(kind || ':' || key), 1, 4))::INT AS x FROM names)
   WHERE x % 3 = 0 OR x % 4 = 1),
 spans AS (
-  SELECT list, kind, lower(key) AS key, DATE '{FIRST_DAY}' + x % 200 AS valid_from,
+  SELECT list, kind, key, DATE '{FIRST_DAY}' + x % 200 AS valid_from,
          CASE WHEN x % 2 = 0 THEN DATE '{FIRST_DAY}' + (x % 200 + 40 + x % 50) ELSE DATE '9999-12-31' END AS valid_to
   FROM listed
   UNION ALL
-  SELECT list, kind, lower(key), DATE '{FIRST_DAY}' + (x % 200 + 100 + x % 50), DATE '9999-12-31'
+  SELECT list, kind, key, DATE '{FIRST_DAY}' + (x % 200 + 100 + x % 50), DATE '9999-12-31'
   FROM listed WHERE x % 10 = 0),
 hits AS (
   SELECT p.page_id, s.*, CASE kind WHEN 'domain' THEN len(string_split(key, '.')) WHEN 'host' THEN 1000

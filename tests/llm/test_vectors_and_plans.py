@@ -3,11 +3,12 @@
 import datetime as dt
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from countercheck.llm import forest, mixing, neighbours, shards, urls
+from countercheck.llm import forest, mixing, neighbours, queries, shards, urls
 
 VECTORS = "vec_id long, embedding array<float>, label int, score double"
 
@@ -188,3 +189,15 @@ def test_url_prefixes_keep_the_case_of_paths(spark):
     entries = spark.createDataFrame([("block", "prefix", "EXAMPLE.com/Wiki", "2024-01-01", "add")], "list string, kind string, key string, day string, action string")
     got = {r["id"]: (r["decision"], r["entry_key"]) for r in urls.filter_urls(df, entries).collect()}
     assert got == {0: ("block", "example.com/Wiki"), 1: ("none", None), 2: ("none", None)}
+
+
+def test_url_query_and_sql_agree_on_cases(spark, tmp_path):
+    hosts = ["Example.com", "example.com", "a.B.org", "c.net"]
+    urls_ = [f"http://{h}/{s}/{t}" for h in hosts for s in ("Wiki", "wiki", "WIKI", "x") for t in range(12)]
+    spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in queries.op2_urls(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "host", "day", "valid_from", "valid_to", "decision", "entry_kind", "entry_key"]
+    assert got == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({queries.OP2_SQL})").fetchall())
+    assert any(r[6] == "prefix" and r[7].endswith(("/Wiki", "/WIKI")) for r in got)

@@ -309,3 +309,102 @@ def test_recall_of_lone_near_passages(spark):
     share = len(found & set(wanted)) / len(wanted)
     print("recall", share, "of", len(wanted))
     assert len(wanted) > 200 and share >= 0.98
+
+
+def test_signs_are_no_context():
+    text = "| 4111111111111112 | card - 5 now"
+    assert pii.contexts(text, 2, 18) == []
+    assert pii.contexts("my card 4111 now", 8, 12) == ["my card _", "card _ now"]
+    assert pii.contexts("pay | 4111 now", 6, 10) == []
+
+
+def test_table_cells_teach_nothing(spark):
+    """Bars around many cards are no pattern for other numbers between bars."""
+    cards = ["4111 1111-1111 1111", "4012888888881881", "5555555555554444", "4222222222222220", "378282246310005", "4000056655665556", "5105105105105100"]
+    rows = [(i, f"x | {c} | y") for i, c in enumerate(cards)] + [(50, "x | 1234567890123456 | y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not [s for r in pii.find(df).collect() for s in r["pii spans"] if s["kind"].startswith(pii.FOUND)]
+
+
+def plain_patterns(hits, rounds, support, sure):
+    edges = {}
+    for kind, instance, pattern in hits:
+        old = edges.get((pattern, instance))
+        edges[pattern, instance] = min(filter(None, (old, kind)), default=None)
+    known = {}
+    for (_, instance), kind in edges.items():
+        if kind:
+            known[instance] = min(known.get(instance, kind), kind)
+    for step in range(rounds):
+        patterns = {}
+        for pattern in {p for p, _ in edges}:
+            own = [i for p, i in edges if p == pattern]
+            kinds = [known[i] for i in own if i in known]
+            top = min(set(kinds), key=lambda k: (-kinds.count(k), k), default=None)
+            patterns[pattern] = (len(kinds), len(kinds) / len(own), top)
+        if step + 1 == rounds:
+            return {(p, k) for p, (n, share, k) in patterns.items() if n >= support and share >= sure}
+        learned = {}
+        for instance in {i for _, i in edges} - set(known):
+            told = [patterns[p][1:] for p, i in edges if i == instance and patterns[p][0] >= support]
+            if told and sum(s for s, _ in told) / len(told) >= sure:
+                kinds = [k for _, k in told]
+                learned[instance] = min(set(kinds), key=lambda k: (-kinds.count(k), k))
+        known |= learned
+
+
+def test_pattern_scores(spark):
+    rnd = random.Random(8)
+    for trial in range(3):
+        kinds = {i: rnd.choice(["card", "phone"]) if rnd.random() < 0.7 else None for i in range(60)}
+        hits = [(kinds[i], i, p) for p in range(12) for i in rnd.sample(range(60), rnd.randint(1, 15))]
+        hits += rnd.sample(hits, 10)
+        got = pii.good_patterns(spark.createDataFrame(hits, "kind string, instance long, pattern long"), 3, 3, 0.6)
+        assert {tuple(r) for r in got.collect()} == plain_patterns(hits, 3, 3, 0.6), trial
+
+
+def plain_ftrl(rows, epochs):
+    """Follow the regularised leader, one weight at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        rate = (quality.BETA + n.get(i, 0.0) ** 0.5) / quality.ALPHA + quality.L2
+        return ((1 if z[i] > 0 else -1) * quality.L1 - z[i]) / rate
+
+    for _ in range(epochs):
+        for features, label in rows:
+            own = {i: weight(i) for i in features}
+            guess = 1 / (1 + np.exp(-sum(own[i] * v for i, v in features.items())))
+            for i, v in features.items():
+                step = (guess - label) * v
+                old = n.get(i, 0.0)
+                n[i] = old + step * step
+                z[i] = z.get(i, 0.0) + step - (n[i] ** 0.5 - old**0.5) / quality.ALPHA * own[i]
+    return {i: w for i in z if (w := weight(i))}
+
+
+def plain_features(text):
+    found = {quality.BIAS: 1.0}
+    for reading in quality.Features().readings(text):
+        for i in reading.tolist():
+            found[i] = found.get(i, 0.0) + quality.SCALE / len(reading)
+    return found
+
+
+def test_classifier_as_a_scalar_loop(spark, monkeypatch):
+    monkeypatch.setattr(quality, "WORKERS", 1)
+    rnd = random.Random(6)
+    pool = [["good words in order here", "fine text again and more", "plain words"], ["$$ JUNK 99", "x1 x1 x1 junk", "|| 77 ##"]]
+    texts = [(i, " ".join(rnd.choices(pool[i % 2], k=rnd.randint(1, 6))), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([t[:2] for t in texts] + [(90, None), (91, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in texts], "doc_id long, quality int")
+    weights = quality.train(docs, labels)
+    order = docs.join(labels, "doc_id").select("text", "quality", F.xxhash64("doc_id", F.lit(1)).alias("o")).orderBy("o").collect()
+    want = plain_ftrl([(plain_features(r["text"]), r["quality"]) for r in order], quality.EPOCHS)
+    assert set(np.flatnonzero(weights).tolist()) == set(want)
+    assert all(abs(weights[i] - w) < 1e-9 for i, w in want.items())
+    for r in quality.score(docs, weights).collect():
+        total = sum(want.get(i, 0.0) * v for i, v in plain_features(r["text"] or "").items())
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9
