@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from countercheck.functions import exact_sum
 from countercheck.functions import values as V
 from countercheck.functions.names import ColumnError, adopt_spelling, ref, require_columns
 
@@ -27,11 +28,6 @@ class Metric:
         return self.alias or f"{self.function}_{self.column}"
 
 
-#: Sums of floats depend on the order of the rows. Two of them are equal if they
-#: differ by no more than this share of the sum of absolute values.
-NOISE = 1e-9
-
-
 def _expression(metric: Metric, value: Column, dtype: T.DataType) -> Column:
     """The aggregate: a double for means and of floats, otherwise a decimal."""
     if metric.function == "COUNT":
@@ -41,7 +37,7 @@ def _expression(metric: Metric, value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.IntegralType):
         value = value.cast("decimal(28,0)")
     if metric.function == "AVG":
-        return F.try_divide(F.sum(value).cast("double"), F.count(value))
+        return F.try_divide(F.sum(value).cast("double"), F.count(value))  # of whole and decimal numbers, see _one_side
     found = {"SUM": F.sum, "MIN": F.min, "MAX": F.max}[metric.function](value)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return found.cast("double")
@@ -49,29 +45,64 @@ def _expression(metric: Metric, value: Column, dtype: T.DataType) -> Column:
     return found.cast(T.DecimalType(38, scale))
 
 
-def _size(metric: Metric, value: Column, dtype: T.DataType) -> Column:
-    """The sum or mean of absolute values that NOISE is a share of; 0 where order is no matter."""
-    if metric.function not in ("SUM", "AVG") or not isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.lit(0.0)
-    total = F.sum(F.abs(value.cast("double")))
-    return F.try_divide(total, F.count(value)) if metric.function == "AVG" else total
-
-
 def _one_side(df: DataFrame, groups: list[str], metrics: Sequence[Metric]) -> DataFrame:
+    """Columns m0, m1, ... of one aggregation, beside the groups.
+
+    Sums and means of floats come from totals of bands (``exact_sum``). For them
+    each row is read once more per summed column, as band and whole part, and
+    folded by band in the map task, before one row a group is made of all.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = require_columns([m.column for m in metrics], df.columns, "Aggregation column(s)")
-    aggregates = []
-    for i, (metric, name) in enumerate(zip(metrics, columns, strict=True)):
+    for metric, name in zip(metrics, columns, strict=True):
         numeric = V.family(types[name]) in (V.INTEGER, V.FLOAT)
         if not numeric and not metric.function.startswith("COUNT"):
             raise ColumnError(
                 f"{metric.function} needs a number, but '{name}' is {types[name].simpleString()}"
             )
-        value = V.missing_as_null(ref(name), types[name])
-        aggregates.append(_expression(metric, value, types[name]).alias(f"m{i}"))
-        aggregates.append(_size(metric, value, types[name]).alias(f"n{i}"))
-    by_group = [V.missing_as_null(ref(g), types[g]).alias(g) for g in groups]
-    return df.groupBy(*by_group).agg(*aggregates)
+    keys = {f"group {i}": V.missing_as_null(ref(g), types[g]) for i, g in enumerate(groups)}
+    held = {name: f"value {i}" for i, name in enumerate(dict.fromkeys(columns))}
+    values = [V.missing_as_null(ref(name), types[name]).alias(v) for name, v in held.items()]
+    rows = df.select(*[c.alias(k) for k, c in keys.items()], *values)
+
+    def is_banded(metric: Metric, name: str) -> bool:
+        return metric.function in ("SUM", "AVG") and isinstance(types[name], (T.FloatType, T.DoubleType))
+
+    pairs = list(zip(metrics, columns, strict=True))
+    banded = list(dict.fromkeys(held[name] for metric, name in pairs if is_banded(metric, name)))
+    plain = {i: (m, n) for i, (m, n) in enumerate(pairs) if not is_banded(m, n)}
+    back = [ref(k).alias(g) for k, g in zip(keys, groups, strict=True)]
+    if not banded:
+        found = [_expression(m, ref(held[n]), types[n]).alias(f"m{i}") for i, (m, n) in plain.items()]
+        return rows.groupBy(*map(ref, keys)).agg(*found).select(*back, *[f"m{i}" for i in plain])
+
+    nothing = F.lit(None).cast("struct<band: int, part: bigint>")
+    kinds = [F.struct(F.lit(-1).alias("of"), nothing.alias("x"))]
+    kinds += [F.struct(F.lit(j).alias("of"), exact_sum.band_of(ref(v)).alias("x")) for j, v in enumerate(banded)]
+    rows = rows.withColumn("kind", F.explode(F.array(*kinds)))
+    of, part = F.col("of"), F.col("part")
+    rows = rows.withColumns({"of": F.col("kind.of"), "band": F.col("kind.x.band"), "part": F.col("kind.x.part")})
+    found = [_expression(m, F.when(of < 0, ref(held[n])), types[n]).alias(f"m{i}") for i, (m, n) in plain.items()]
+    by_band = rows.groupBy(*map(ref, keys), "of", "band").agg(
+        *found, exact_sum.total_of(part).alias("total"), F.count(part).alias("n")
+    )
+    whole = [F.max(f"m{i}").alias(f"m{i}") for i in plain]
+    for j, _ in enumerate(banded):
+        own = F.when((of == j) & F.col("band").isNotNull(), F.struct("band", "total"))
+        whole += [F.collect_list(own).alias(f"bands {j}"), F.sum(F.when(of == j, F.col("n"))).alias(f"n {j}")]
+    out = by_band.groupBy(*map(ref, keys)).agg(*whole)
+    for j, _ in enumerate(banded):
+        out = out.withColumn(f"sum {j}", exact_sum.joined(ref(f"bands {j}")))
+    made = []
+    for i, (metric, name) in enumerate(pairs):
+        if i in plain:
+            none = F.lit(0).cast("decimal(38,0)")
+            made.append((F.coalesce(f"m{i}", none) if metric.function.startswith("COUNT") else F.col(f"m{i}")).alias(f"m{i}"))
+        else:
+            j = banded.index(held[name])
+            total = ref(f"sum {j}")
+            made.append((F.try_divide(total, ref(f"n {j}")) if metric.function == "AVG" else total).alias(f"m{i}"))
+    return out.select(*back, *made)
 
 
 def aggregate_compare(
@@ -87,8 +118,10 @@ def aggregate_compare(
     per group, are then brought together. Missing group values are equal.
 
     Counts, and sums and extremes of whole and decimal numbers, are compared
-    exactly, of any size; values are shown as doubles. Sums and means of floats
-    are equal within NOISE, as their last digits depend on the order of rows.
+    exactly, of any size; values are shown as doubles. Sums of floats are exact
+    and then rounded once, so the order of rows doesn't matter and what differs
+    by more than a double's last digit differs. A float column beside a decimal
+    one has rounded values to begin with: give a tolerance there.
     """
     if not metrics:
         raise ValueError("At least one aggregation is required.")
@@ -102,13 +135,13 @@ def aggregate_compare(
     sides = [
         _one_side(frame, groups, metrics).select(
             *[ref(g) for g in groups],
-            *[F.col(f"{own}{i}").alias(f"{tag}{own}{i}") for i in range(len(metrics)) for own in "mn"],
+            *[F.col(f"m{i}").alias(f"{tag}m{i}") for i in range(len(metrics))],
         )
         for tag, frame in (("s", source), ("t", target))
     ]
     kinds = {f.name: f.dataType for side in sides for f in side.schema.fields}
     together = sides[0].unionByName(sides[1], allowMissingColumns=True)
-    both = [f"{t}{own}{i}" for i in range(len(metrics)) for t in "st" for own in "mn"]
+    both = [f"{t}m{i}" for i in range(len(metrics)) for t in "st"]
     together = together.groupBy(*[ref(g) for g in groups]).agg(*[F.max(c).alias(c) for c in both])
 
     def compared(i: int, metric: Metric) -> Column:
@@ -117,13 +150,11 @@ def aggregate_compare(
         if all(isinstance(kind, T.DecimalType) for kind in own):
             common = T.DecimalType(38, max(kind.scale for kind in own))
         s, t = (F.coalesce(F.col(f"{t}m{i}").cast(common), F.lit(0).cast(common)) for t in "st")
-        size = F.greatest(F.coalesce(f"sn{i}", F.lit(0.0)), F.coalesce(f"tn{i}", F.lit(0.0)))
-        difference = (t - s).cast("double")
         return F.struct(
             F.lit(metric.name).alias("metric"),
             s.cast("double").alias("source_value"),
             t.cast("double").alias("target_value"),
-            F.when(F.abs(difference) <= NOISE * size, 0.0).otherwise(difference).alias("difference"),
+            (t - s).cast("double").alias("difference"),
         )
 
     per_metric = F.explode(F.array(*[compared(i, m) for i, m in enumerate(metrics)]))

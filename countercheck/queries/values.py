@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countercheck.operators import aggregates, completeness, counts, duplicates, integrity
@@ -115,6 +118,29 @@ AGG_EXACT_SQL = """SELECT * FROM (VALUES ('SUM_v', CAST(-1 AS DOUBLE), 'FAIL'),
   ('MIN_v', CAST(0 AS DOUBLE), 'PASS'), ('COUNT_v', CAST(0 AS DOUBLE), 'PASS')) t(metric, difference, status)"""
 
 
+def agg_float_exact(spark, folder):
+    """Floats of the orders beside a very large one: a hundred more in one row is a difference, another order is none."""
+    price = F.col("o_totalprice").cast("double")
+    source = D.orders(spark, folder).select("o_orderkey", price.alias("v"))
+    large = source.select("o_orderkey", F.when(F.col("o_orderkey") == 1, F.lit(1e15)).otherwise(F.lit(0.0)).alias("v"))
+    first = F.when(F.col("o_orderkey") == 1, F.col("v") + 100).otherwise(F.col("v"))
+    sides = {"moved": source.repartition(5, "v"), "raised": source.withColumn("v", first)}
+    sides |= {"large moved": large.repartition(3), "large raised": large.withColumn("v", first)}
+    out = []
+    for name, target in sides.items():
+        wanted = [aggregates.Metric("v", f) for f in ("SUM", "AVG")]
+        found = aggregates.aggregate_compare(large if "large" in name else source, target, wanted)
+        out.append(found.select(F.lit(name).alias("target"), "metric", F.round("difference", 1).alias("difference"), "status"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+AGG_FLOAT_EXACT_SQL = """WITH n AS (SELECT count(*) AS n FROM orders),
+d(target, raised) AS (VALUES ('moved', 0.0), ('raised', 100.0), ('large moved', 0.0), ('large raised', 100.0))
+SELECT target, 'SUM_v' AS metric, CAST(raised AS DOUBLE) AS difference, CASE WHEN raised = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM d
+UNION ALL
+SELECT target, 'AVG_v', round(CAST(raised AS DOUBLE) / n, 1), CASE WHEN raised = 0 THEN 'PASS' ELSE 'FAIL' END FROM d, n"""
+
+
 def agg_summary(spark, folder):
     return aggregates.aggregate_summary(agg_compare_grouped(spark, folder))
 
@@ -315,6 +341,7 @@ QUERIES = {
     "agg_summary": (agg_summary, AGG_SUMMARY_SQL),
     "agg_compare_self": (agg_compare_self, AGG_SELF_SQL),
     "agg_exact": (agg_exact, AGG_EXACT_SQL),
+    "agg_float_exact": (agg_float_exact, AGG_FLOAT_EXACT_SQL),
     "dup_groups": (
         dup_groups,
         "SELECT l_orderkey, l_linenumber, count(*) AS occurrence_count FROM lineitem "
