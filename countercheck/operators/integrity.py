@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import functools
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from countercheck.functions import values as V
 from countercheck.functions.names import ColumnError, free_name, ref, require_columns
@@ -144,32 +146,100 @@ def orphans(
     )
 
 
+def _common_type(spark, left: T.DataType, right: T.DataType) -> T.DataType:
+    """The type in which Spark compares values of two types."""
+    both = T.StructType([T.StructField("l", left), T.StructField("r", right)])
+    return spark.createDataFrame([], both).select(F.coalesce("l", "r").alias("c")).schema["c"].dataType
+
+
+def _key_text(value: Column, own: T.DataType, common: T.DataType) -> Column:
+    """A text that two values share if and only if they are equal as ``common``."""
+    value = V.missing_as_null(value, own).cast(common)
+    if isinstance(common, (T.FloatType, T.DoubleType)):
+        return (value + F.lit(0.0)).cast("string")  # minus zero is zero
+    if isinstance(common, T.BinaryType):
+        return F.hex(value)
+    if isinstance(common, (T.ArrayType, T.StructType)):
+        return F.when(value.isNotNull(), F.to_json(F.struct(value.alias("v"))))
+    return value.cast("string")
+
+
+def _sides(number: int, fk: ForeignKey, tables: Mapping[str, DataFrame]) -> Iterator[tuple[str, Column]]:
+    """What a row of the child's and of the parent's table says about one key; a key with a missing part is null."""
+    child, parent = tables[fk.table], tables[fk.referred_table]
+    names = _key_names(child, parent, fk.columns, fk.referred_columns)
+    kinds = [[df.schema[n].dataType for n in own] for df, own in zip((child, parent), names, strict=True)]
+    common = [_common_type(child.sparkSession, left, right) for left, right in zip(*kinds, strict=True)]
+    for table, own, types in zip((fk.table, fk.referred_table), names, kinds, strict=True):
+        parts = [_key_text(ref(n), t, c) for n, t, c in zip(own, types, common, strict=True)]
+        whole = functools.reduce(lambda x, y: x & y, (p.isNotNull() for p in parts))
+        is_child = F.lit(table == fk.table and own is names[0])
+        yield table, F.struct(F.lit(number).alias("fk"), is_child.alias("is_child"), F.when(whole, F.array(*parts)).alias("key"))
+
+
 def foreign_key_sweep(
-    tables: dict[str, DataFrame],
+    tables: Mapping[str, DataFrame],
     foreign_keys: Iterable[ForeignKey],
     tolerance_percent: float = 0.0,
 ) -> DataFrame:
-    """One orphan summary per declared foreign key, as one DataFrame."""
-    parts = []
-    for fk in foreign_keys:
-        summary = orphan_summary(
-            tables[fk.table],
-            tables[fk.referred_table],
-            fk.columns,
-            fk.referred_columns,
-            tolerance_percent,
-        )
-        parts.append(
-            summary.select(
-                F.lit(fk.name).alias("foreign_key"),
-                F.lit(fk.table).alias("child_table"),
-                F.lit(fk.referred_table).alias("parent_table"),
-                *summary.columns,
-            )
-        )
-    if not parts:
+    """One orphan summary per declared foreign key, as one DataFrame.
+
+    Every table is read once, whatever the number of keys it is child or parent
+    of: each row is spread to (number of the key, side, key value), and all of
+    them are folded by key in the map task and meet in one shuffle. A value that
+    comes from children only is an orphan, so there is no join, and a value that
+    most rows share weighs no more than any other.
+    """
+    declared = list(foreign_keys)
+    if not declared:
         raise ValueError("No foreign keys are declared.")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    said: dict[str, list[Column]] = {}
+    for number, fk in enumerate(declared):
+        for table, what in _sides(number, fk, tables):
+            said.setdefault(table, []).append(what)
+    stacked = [tables[t].select(F.explode(F.array(*what)).alias("x")).select("x.*") for t, what in said.items()]
+    rows = functools.reduce(DataFrame.unionByName, stacked).filter("is_child or key is not null")
+    per_key = rows.groupBy("fk", "key").agg(F.count_if("is_child").alias("n"), F.max(~F.col("is_child")).alias("found"))
+    n, has_key = F.col("n"), F.col("key").isNotNull()
+    orphan = has_key & ~F.col("found")
+
+    def total(condition: Column) -> Column:
+        return F.sum(F.when(condition, n).otherwise(0))
+
+    totals = per_key.groupBy("fk").agg(
+        F.sum("n").alias("child_rows"),
+        total(has_key).alias("checked_rows"),
+        total(~has_key).alias("null_key_rows"),
+        total(orphan).alias("orphan_rows"),
+        F.count_if(orphan).alias("distinct_orphan_keys"),
+    )
+    spark = tables[declared[0].table].sparkSession
+    named = spark.createDataFrame(
+        [(i, fk.name, fk.table, fk.referred_table) for i, fk in enumerate(declared)],
+        "fk int, foreign_key string, child_table string, parent_table string",
+    )
+    counted = [c for c in totals.columns if c != "fk"]
+    out = named.join(totals, "fk", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counted})
+    out = out.withColumn("p", V.percent_of(F.col("orphan_rows"), F.col("checked_rows"), 0.0))
+    return out.select(
+        "foreign_key",
+        "child_table",
+        "parent_table",
+        "child_rows",
+        "checked_rows",
+        "null_key_rows",
+        "orphan_rows",
+        F.round("p", 4).alias("orphan_percent"),
+        "distinct_orphan_keys",
+        V.verdict(F.col("p") <= tolerance_percent).alias("status"),
+    )
+
+
+def sweep_summary(sweep: DataFrame) -> DataFrame:
+    """One row: keys checked and failed, rows checked, orphan rows, verdict."""
+    return sweep.agg(
+        F.count("*").alias("foreign_keys_checked"),
+        F.count_if(F.col("status") == "FAIL").alias("foreign_keys_failed"),
+        F.coalesce(F.sum("checked_rows"), F.lit(0)).alias("checked_rows"),
+        F.coalesce(F.sum("orphan_rows"), F.lit(0)).alias("orphan_rows"),
+    ).withColumn("status", V.verdict(F.col("foreign_keys_failed") == 0))

@@ -13,7 +13,7 @@ from countercheck.operators import aggregates, completeness, counts, duplicates,
 from countercheck.operators import integrity, profile, row_diff, schema_diff
 from countercheck.sinks import storage
 from countercheck.sinks.run_table import RunTable, now
-from countercheck.sources.catalog import session_table_catalog
+from countercheck.sources.catalog import foreign_keys_of, session_table_catalog
 from countercheck.sources.load import Source, format_of, load
 
 
@@ -102,9 +102,26 @@ def _aggregation(source, target, metrics=(), **settings) -> Result:
     return {title: comparison}, lambda stored: aggregates.aggregate_summary(stored[title])
 
 
+def _declared_keys(foreign_keys: object, tables: Mapping[str, object], **tolerance) -> Result:
+    """All keys that a catalog declares between the given tables."""
+    spark = SparkSession.active()
+    sides = {name: _side(spark, side, "") for name, side in tables.items()}
+    declared = foreign_keys_of(_side(spark, foreign_keys, ""))
+    known = [fk for fk in declared if fk.table in sides and fk.referred_table in sides]
+    if not known:
+        raise CheckError("No foreign key is declared between the given tables")
+    title = "Foreign Keys"
+    sweep = integrity.foreign_key_sweep(sides, known, **tolerance)
+    return {title: sweep}, lambda stored: integrity.sweep_summary(stored[title])
+
+
 def _integrity(
-    source, target, child_keys=(), parent_keys=(), sample_limit=None, **tolerance
+    source, target, child_keys=(), parent_keys=(), sample_limit=None, foreign_keys=None, tables=None, **tolerance
 ) -> Result:
+    """Keys named here, between source and target; or, with ``foreign_keys``, the
+    rows of a catalog (see ``foreign_keys_of``), those it declares between ``tables``."""
+    if foreign_keys is not None:
+        return _declared_keys(foreign_keys, tables or {}, **tolerance)
     rows = integrity.orphans(source, target, child_keys, parent_keys, sample_limit)
     return {"Orphan Rows": rows}, lambda stored: integrity.orphan_summary(
         source, target, child_keys, parent_keys, **tolerance

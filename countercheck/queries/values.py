@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from countercheck.operators import aggregates, completeness, counts, duplicates, integrity
 from countercheck.operators.aggregates import Metric
 from countercheck.queries import derived as D
+from countercheck.sources.catalog import foreign_keys_of
 
 TARGET = f"WITH {D.TARGET_ORDERS_SQL}"
 GAPPY = f"WITH {D.GAPPY_CUSTOMER_SQL}"
@@ -324,6 +325,19 @@ def fk_sweep(spark, folder):
     return integrity.foreign_key_sweep(tables, FOREIGN_KEYS)
 
 
+def fk_declared(spark, folder):
+    """The keys as a catalog declares them, those of tables that are not given left out."""
+    rows = [
+        (fk.name, fk.table, c, fk.referred_table, r, i)
+        for fk in FOREIGN_KEYS
+        for i, (c, r) in enumerate(zip(fk.columns, fk.referred_columns, strict=True), 1)
+    ]
+    kind = "constraint_name string, table_name string, column_name string, referred_table string, referred_column string, ordinal_position int"
+    declared = foreign_keys_of(spark.createDataFrame(rows, kind))
+    tables = {n: D.table(spark, folder, n) for fk in FOREIGN_KEYS for n in (fk.table, fk.referred_table)}
+    return integrity.sweep_summary(integrity.foreign_key_sweep(tables, declared))
+
+
 def _fk_sql(fk: integrity.ForeignKey) -> str:
     c, p = fk.columns[0], fk.referred_columns[0]
     flagged = f"""(SELECT {c} AS k, {c} IS NOT NULL AND {c} NOT IN (SELECT {p} FROM {fk.referred_table})
@@ -387,4 +401,11 @@ ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedp
     ),
     "orphan_composite": (orphan_composite, COMPOSITE_SQL),
     "fk_sweep": (fk_sweep, " UNION ALL ".join(_fk_sql(fk) for fk in FOREIGN_KEYS)),
+    "fk_declared": (
+        fk_declared,
+        f"""SELECT count(*) AS foreign_keys_checked, count(*) FILTER (WHERE status = 'FAIL') AS foreign_keys_failed,
+  CAST(sum(checked_rows) AS BIGINT) AS checked_rows, CAST(sum(orphan_rows) AS BIGINT) AS orphan_rows,
+  CASE WHEN count(*) FILTER (WHERE status = 'FAIL') = 0 THEN 'PASS' ELSE 'FAIL' END AS status
+FROM ({" UNION ALL ".join(_fk_sql(fk) for fk in FOREIGN_KEYS)})""",
+    ),
 }
