@@ -165,16 +165,25 @@ def _key_text(value: Column, own: T.DataType, common: T.DataType) -> Column:
 
 
 def _sides(number: int, fk: ForeignKey, tables: Mapping[str, DataFrame]) -> Iterator[tuple[str, Column]]:
-    """What a row of the child's and of the parent's table says about one key; a key with a missing part is null."""
+    """What a row of the child's and of the parent's table says about one key.
+
+    A single whole number is ``number``, any other key ``text``; with a part
+    missing, both are null.
+    """
     child, parent = tables[fk.table], tables[fk.referred_table]
     names = _key_names(child, parent, fk.columns, fk.referred_columns)
     kinds = [[df.schema[n].dataType for n in own] for df, own in zip((child, parent), names, strict=True)]
     common = [_common_type(child.sparkSession, left, right) for left, right in zip(*kinds, strict=True)]
+    whole = len(common) == 1 and isinstance(common[0], T.IntegralType)
     for table, own, types in zip((fk.table, fk.referred_table), names, kinds, strict=True):
         parts = [_key_text(ref(n), t, c) for n, t, c in zip(own, types, common, strict=True)]
-        whole = functools.reduce(lambda x, y: x & y, (p.isNotNull() for p in parts))
-        is_child = F.lit(table == fk.table and own is names[0])
-        yield table, F.struct(F.lit(number).alias("fk"), is_child.alias("is_child"), F.when(whole, F.array(*parts)).alias("key"))
+        given = functools.reduce(lambda x, y: x & y, (p.isNotNull() for p in parts))
+        yield table, F.struct(
+            F.lit(number).alias("fk"),
+            F.lit(table == fk.table and own is names[0]).alias("is_child"),
+            (ref(own[0]) if whole else F.lit(None)).cast("bigint").alias("number"),
+            (F.lit(None).cast("string") if whole else F.when(given, parts[0] if len(parts) == 1 else F.to_json(F.array(*parts)))).alias("text"),
+        )
 
 
 def foreign_key_sweep(
@@ -198,9 +207,9 @@ def foreign_key_sweep(
         for table, what in _sides(number, fk, tables):
             said.setdefault(table, []).append(what)
     stacked = [tables[t].select(F.explode(F.array(*what)).alias("x")).select("x.*") for t, what in said.items()]
-    rows = functools.reduce(DataFrame.unionByName, stacked).filter("is_child or key is not null")
-    per_key = rows.groupBy("fk", "key").agg(F.count_if("is_child").alias("n"), F.max(~F.col("is_child")).alias("found"))
-    n, has_key = F.col("n"), F.col("key").isNotNull()
+    rows = functools.reduce(DataFrame.unionByName, stacked).filter("is_child or number is not null or text is not null")
+    per_key = rows.groupBy("fk", "number", "text").agg(F.count_if("is_child").alias("n"), F.max(~F.col("is_child")).alias("found"))
+    n, has_key = F.col("n"), F.col("number").isNotNull() | F.col("text").isNotNull()
     orphan = has_key & ~F.col("found")
 
     def total(condition: Column) -> Column:
