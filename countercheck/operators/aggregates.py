@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +37,7 @@ def _expression(metric: Metric, value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.IntegralType):
         value = value.cast("decimal(28,0)")
     if metric.function == "AVG":
-        return F.try_divide(F.sum(value).cast("double"), F.count(value))  # of whole and decimal numbers, see _one_side
+        return F.try_divide(F.sum(value).cast("double"), F.count(value))  # of whole and decimal numbers, see measured
     found = {"SUM": F.sum, "MIN": F.min, "MAX": F.max}[metric.function](value)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return found.cast("double")
@@ -45,8 +45,14 @@ def _expression(metric: Metric, value: Column, dtype: T.DataType) -> Column:
     return found.cast(T.DecimalType(38, scale))
 
 
-def _one_side(df: DataFrame, groups: list[str], metrics: Sequence[Metric]) -> DataFrame:
-    """Columns m0, m1, ... of one aggregation, beside the groups.
+def measured(
+    df: DataFrame,
+    groups: list[str],
+    metrics: Sequence[Metric],
+    conditions: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Columns m0, m1, ... of one aggregation, beside the groups. ``conditions``
+    are counted in the same pass, under their names.
 
     Sums and means of floats come from totals of bands (``exact_sum``). For them
     each row is read once more per summed column, as band and whole part, and
@@ -63,7 +69,9 @@ def _one_side(df: DataFrame, groups: list[str], metrics: Sequence[Metric]) -> Da
     keys = {f"group {i}": V.missing_as_null(ref(g), types[g]) for i, g in enumerate(groups)}
     held = {name: f"value {i}" for i, name in enumerate(dict.fromkeys(columns))}
     values = [V.missing_as_null(ref(name), types[name]).alias(v) for name, v in held.items()]
-    rows = df.select(*[c.alias(k) for k, c in keys.items()], *values)
+    flags = {label: f"flag {i}" for i, label in enumerate(conditions or {})}
+    flagged = [c.alias(flags[label]) for label, c in (conditions or {}).items()]
+    rows = df.select(*[c.alias(k) for k, c in keys.items()], *values, *flagged)
 
     def is_banded(metric: Metric, name: str) -> bool:
         return metric.function in ("SUM", "AVG") and isinstance(types[name], (T.FloatType, T.DoubleType))
@@ -74,7 +82,8 @@ def _one_side(df: DataFrame, groups: list[str], metrics: Sequence[Metric]) -> Da
     back = [ref(k).alias(g) for k, g in zip(keys, groups, strict=True)]
     if not banded:
         found = [_expression(m, ref(held[n]), types[n]).alias(f"m{i}") for i, (m, n) in plain.items()]
-        return rows.groupBy(*map(ref, keys)).agg(*found).select(*back, *[f"m{i}" for i in plain])
+        found += [F.count_if(ref(flag)).alias(label) for label, flag in flags.items()]
+        return rows.groupBy(*map(ref, keys)).agg(*found).select(*back, *[f"m{i}" for i in plain], *map(ref, flags))
 
     nothing = F.lit(None).cast("struct<band: int, part: bigint>")
     kinds = [F.struct(F.lit(-1).alias("of"), nothing.alias("x"))]
@@ -83,10 +92,12 @@ def _one_side(df: DataFrame, groups: list[str], metrics: Sequence[Metric]) -> Da
     of, part = F.col("of"), F.col("part")
     rows = rows.withColumns({"of": F.col("kind.of"), "band": F.col("kind.x.band"), "part": F.col("kind.x.part")})
     found = [_expression(m, F.when(of < 0, ref(held[n])), types[n]).alias(f"m{i}") for i, (m, n) in plain.items()]
+    found += [F.count_if((of < 0) & ref(flag)).alias(label) for label, flag in flags.items()]
     by_band = rows.groupBy(*map(ref, keys), "of", "band").agg(
         *found, exact_sum.total_of(part).alias("total"), F.count(part).alias("n")
     )
     whole = [F.max(f"m{i}").alias(f"m{i}") for i in plain]
+    whole += [F.coalesce(F.sum(ref(label)), F.lit(0)).alias(label) for label in flags]
     for j, _ in enumerate(banded):
         own = F.when((of == j) & F.col("band").isNotNull(), F.struct("band", "total"))
         whole += [F.collect_list(own).alias(f"bands {j}"), F.sum(F.when(of == j, F.col("n"))).alias(f"n {j}")]
@@ -102,7 +113,17 @@ def _one_side(df: DataFrame, groups: list[str], metrics: Sequence[Metric]) -> Da
             j = banded.index(held[name])
             total = ref(f"sum {j}")
             made.append((F.try_divide(total, ref(f"n {j}")) if metric.function == "AVG" else total).alias(f"m{i}"))
-    return out.select(*back, *made)
+    return out.select(*back, *made, *map(ref, flags))
+
+
+def checked(metrics: Sequence[Metric]) -> Sequence[Metric]:
+    """The metrics, if there are any and all of their functions are known."""
+    if not metrics:
+        raise ValueError("At least one aggregation is required.")
+    unknown = [m.function for m in metrics if m.function not in FUNCTIONS]
+    if unknown:
+        raise ValueError(f"Unknown aggregate function(s): {unknown}")
+    return metrics
 
 
 def aggregate_compare(
@@ -123,17 +144,25 @@ def aggregate_compare(
     by more than a double's last digit differs. A float column beside a decimal
     one has rounded values to begin with: give a tolerance there.
     """
-    if not metrics:
-        raise ValueError("At least one aggregation is required.")
-    unknown = [m.function for m in metrics if m.function not in FUNCTIONS]
-    if unknown:
-        raise ValueError(f"Unknown aggregate function(s): {unknown}")
+    checked(metrics)
     target = adopt_spelling(target, source)
     groups = require_columns(group_by, source.columns, "Group-by column(s)")
     require_columns(groups, target.columns, "Group-by column(s) in target")
 
+    sides = [measured(frame, groups, metrics) for frame in (source, target)]
+    return compare_measured(*sides, metrics, groups, tolerance_percent)
+
+
+def compare_measured(
+    source: DataFrame,
+    target: DataFrame,
+    metrics: Sequence[Metric],
+    groups: Sequence[str] = (),
+    tolerance_percent: float = 0.0,
+) -> DataFrame:
+    """``aggregate_compare`` from what ``measured`` found on either side."""
     sides = [
-        _one_side(frame, groups, metrics).select(
+        frame.select(
             *[ref(g) for g in groups],
             *[F.col(f"m{i}").alias(f"{tag}m{i}") for i in range(len(metrics))],
         )

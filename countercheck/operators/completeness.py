@@ -26,21 +26,28 @@ def null_stats(
     one row per map task. A blank that is also listed as a sentinel counts
     twice.
     """
+    names, conditions = null_conditions(df, columns, sentinels)
+    counted = [F.count_if(c).alias(label) for label, c in conditions.items()]
+    return stats_of(df.agg(F.count("*").alias("total_rows"), *counted), names)
+
+
+def null_conditions(
+    df: DataFrame, columns: Sequence[str] = (), sentinels: Sequence[str] = SENTINELS
+) -> tuple[list[str], dict[str, Column]]:
+    """The columns, and what to count for each: ``n0`` null, ``b0`` blank, ``s0`` sentinel, ..."""
     names = require_columns(columns, df.columns, "Column(s)") if columns else df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
-
-    def counts(i: int, name: str) -> list[Column]:
+    conditions = {}
+    for i, name in enumerate(names):
         value = V.missing_as_null(ref(name), types[name])
-        return [
-            F.count_if(value.isNull()).alias(f"n{i}"),
-            F.count_if(_blank(value, types[name])).alias(f"b{i}"),
-            F.count_if(_listed(value, types[name], sentinels)).alias(f"s{i}"),
-        ]
-
-    one_row = df.agg(
-        F.count("*").alias("total_rows"),
-        *[c for i, name in enumerate(names) for c in counts(i, name)],
-    )
+        conditions[f"n{i}"] = value.isNull()
+        conditions[f"b{i}"] = _blank(value, types[name])
+        conditions[f"s{i}"] = _listed(value, types[name], sentinels)
+    return names, conditions
+
+
+def stats_of(one_row: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``null_stats`` from ``total_rows`` and the counts of ``null_conditions``."""
     per_column = F.explode(
         F.array(
             *[

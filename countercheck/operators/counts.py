@@ -43,12 +43,21 @@ def record_count(
     It passes if either tolerance is met. The verdict uses the unrounded
     variance.
     """
+    counted = _per_side(source, target).agg(*_counted())
+    return count_verdict(counted, tolerance_absolute, tolerance_percent)
+
+
+def count_verdict(
+    counted: DataFrame, tolerance_absolute: float = 0, tolerance_percent: float = 0.0
+) -> DataFrame:
+    """``record_count`` from any number of rows of ``source_count`` and
+    ``target_count``, which are added up: parts of a table, or groups."""
     difference = F.col("target_count") - F.col("source_count")
     variance = V.variance_percent(F.col("source_count"), F.col("difference"))
     passed = (F.abs("difference") <= tolerance_absolute) | (F.col("v") <= tolerance_percent)
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("source_count", "target_count")]
     return (
-        _per_side(source, target)
-        .agg(*_counted())
+        counted.agg(*totals)
         .withColumn("difference", difference)
         .withColumn("v", variance)
         .select(

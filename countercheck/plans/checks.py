@@ -66,7 +66,7 @@ def _catalog(spark: SparkSession, side: object) -> DataFrame:
     declared lengths and defaults take part; other sides have only types."""
     if isinstance(side, Mapping):
         side = Source(**side)
-    df, declared = _side(spark, side, ""), None
+    df, declared = read_side(spark, side), None
     if isinstance(side, Source) and side.table and not side.query and format_of(side) == "table":
         declared = session_table_catalog(spark, side.table)
     if declared is None:
@@ -78,11 +78,11 @@ def _catalog(spark: SparkSession, side: object) -> DataFrame:
 
 
 def _record_count(source, target, group_by=(), **tolerance) -> Result:
-    sections = {}
-    if group_by:
-        by_group = counts.record_count_by_group(source, target, group_by)
-        sections["Group Breakdown"] = by_group
-    return sections, lambda stored: counts.record_count(source, target, **tolerance)
+    if not group_by:
+        return {}, lambda stored: counts.record_count(source, target, **tolerance)
+    title = "Group Breakdown"
+    by_group = counts.record_count_by_group(source, target, group_by)
+    return {title: by_group}, lambda stored: counts.count_verdict(stored[title], **tolerance)
 
 
 def _duplicate(source, target, keys: Sequence[str] = (), sample_limit=None) -> Result:
@@ -105,8 +105,8 @@ def _aggregation(source, target, metrics=(), **settings) -> Result:
 def _declared_keys(foreign_keys: object, tables: Mapping[str, object], **tolerance) -> Result:
     """All keys that a catalog declares between the given tables."""
     spark = SparkSession.active()
-    sides = {name: _side(spark, side, "") for name, side in tables.items()}
-    declared = foreign_keys_of(_side(spark, foreign_keys, ""))
+    sides = {name: read_side(spark, side) for name, side in tables.items()}
+    declared = foreign_keys_of(read_side(spark, foreign_keys))
     known = [fk for fk in declared if fk.table in sides and fk.referred_table in sides]
     if not known:
         raise CheckError("No foreign key is declared between the given tables")
@@ -183,7 +183,7 @@ MODULES: dict[str, Callable[..., Result]] = {
 }
 
 
-def _side(spark: SparkSession, side: object, module: str) -> DataFrame | None:
+def read_side(spark: SparkSession, side: object, module: str = "") -> DataFrame | None:
     if side is None or isinstance(side, DataFrame):
         return side
     if isinstance(side, str) and module == "File Comparison":
@@ -195,22 +195,31 @@ def _side(spark: SparkSession, side: object, module: str) -> DataFrame | None:
     raise CheckError(f"Cannot read {side!r}")
 
 
+def _result(spark: SparkSession, check: Check) -> Result:
+    if check.module == "Schema Validation":
+        sides = [_catalog(spark, side) for side in (check.source, check.target)]
+    else:
+        sides = [read_side(spark, side, check.module) for side in (check.source, check.target)]
+    return MODULES[check.module](*sides, **check.settings)
+
+
 def run_check(
-    table: RunTable, check: Check, project_id: str = "default", suite_id: str | None = None
+    table: RunTable,
+    check: Check,
+    project_id: str = "default",
+    suite_id: str | None = None,
+    measured: Callable[[], Result] | None = None,
 ) -> Outcome:
     """Run one check, store its detail and record it. A failure is recorded as
-    an ERROR run and raised again."""
+    an ERROR run and raised again. ``measured`` makes the result from what a
+    scan shared with other checks has found, so the sides are not read."""
     spark, started = table.spark, now()
     run_id, name = uuid.uuid4().hex, check.name or check.module
     try:
         if check.module not in MODULES:
             raise CheckError(f"Unknown module: '{check.module}'")
-        if check.module == "Schema Validation":
-            sides = [_catalog(spark, side) for side in (check.source, check.target)]
-        else:
-            sides = [_side(spark, side, check.module) for side in (check.source, check.target)]
         with storage.owned(spark):
-            sections, summarise = MODULES[check.module](*sides, **check.settings)
+            sections, summarise = measured() if measured else _result(spark, check)
             table.details.save(run_id, sections)
             values = summarise(table.details.load_all(run_id)).first().asDict()
         status = values.pop("status")

@@ -11,6 +11,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from countercheck.plans.checks import Check, CheckError, Outcome, run_check
+from countercheck.plans.shared import shared
+from countercheck.sinks import storage
 from countercheck.sinks.reports import with_code
 from countercheck.sinks.run_table import RunTable
 
@@ -63,22 +65,34 @@ def run_suites(
     """Run saved checks and return one outcome each, in the order asked. One
     that fails, or an id that is not known, never stops the others.
 
-    With ``at_once`` above 1, that many checks submit their jobs side by side.
+    Sides that several checks take one row of figures from are scanned once,
+    before the checks start (see ``shared``); a run's time then leaves out its
+    part of the scan. With ``at_once`` above 1, that many checks submit their
+    jobs side by side.
     """
+    checks = {}
+    for suite_id in dict.fromkeys(suite_ids):
+        try:
+            checks[suite_id] = suites[suite_id].check()
+        except Exception:  # unknown or not described well: its outcome below says so
+            continue
 
     def run(suite_id: str) -> Outcome:
         suite = suites.get(suite_id)
         if suite is None:
             return Outcome(suite_id, "", "ERROR", None, {}, f"Suite '{suite_id}' not found.")
         try:
-            return run_check(table, suite.check(), suite.project_id, suite.suite_id)
+            check = checks.get(suite_id) or suite.check()
+            return run_check(table, check, suite.project_id, suite.suite_id, answers.get(suite_id))
         except Exception as problem:
             return Outcome(suite.name, suite.module, "ERROR", None, {}, str(problem))
 
-    if at_once <= 1:
-        return [run(s) for s in suite_ids]
-    with ThreadPoolExecutor(max_workers=at_once) as pool:
-        return list(pool.map(inheritable_thread_target(table.spark)(run), suite_ids))
+    with storage.owned(table.spark):
+        answers = shared(table.spark, checks)
+        if at_once <= 1:
+            return [run(s) for s in suite_ids]
+        with ThreadPoolExecutor(max_workers=at_once) as pool:
+            return list(pool.map(inheritable_thread_target(table.spark)(run), suite_ids))
 
 
 def outcomes_frame(spark: SparkSession, outcomes: Sequence[Outcome]) -> DataFrame:

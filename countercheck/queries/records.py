@@ -203,27 +203,81 @@ SELECT CASE module WHEN 'Duplicate Validation' THEN 'DV-' WHEN 'Record Count Val
 
 
 def suite_batch(spark, folder):
-    """Saved checks over the given tables, one of them broken."""
+    """Saved checks over the given tables, one of them broken and one unknown."""
+
     def side(name):
         return {"path": f"{folder}/{name}.parquet"}
 
+    lines, orders, customers = side("lineitem"), side("orders"), side("customer")
+    quantity = [{"column": "l_quantity", "function": f} for f in ("SUM", "MIN", "MAX", "COUNT_DISTINCT")]
+    described = [
+        ("customer keys", "Duplicate Validation", customers, None, {"keys": ["c_custkey"]}),
+        ("line keys", "Duplicate Validation", lines, None, {"keys": ["l_orderkey", "l_linenumber"]}),
+        ("orders to customers", "Referential Integrity", orders, customers,
+         {"child_keys": ["o_custkey"], "parent_keys": ["c_custkey"]}),
+        ("broken", "Duplicate Validation", orders, None, {"keys": ["no_such_column"]}),
+        ("lines as lines", "Record Count Validation", lines, lines, {}),
+        ("lines as orders", "Record Count Validation", lines, orders, {"tolerance_percent": 10.0}),
+        ("filled lines", "Nullability Validation", lines, None, {"sentinels": ["N"]}),
+        ("quantities", "Aggregation Validation", lines, lines, {"metrics": quantity}),
+        ("no metric", "Aggregation Validation", lines, lines, {"metrics": []}),
+    ]
     suites = {
-        s.suite_id: s
-        for s in (
-            Suite("1", "customer keys", "Duplicate Validation",
-                  {"source": side("customer"), "settings": {"keys": ["c_custkey"]}}),
-            Suite("2", "line keys", "Duplicate Validation",
-                  {"source": side("lineitem"), "settings": {"keys": ["l_orderkey", "l_linenumber"]}}),
-            Suite("3", "orders to customers", "Referential Integrity",
-                  {"source": side("orders"), "target": side("customer"),
-                   "settings": {"child_keys": ["o_custkey"], "parent_keys": ["c_custkey"]}}),
-            Suite("4", "broken", "Duplicate Validation",
-                  {"source": side("orders"), "settings": {"keys": ["no_such_column"]}}),
-        )
+        str(i): Suite(str(i), name, module, {"source": source, "target": target, "settings": settings})
+        for i, (name, module, source, target, settings) in enumerate(described, 1)
     }
     table = RunTable(spark, storage.new_folder(spark, "runs"))
-    outcomes = run_suites(table, suites, ["1", "2", "3", "4", "9"], at_once=4)
-    return outcomes_frame(spark, outcomes).select("position", "name", "module", "status")
+    outcomes = outcomes_frame(spark, run_suites(table, suites, [*suites, "none"], at_once=4))
+
+    def figure(key):
+        return F.get_json_object("summary", f"$.{key}").cast("double")
+
+    kept = {
+        "rows": F.coalesce(figure("total_rows"), figure("source_count"), figure("child_rows")),
+        "found": F.coalesce(*map(figure, ("duplicate_row_count", "orphan_rows", "difference", "rows_failed"))),
+        "score": figure("completeness_score"),
+    }
+    return outcomes.select("position", "name", "module", "status", *[c.alias(n) for n, c in kept.items()])
+
+
+def _filled_lines_sql() -> str:
+    """Mean completeness of the columns of lineitem, with 'N' as a sentinel; no other column can hold it."""
+    columns = (
+        "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
+        "l_returnflag l_linestatus l_shipdate"
+    ).split()
+    texts = ("l_returnflag", "l_linestatus")
+    missing = [
+        f"count(*) FILTER (WHERE {c} IS NULL" + (f" OR trim({c}) IN ('', 'N'))" if c in texts else ")")
+        for c in columns
+    ]
+    return f"100.0 * (1 - ({' + '.join(missing)}) / (count(*) * {len(columns)}.0))"
+
+
+SUITE_BATCH_SQL = f"""WITH d AS (
+  SELECT (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM orders) AS orders,
+         (SELECT count(*) FROM lineitem) AS lines, (SELECT {_filled_lines_sql()} FROM lineitem) AS filled,
+         (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey) WHERE n > 1) AS c_twice,
+         (SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
+          WHERE n > 1) AS l_twice,
+         (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS orphans
+), r AS (
+  SELECT 0 AS position, 'DV_customer keys' AS name, 'Duplicate Validation' AS module, c_twice = 0 AS ok, customers AS rows,
+         c_twice AS found, NULL AS score FROM d
+  UNION ALL SELECT 1, 'DV_line keys', 'Duplicate Validation', l_twice = 0, lines, l_twice, NULL FROM d
+  UNION ALL SELECT 2, 'RI_orders to customers', 'Referential Integrity', orphans = 0, orders, orphans, NULL FROM d
+  UNION ALL SELECT 3, 'broken', 'Duplicate Validation', NULL, NULL, NULL, NULL
+  UNION ALL SELECT 4, 'RC_lines as lines', 'Record Count Validation', true, lines, 0, NULL FROM d
+  UNION ALL SELECT 5, 'RC_lines as orders', 'Record Count Validation', abs(orders - lines) <= lines / 10.0, lines,
+         orders - lines, NULL FROM d
+  UNION ALL SELECT 6, 'NV_filled lines', 'Nullability Validation', filled >= 100, lines, NULL, round(filled, 4) FROM d
+  UNION ALL SELECT 7, 'AG_quantities', 'Aggregation Validation', true, NULL, 0, NULL
+  UNION ALL SELECT 8, 'no metric', 'Aggregation Validation', NULL, NULL, NULL, NULL
+  UNION ALL SELECT 9, 'none', '', NULL, NULL, NULL, NULL
+)
+SELECT CAST(position AS INTEGER) AS position, name, module,
+       CASE WHEN ok THEN 'PASS' WHEN NOT ok THEN 'FAIL' ELSE 'ERROR' END AS status,
+       CAST(rows AS DOUBLE) AS rows, CAST(found AS DOUBLE) AS found, CAST(score AS DOUBLE) AS score FROM r"""
 
 
 QUERIES = {
@@ -293,5 +347,5 @@ SELECT CASE WHEN count(*) OVER () = 1 THEN 'LINEITEM' ELSE 'LINEITEM_' || CAST(n
     "report_titles": (report_titles, REPORT_TITLES_SQL),
     "detail_roundtrip": (detail_roundtrip, SECTIONS_SQL),
     "export_manifest": (export_manifest, MANIFEST_SQL),
-    "suite_batch": (suite_batch, None),
+    "suite_batch": (suite_batch, SUITE_BATCH_SQL),
 }
