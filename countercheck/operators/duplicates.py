@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countercheck.functions import values as V
-from countercheck.functions.hot_keys import join_on_keys
 from countercheck.functions.names import ColumnError, free_name, ref, require_columns
+from countercheck.sinks import storage
 
 
 def _keys(df: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -60,8 +60,9 @@ def duplicate_rows(
 
     The first ``n`` rows in key order belong to the first ``n`` repeated keys
     at most. So with a limit, at most that many keys are broadcast to the
-    table, and the table itself is not shuffled. Without a limit, rows of the
-    most frequent keys meet those by broadcast, and only the others shuffle.
+    table, and the table itself is not shuffled. Without a limit, the repeated
+    keys are counted and stored first; then they meet the table in one join of
+    plain reads, in which adaptive execution splits a key that many rows share.
     """
     names = _keys(df, keys)
     n = free_name(df.columns, "occurrence_count")
@@ -72,9 +73,8 @@ def duplicate_rows(
         .dropna(subset=["`" + k.replace("`", "``") + "`" for k in names])
     )
     if sample_limit is None:
-        return join_on_keys(df, repeated, names, n, F.lit(True)).select(
-            *[ref(c) for c in df.columns], F.col(n)
-        )
+        kept = storage.stored(repeated, "repeated-keys")
+        return df.join(kept, names).select(*[ref(c) for c in df.columns], F.col(n))
     first_keys = repeated.orderBy(*[ref(k) for k in names]).limit(sample_limit)
     rest = [c for c in df.columns if c not in names]
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -96,10 +97,10 @@ def profile(
 ) -> DataFrame:
     """One row per column, in column order.
 
-    Two jobs collect one row each: the statistics of all columns, and where
-    their medians are (see ``exact_medians``). Kept apart, the first stays in
-    generated code. Exact distinct counts and medians are then left to the
-    query that consumes the result.
+    The table is read three times: one job collects one row, with the statistics
+    of all columns and where their medians are (see ``exact_medians``); exact
+    distinct counts and medians are a read each, left to the query that
+    consumes the result. Medians of very many rows take further reads.
     """
     names = require_columns(columns, df.columns, "Column(s)") if columns else df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -118,12 +119,16 @@ def profile(
                 F.max(f"number{i}").alias(f"max{i}"),
                 F.avg(f"number{i}").alias(f"mean{i}"),
                 F.stddev_samp(f"number{i}").alias(f"stddev{i}"),
+                *_sketched(F.col(f"number{i}"), i),
             ]
         if kind == V.STRING:
             for name, pattern in (("email", EMAIL_PATTERN), ("phone", PHONE_PATTERN)):
                 prepared.append(value.rlike(pattern).cast("double").alias(f"{name}{i}"))
                 aggregates.append(F.avg(f"{name}{i}").alias(f"{name}{i}"))
-    seen = df.select(*prepared).agg(*aggregates).first().asDict()
+    which = [i for i, n in enumerate(names) if n in numbers]
+    one_row = df.select(*prepared).agg(*aggregates)
+    kept = [c for c in one_row.columns if not c.startswith("sketch")]
+    seen = one_row.select(*kept, *_first_bracket(which)).first().asDict()
     rows = [
         (
             i,
@@ -153,13 +158,9 @@ def profile(
         )
         stats = stats.join(distinct, "position", "left")
     stats = stats.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
-    with_numbers = {
-        n: numbers[n] for i, n in enumerate(names) if seen.get(f"min{i}") is not None
-    }
-    if with_numbers:
-        stats = stats.join(exact_medians(df, with_numbers), "column", "left")
-    else:
-        stats = stats.withColumn("median", F.lit(None).cast("double"))
+    brackets = {names[i]: _bracket(seen, i) for i in which}
+    medians = _rank(df, numbers, brackets, BRACKET_ROWS)
+    stats = stats.join(medians, "column", "left")
     null_count = F.col("total_rows") - F.col("filled")
     return stats.orderBy("position").select(
         "column",
@@ -199,7 +200,8 @@ def _meaning() -> Column:
 @dataclass
 class _Bracket:
     """An interval that holds a column's median; ``low_rank`` and ``high_rank``
-    (from 0) are the ranks whose values are averaged."""
+    (from 0) are the ranks whose values are averaged. ``expected`` is how many
+    distinct values it may hold."""
 
     low: float | None
     high: float | None
@@ -216,19 +218,17 @@ def exact_medians(
     Spark's own ``median`` holds every distinct value of a group in one task.
     Here a quantile sketch of fixed size first brackets the median; then only
     the values inside the bracket are counted and ranked, exactly. A bracket
-    that may still hold too many values is sketched again. Each sketch is one
-    job with a one-row result; the last step stays lazy. Should a sketch ever
-    miss, the result is an error, not a wrong median.
+    that may still hold too many values is narrowed until it doesn't. Each
+    sketch is one job with a one-row result; the last step stays lazy. Should a
+    sketch ever miss, the result is an error, not a wrong median.
     """
     if not numbers:
         raise ValueError("No number columns.")
+    which = range(len(numbers))
     data = df.select(*[v.alias(f"v{i}") for i, v in enumerate(numbers.values())])
-    sketched = data.agg(*[a for i in range(len(numbers)) for a in _sketched(F.col(f"v{i}"), i)])
-    seen = sketched.select(
-        *[f"number_count{i}" for i in range(len(numbers))], *_first_bracket(range(len(numbers)))
-    ).first()
-    brackets = [_bracket(seen.asDict(), i) for i in range(len(numbers))]
-    return _rank(df, numbers, brackets, bracket_rows)
+    sketched = data.agg(*[a for i in which for a in _sketched(F.col(f"v{i}"), i)])
+    seen = sketched.select(*[f"number_count{i}" for i in which], *_first_bracket(which)).first().asDict()
+    return _rank(df, numbers, {n: _bracket(seen, i) for i, n in enumerate(numbers)}, bracket_rows)
 
 
 def _sketched(value: Column, i: int) -> list[Column]:
@@ -238,14 +238,13 @@ def _sketched(value: Column, i: int) -> list[Column]:
     ]
 
 
-def _quantile(sketch: str, share: float) -> Column:
-    return F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(share))
-
-
 def _first_bracket(which) -> list[Column]:
     empty = F.lit(None).cast("double")
     return [
-        F.when(F.col(f"number_count{i}") > 0, _quantile(f"sketch{i}", 0.5 + side))
+        F.when(
+            F.col(f"number_count{i}") > 0,
+            F.kll_sketch_get_quantile_double(F.col(f"sketch{i}"), F.lit(0.5 + side)),
+        )
         .otherwise(empty)
         .alias(f"{name}{i}")
         for i in which
@@ -261,108 +260,125 @@ def _bracket(seen: dict, i: int) -> _Bracket:
 
 
 def _rank(
-    df: DataFrame, numbers: dict[str, Column], brackets: list[_Bracket], bracket_rows: int
+    df: DataFrame, numbers: dict[str, Column], found: dict[str, _Bracket], bracket_rows: int
 ) -> DataFrame:
-    """Narrow the brackets as far as needed, then rank what is inside them."""
-    names = list(numbers)
+    """Narrow the brackets as far as needed, then rank what is inside them.
+
+    One read: what lies below a bracket is one more group beside the values
+    inside it, and comes first in the order of ranks.
+    """
+    names = [n for n, b in found.items() if b.low is not None]
+    brackets = [found[n] for n in names]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, median double")
     data = df.select(*[numbers[n].alias(f"v{i}") for i, n in enumerate(names)])
     while any(b.expected > bracket_rows for b in brackets):
-        narrower = _narrow(data, brackets)
-        shrunk = any(
-            n.expected < b.expected / 2 and n.expected > 0
-            for n, b in zip(narrower, brackets, strict=True)
-        )
-        brackets = narrower
-        if not shrunk:
-            break
-    open_columns = [i for i, b in enumerate(brackets) if b.low is not None]
-    if not open_columns:
-        return df.sparkSession.createDataFrame([], "column string, median double")
+        brackets = _narrow(data, brackets, bracket_rows)
 
-    def inside(i: int) -> Column:
-        b = brackets[i]
-        return F.when(F.col(f"v{i}").between(F.lit(b.low), F.lit(b.high)), F.col(f"v{i}"))
+    def cells(i: int) -> list[Column]:
+        v, b = F.col(f"v{i}"), brackets[i]
+        return [F.lit(i), v < F.lit(b.low), F.when(v.between(F.lit(b.low), F.lit(b.high)), v)]
 
-    cells = [c for i in open_columns for c in (F.lit(i), inside(i))]
     ranked = (
-        data.select(F.stack(F.lit(len(open_columns)), *cells).alias("i", "v"))
-        .filter("v is not null")
-        .groupBy("i", "v")
+        data.select(F.stack(F.lit(len(names)), *[c for i in range(len(names)) for c in cells(i)]).alias("i", "below", "v"))
+        .filter("below or v is not null")
+        .groupBy("i", "below", "v")
         .agg(F.count("*").alias("n"))
     )
-    facts = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(names[i]).alias("column"),
-                F.lit(brackets[i].low_rank).cast("bigint").alias("low_rank"),
-                F.lit(brackets[i].high_rank).cast("bigint").alias("high_rank"),
-                F.col(f"below{i}").alias("below"),
-            )
-            for i in open_columns
-        ]
-    )
-    below = (
-        data.agg(
-            *[F.count_if(F.col(f"v{i}") < F.lit(brackets[i].low)).alias(f"below{i}") for i in open_columns]
-        )
-        .select(F.explode(facts).alias("fact"))
-        .select("fact.*")
-    )
     # The window sees the distinct values inside one bracket, of bounded size.
     up_to_here = (
-        Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("i")
+        .orderBy(F.desc("below"), "v")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    last = F.col("below") + F.col("upto") - 1
-    first = last - F.col("n") + 1
-    found = (
+
+    def of_column(values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("i") + 1)
+
+    def at(ranks: list[int]) -> Column:
+        return F.max(F.when(of_column(ranks).between(F.col("upto") - F.col("n"), F.col("upto") - 1), F.col("v")))
+
+    ends = (
         ranked.withColumn("upto", F.sum("n").over(up_to_here))
-        .join(F.broadcast(below), "i")
-        .groupBy("column")
-        .agg(
-            F.max(F.when(F.col("low_rank").between(first, last), F.col("v"))).alias("low"),
-            F.max(F.when(F.col("high_rank").between(first, last), F.col("v"))).alias("high"),
-        )
+        .groupBy("i")
+        .agg(at([b.low_rank for b in brackets]).alias("low"), at([b.high_rank for b in brackets]).alias("high"))
+        .withColumn("column", of_column(names))
     )
-    missed = F.raise_error(F.concat(F.lit("Median outside its bracket: "), F.col("column")))
-    return found.select(
+    missed = F.raise_error(F.concat(F.lit(MISSED), F.col("column")))
+    return ends.select(
         "column",
         F.when(F.col("low").isNull() | F.col("high").isNull(), missed.cast("double"))
         .when(F.col("low") == F.col("high"), F.col("low"))  # two infinities have no difference
+        .when(((F.col("low") < 0) & (F.col("high") > 0)) | (F.col("low") == float("-inf")), (F.col("low") + F.col("high")) / 2)
         .otherwise(F.col("low") + (F.col("high") - F.col("low")) / 2)
         .alias("median"),
     )
 
 
+MISSED = "Median outside its bracket: "
+
 #: Ranks at which a bracket is cut when it is narrowed.
 _CUTS = [i / 200 for i in range(1, 200)]
 
 
-def _narrow(data: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
-    """One job, one row back: a narrower bracket for every column."""
-    which = [i for i, b in enumerate(brackets) if b.low is not None]
+def _narrow(data: DataFrame, brackets: list[_Bracket], bracket_rows: int) -> list[_Bracket]:
+    """One job, one row back: a narrower bracket for every column that needs it.
+
+    A sketch of what is inside usually cuts it to a few hundredths. Whatever it
+    does, rows are also counted exactly on either side of the middle of the
+    interval, and the half without the median goes. Middles halve the doubles
+    in between, so 64 rounds end in one value, or in the two that are averaged.
+    """
+    which = [i for i, b in enumerate(brackets) if b.expected > bracket_rows]
     aggregates = []
     for i in which:
         v, b = F.col(f"v{i}"), brackets[i]
+        inside, middle = F.when(v.between(F.lit(b.low), F.lit(b.high)), v), F.lit(_middle(b.low, b.high))
         aggregates += [
             F.count_if(v < F.lit(b.low)).alias(f"below{i}"),
-            *_sketched(F.when(v.between(F.lit(b.low), F.lit(b.high)), v), i),
+            F.count_if(v < middle).alias(f"left{i}"),
+            F.max(F.when(inside < middle, inside)).alias(f"last{i}"),
+            F.min(F.when(inside >= middle, inside)).alias(f"next{i}"),
+            F.approx_count_distinct(inside).alias(f"distinct{i}"),
+            *_sketched(inside, i),
         ]
     cuts = F.array(*[F.lit(c) for c in _CUTS])
-    row = data.agg(*aggregates).select(
-        *[f"below{i}" for i in which],
-        *[f"number_count{i}" for i in which],
-        *[F.kll_sketch_get_quantile_double(f"sketch{i}", cuts).alias(f"cuts{i}") for i in which],
-    ).first()
+    one_row = data.agg(*aggregates)
+    kept = [c for c in one_row.columns if not c.startswith("sketch")]
+    row = one_row.select(
+        *kept, *[F.kll_sketch_get_quantile_double(f"sketch{i}", cuts).alias(f"cuts{i}") for i in which]
+    ).first().asDict()
     out = list(brackets)
     for i in which:
-        b, n = brackets[i], row[f"number_count{i}"]
+        b, n, left = brackets[i], row[f"number_count{i}"], row[f"left{i}"]
+        if not row[f"below{i}"] <= b.low_rank <= b.high_rank < row[f"below{i}"] + n:
+            raise ValueError(f"{MISSED}ranks {b.low_rank} and {b.high_rank}")
+        if b.low_rank < left <= b.high_rank:  # the middle parts the two values that are averaged
+            out[i] = _Bracket(row[f"last{i}"], row[f"next{i}"], b.low_rank, b.high_rank, 0.0)
+            continue
+        low, high = (b.low, row[f"last{i}"]) if b.high_rank < left else (row[f"next{i}"], b.high)
         low_share = (b.low_rank - row[f"below{i}"]) / n - BRACKET_MARGIN
         high_share = (b.high_rank + 1 - row[f"below{i}"]) / n + BRACKET_MARGIN
         under = [k for k, c in enumerate(_CUTS) if c <= low_share]
         over = [k for k, c in enumerate(_CUTS) if c >= high_share]
-        low = row[f"cuts{i}"][under[-1]] if under else b.low
-        high = row[f"cuts{i}"][over[0]] if over else b.high
+        low = max(low, row[f"cuts{i}"][under[-1]]) if under else low
+        high = min(high, row[f"cuts{i}"][over[0]]) if over else high
         span = (_CUTS[over[0]] if over else 1.0) - (_CUTS[under[-1]] if under else 0.0)
-        out[i] = _Bracket(low, high, b.low_rank, b.high_rank, span * n if low < high else 0.0)
+        expected = min(span * n, 1.3 * row[f"distinct{i}"]) if low < high else 0.0
+        out[i] = _Bracket(low, high, b.low_rank, b.high_rank, expected)
     return out
+
+
+def _middle(low: float, high: float) -> float:
+    """The double with as many doubles up to ``high`` as down to ``low``, and above ``low``."""
+
+    def place(x: float) -> int:
+        bits = int.from_bytes(struct.pack(">d", x))
+        return bits if bits < SIGN else SIGN - bits
+
+    middle = -(-(place(low) + place(high)) // 2)
+    bits = middle if middle >= 0 else SIGN - middle
+    return struct.unpack(">d", bits.to_bytes(8))[0]
+
+
+SIGN = 1 << 63  # the first bit of a double

@@ -244,8 +244,30 @@ def test_unlimited_lists_keep_hot_keys_out_of_the_shuffle(spark):
     got = rows.groupBy("k", "occurrence_count").count().collect()
     assert {r["k"]: r["count"] for r in got} == {k: n for k, n in counts.items() if n > 1}
     assert all(r["occurrence_count"] == r["count"] for r in got)
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "LeftAnti" in plan and "BroadcastExchange" in plan
+
+
+def test_unlimited_duplicates_split_a_hot_key(spark, tmp_path):
+    """Two reads of the table, one to count keys and one to join; adaptive execution splits the key of half the rows."""
+    hot = F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 5000)
+    spark.range(200_000).select(hot.alias("k"), F.col("id").alias("v")).repartition(8).write.parquet(str(tmp_path / "t"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = duplicates.duplicate_rows(spark.read.parquet(str(tmp_path / "t")), ["k"])
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2  # the table and its keys
+        assert len(rows.collect()) == 200_000
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def test_names_with_dots(spark):

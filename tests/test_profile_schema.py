@@ -3,6 +3,7 @@ import statistics
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from countercheck.operators import profile as P
 from countercheck.operators import schema_diff as S
@@ -85,6 +86,45 @@ def test_medians_are_exact_at_any_bracket_size(spark, bracket_rows, n):
         assert got.get(c) == (pytest.approx(statistics.median(values), rel=1e-14) if values else None)
 
 
+@pytest.mark.parametrize("bracket_rows", [10_000_000, 3, 0])
+def test_medians_of_ties_and_extremes(spark, bracket_rows):
+    inf, rng = float("inf"), random.Random(5)
+    columns = {
+        "two values": [1.0, 2.0] * 500,
+        "two far apart": [-1e300, 1e-300] * 500,
+        "mostly one": [0.0] * 990 + [rng.random() for _ in range(10)],
+        "infinite": [-inf] * 500 + [inf] * 499 + [0.5],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(1000)],
+        "all equal": [-3.25] * 1000,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"`{c}` double" for c in columns))
+    got = {r["column"]: r["median"] for r in P.exact_medians(df, {c: F.col(c) for c in columns}, bracket_rows).collect()}
+    assert got == {c: pytest.approx(statistics.median(v), rel=1e-14) for c, v in columns.items()}
+
+
+def test_the_middle_halves_the_doubles_between():
+    ends = [float("-inf"), -1e300, -1.0, -5e-324, 0.0, 5e-324, 1.0, 1e300, float("inf")]
+    for i, low in enumerate(ends):
+        for high in ends[i + 1 :]:
+            rounds, a = 0, low
+            while a < high:
+                middle = P._middle(a, high)
+                assert a < middle <= high
+                a, rounds = middle, rounds + 1
+            assert rounds <= 65
+
+
+def test_a_profile_reads_its_table_three_times(spark, tmp_path, monkeypatch):
+    rows = [(i, i / 7, f"t{i % 9}") for i in range(500)]
+    spark.createDataFrame(rows, "id bigint, x double, t string").write.parquet(str(tmp_path / "t"))
+    first, eager = DataFrame.first, []
+    monkeypatch.setattr(DataFrame, "first", lambda df: eager.append(df) or first(df))
+    profiled = P.profile(spark.read.parquet(str(tmp_path / "t")))
+    reads = [df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in (*eager, profiled)]
+    assert reads == [1, 2]
+    assert {r["column"]: r["median"] for r in profiled.collect()}["x"] == pytest.approx(249.5 / 7)
+
+
 def schema_status(spark, source, target):
     tables = [{"t": spark.createDataFrame([], s)} for s in (source, target)]
     diff = S.schema_diff(*[S.catalog_of(spark, t) for t in tables])
