@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from countercheck.operators import aggregates, completeness, counts, duplicates, files
 from countercheck.operators import integrity, profile, row_diff, schema_diff
 from countercheck.sinks import storage
-from countercheck.sinks.run_table import RunTable, now
+from countercheck.sinks.run_table import RunTable, new_run_id, now
 from countercheck.sources.catalog import foreign_keys_of, session_table_catalog
 from countercheck.sources.load import Source, format_of, load
 
@@ -214,7 +213,7 @@ def run_check(
     an ERROR run and raised again. ``measured`` makes the result from what a
     scan shared with other checks has found, so the sides are not read."""
     spark, started = table.spark, now()
-    run_id, name = uuid.uuid4().hex, check.name or check.module
+    run_id, name = new_run_id(started), check.name or check.module
     try:
         if check.module not in MODULES:
             raise CheckError(f"Unknown module: '{check.module}'")

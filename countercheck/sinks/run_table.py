@@ -1,8 +1,9 @@
-"""The table of runs: Parquet, one record per run, plus a log of state changes."""
+"""The table of runs, and the log of their state changes."""
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from countercheck.operators.history import ARCHIVE, DELETE, RESTORE, RUNS, STATE_EVENTS, with_state
 from countercheck.sinks import storage
 from countercheck.sinks.details import DetailStore
+from countercheck.sinks.packed_log import PackedLog
 
 
 DONE, UNKNOWN = "done", "unknown"
@@ -23,21 +25,46 @@ def now() -> datetime:
     return datetime.now(UTC).replace(tzinfo=None)
 
 
+def new_run_id(at: datetime) -> str:
+    """The day and a random part; the day says in which month a run is packed."""
+    return f"{at:%Y%m%d}-{uuid.uuid4().hex}"
+
+
+DATED = r"^((19|20)\d{2})(0[1-9]|1[0-2])\d{2}-"
+
+
+def month_of(run_id: str) -> str | None:
+    found = re.match(DATED, run_id)
+    return f"{found[1]}-{found[3]}" if found else None
+
+
 class RunTable:
-    """Every run, and every change of state, is a folder of its own, so checks
-    can record at the same time without sharing a commit.
+    """Runs and changes of state are batches of two packed logs, so checks can
+    record at the same time without sharing a commit, and ``pack`` keeps the
+    number of files small. A run's month is that in its id, or else that of
+    its start.
     """
 
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark = spark
         self.base = base.rstrip("/")
         self.details = DetailStore(spark, f"{self.base}/details")
+        dated = F.col("run_id").rlike(DATED)
+        in_id = F.concat_ws("-", F.substring("run_id", 1, 4), F.substring("run_id", 5, 2))
+        month = F.when(dated, in_id).otherwise(F.date_format("started_at", "yyyy-MM"))
+        self._runs = PackedLog(spark, self.base, "runs", RUNS, month)
+        self._state = PackedLog(spark, self.base, "state", STATE_EVENTS, F.date_format("at", "yyyy-MM"))
+
+    def pack(self) -> bool:
+        """Put loose runs and state changes into few files, by month. Merges
+        drop deleted runs for good; their DELETE stays, as another merge may
+        be under way. True if anything was packed."""
+        state = self._state.read()
 
-    def _read(self, name: str, schema) -> DataFrame:
-        path = f"{self.base}/{name}"
-        if not storage.exists(self.spark, path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+        def kept(runs: DataFrame) -> DataFrame:
+            return with_state(runs, state).drop("archived")
+
+        return any([self._runs.pack(kept), self._state.pack()])
 
     def record(
         self,
@@ -53,8 +80,8 @@ class RunTable:
         suite_id: str | None = None,
         run_id: str | None = None,
     ) -> str:
-        """Append one run and return its id."""
-        run_id = run_id or uuid.uuid4().hex
+        """Append one run and return its id. An id the caller names has to be new."""
+        run_id = run_id or new_run_id(started_at)
         finished = now()
         row = (
             run_id,
@@ -71,18 +98,17 @@ class RunTable:
             started_at,
             finished,
         )
-        self.spark.createDataFrame([row], RUNS).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.base}/runs/{run_id}"
-        )
+        self._runs.add(self.spark.createDataFrame([row], RUNS), run_id)
         return run_id
 
     def runs(self) -> DataFrame:
         """All runs that are not deleted, with ``archived``."""
-        return with_state(self._read("runs", RUNS), self._read("state", STATE_EVENTS))
+        return with_state(self._runs.read(), self._state.read())
 
     def get(self, run_id: str):
-        """One run as a Row, or None."""
-        return self.runs().filter(F.col("run_id") == run_id).first()
+        """One run as a Row, or None. A dated id is looked up in its month only."""
+        runs = self._runs.read(month_of(run_id)).filter(F.col("run_id") == run_id)
+        return with_state(runs, self._state.read().filter(F.col("run_id") == run_id)).first()
 
     def archive(self, run_ids: Sequence[str]) -> dict[str, str]:
         return self._change(run_ids, ARCHIVE)
@@ -110,7 +136,5 @@ class RunTable:
         known = {r["run_id"] for r in found.collect()}
         if known:
             events = [(r, action, now()) for r in sorted(known)]
-            self.spark.createDataFrame(events, STATE_EVENTS).coalesce(1).write.parquet(
-                f"{self.base}/state/{uuid.uuid4().hex}"
-            )
+            self._state.add(self.spark.createDataFrame(events, STATE_EVENTS))
         return {r: DONE if r in known else UNKNOWN for r in run_ids}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,6 +54,37 @@ def remove(spark: SparkSession, path: str) -> bool:
     return system.delete(target, True) if system.exists(target) else False
 
 
+def matches(spark: SparkSession, pattern: str, parent: bool = False) -> list[str]:
+    """Names of what fits a pattern, or of the folders it lies in, from one listing."""
+    system, target = _file_system(spark, pattern)
+    found = [status.getPath() for status in system.globStatus(target) or []]
+    return [(path.getParent() if parent else path).getName() for path in found]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, read by the driver."""
+    system, target = _file_system(spark, path)
+    stream = system.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_new_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file. False, and nothing written, if it is there already."""
+    system, target = _file_system(spark, path)
+    try:
+        out = system.create(target, False)
+    except Py4JJavaError as problem:
+        if "AlreadyExists" in problem.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 class Scope:
     """The intermediate tables that were stored while it was open."""
 
