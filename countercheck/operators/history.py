@@ -174,6 +174,8 @@ MODULE_METRICS: Mapping[str, Sequence[str]] = {
         "rows_extra_in_target",
         "rows_failed",
         "success_percentage",
+        "execution_start",
+        "execution_end",
     ),
     "Referential Integrity": (
         "child_rows",
