@@ -25,16 +25,24 @@ def clusters(seed=1):
     return out, odd
 
 
-def test_nearest_is_exact_with_all_buckets_and_near_with_few(spark):
+def brute_nearest(known, asked, k=5):
+    want = {}
+    for q in asked:
+        same = [i for i, v in known.items() if i != q and len(v) == len(known[q])]
+        scored = [(-float(neighbours.cosine(known[q], known[i][None])[0]), i) for i in same]
+        want[q] = [i for _, i in sorted(scored)[:k]]
+    return want
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_nearest_is_exact_with_all_buckets_and_near_with_few(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
     good, odd = clusters()
     df = spark.createDataFrame(good + odd, VECTORS)
-    known = {r[0]: np.array(r[1], np.float64) for r in good} | {3006: np.ones(16)}
+    known = {r[0]: np.array(r[1], np.float64) for r in good} | {3005: np.ones(3), 3006: np.ones(16)}
     asked = df.filter("vec_id % 20 = 0")
-    want = {}
-    for q in sorted(k for k in known if k % 20 == 0):
-        scored = [(-float(neighbours.cosine(known[q], v[None])[0]), k) for k, v in known.items() if k != q]
-        want[q] = [k for _, k in sorted(scored)[:5]]
-    for probes, least in ((32, 1.0), (16, 0.9)):
+    want = brute_nearest(known, [k for k in known if k % 20 == 0])
+    for probes, least in ((1024, 1.0), (None, 0.9)):
         got = {q: [] for q in want}
         for r in sorted(neighbours.nearest(df, asked, probes=probes).collect()):
             got[r["query_id"]].append(r["vec_id"])
@@ -45,6 +53,45 @@ def test_nearest_is_exact_with_all_buckets_and_near_with_few(spark):
     assert neighbours.nearest(df.limit(0), asked).count() == 0 and neighbours.nearest(df, asked.limit(0)).count() == 0
 
 
+def test_nearest_by_length_and_with_extreme_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.standard_normal(5 if i % 3 else 9) * 10.0 ** rng.choice([-170, 0, 170])).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:7], "vec_id long, embedding array<double>")
+    want = brute_nearest({i: np.array(v) for i, v in rows}, range(60))
+    got = {}
+    for r in sorted(neighbours.nearest(df, df, probes=2048).collect()):
+        assert -1 - 1e-12 <= r["score"] <= 1 + 1e-12
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == want
+
+
+def test_nearest_looks_at_less_the_more_vectors_there_are():
+    shares = [neighbours.probes_for(n, 64, 5, 10) * 10 / 128**2 for n in (10**3, 10**4, 10**5, 10**6, 10**8)]
+    assert shares == sorted(shares, reverse=True) and shares[2] < 0.1 and shares[-1] < 0.04
+    assert neighbours.probes_for(5, 64, 5, 10) > 4000 and neighbours.probes_for(3, 1, 5, 10) <= 4
+
+
+def test_recall_and_share_on_vectors_without_structure():
+    """With production parameters, by the operator's own buckets: 20,000 vectors, 50 queries."""
+    rng = np.random.default_rng(5)
+    rows = rng.standard_normal((20_000, 64))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit[:50] @ unit.T
+    near[np.arange(50), np.arange(50)] = -2
+    best = np.argsort(-near, axis=1)[:, :5]
+    count = neighbours.probes_for(20_000, 64, 5, neighbours.TABLES)
+    met = np.zeros((50, 20_000), bool)
+    for t in range(neighbours.TABLES):
+        one, two = neighbours._axes(rows, t, neighbours.SEED)
+        bucket = one.argmax(axis=1) * 128 + two.argmax(axis=1)
+        wanted = neighbours._best_pairs(one[:50], two[:50], count)
+        sums = (one[:50, :, None] + two[:50, None, :]).reshape(50, -1)
+        assert np.allclose(np.sort(np.take_along_axis(sums, wanted, 1)), np.sort(sums)[:, -count:])
+        for q in range(50):
+            met[q] |= np.isin(bucket, wanted[q])
+    assert np.take_along_axis(met, best, 1).mean() >= 0.9 and met.mean() < 0.18
+
+
 @pytest.mark.parametrize("block", [2048, 16])
 def test_forest(spark, monkeypatch, block):
     monkeypatch.setattr(forest, "BLOCK", block)
