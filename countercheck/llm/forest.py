@@ -29,6 +29,7 @@ BLOCK = 2048  # vectors of a leaf and label that are compared in one task
 SAMPLE = 32_768  # vectors that the splits are fitted on
 LEAST = 64  # of these that a leaf needs
 SEED = 42
+ROUTE = 8192  # vectors of an open leaf that one task routes at a time
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,7 @@ def _routed(forest: list[tuple[Tree, int]]):
                     for row in rows.tolist():
                         own[row].append(first + leaf)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(own, pa.list_(pa.int32()))], names=[*batch.schema.names, "leaves"]
+                [*batch.columns, pa.array(own, pa.list_(pa.int64()))], names=[*batch.schema.names, "leaves"]
             )
 
     return run
@@ -113,6 +114,76 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def _fitted(leaf: int, spill: float, seed: int):
+    """A tree below one leaf, from a sample of its vectors."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        number = int(rows["leaf"].iloc[0])
+        unit = _unit(np.array(rows["embedding"].tolist(), np.float64))
+        scale = rows["size"].iloc[0] / len(rows)
+        tree, _ = fit_tree(unit, scale, spill, leaf, number % 2**63, seed)
+        nodes = tree.directions.ravel(), tree.splits, tree.low, tree.high
+        return pd.DataFrame([(number, *map(list, nodes))], columns=["leaf", "directions", "splits", "low", "high"])
+
+    return run
+
+
+def _split(spill: float):
+    """Vectors of a block of a leaf with their leaves below; ``whole`` where it isn't split."""
+
+    def run(_, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        out = rows[["class", "embedding", "leaf"]]
+        if not len(trees) or not len(trees["splits"].iloc[0]) or not len(rows):
+            return out.assign(child=0, whole=True)
+        unit = _unit(np.array(rows["embedding"].tolist(), np.float64))
+        known = trees.iloc[0]
+        shape = (len(known["splits"]), unit.shape[1])
+        tree = Tree(np.reshape(known["directions"], shape), known["splits"], known["low"], known["high"], spill)
+        parts = [out.iloc[own].assign(child=child, whole=False) for child, own in tree.leaves(unit)]
+        return pd.concat(parts)
+
+    return run
+
+
+def refined(routed: DataFrame, leaf: int, sample: int, spill: float, seed: int) -> DataFrame:
+    """Split leaves of more than twice ``leaf`` vectors again, until none is left.
+
+    The first trees come from one sample of the whole table, so their leaves grow
+    with it. Each open leaf gets a tree of its own, fitted by a task on about
+    ``sample`` of its vectors, and its vectors go on in blocks. A round
+    divides leaves by hundreds. A leaf that can't be split, as its vectors lie
+    too close, stays as it is. Numbers of new leaves are hashes; should two
+    meet, their vectors are compared in one leaf and nothing is lost.
+    """
+    wide = F.count(F.lit(1)).alias("size")
+    places = routed.select("class", F.explode("leaves").alias("leaf"))
+    still = stored(places.groupBy("leaf").agg(wide).filter(F.col("size") > 2 * leaf), "forest-open")
+    if still.isEmpty():
+        return routed
+    done = places.join(still, "leaf", "left_anti").select("class", "leaf")
+    todo = routed.select("class", "embedding", F.explode("leaves").alias("leaf")).join(still, "leaf")
+    kind = "class long, embedding array<double>, leaf long, child int, whole boolean"
+    nodes = "leaf long, directions array<double>, splits array<double>, low array<int>, high array<int>"
+    blocks = F.ceil(F.col("size") / F.lit(ROUTE)).cast("int")
+    while not still.isEmpty():
+        todo = stored(todo.select("class", "embedding", "leaf", "size"), "forest-todo")
+        every = F.ceil(F.col("size") / F.lit(sample))
+        some = todo.filter(F.pmod(F.xxhash64("class", "leaf"), every) == 0)
+        trees = stored(some.groupBy("leaf").applyInPandas(_fitted(leaf, spill, seed), nodes), "forest-trees")
+        trees = trees.join(still, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = todo.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+        below = dealt.groupBy("leaf", "block").cogroup(trees.groupBy("leaf", "block"))
+        moved = below.applyInPandas(_split(spill), kind)
+        moved = stored(moved.withColumn("leaf", F.xxhash64("leaf", "child")).drop("child"), "forest-moved")
+        sizes = moved.groupBy("leaf").agg(wide, F.max("whole").alias("whole"))
+        still = sizes.filter((F.col("size") > 2 * leaf) & ~F.col("whole")).drop("whole")
+        still = stored(still, "forest-open")
+        done = done.unionByName(moved.join(still, "leaf", "left_anti").select("class", "leaf"))
+        todo = moved.join(still, "leaf")
+    leaves = done.groupBy("class").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
+    return stored(routed.drop("leaves").join(leaves, "class").select(*routed.columns), "forest-refined")
+
+
 def _linked(rows: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs have at least this cosine, by the exact value where it is close."""
     unit = _unit(rows)
@@ -197,7 +268,8 @@ def near_duplicates(
     another length than most have link with nothing. Equal vectors of a label
     are one class, compared once and counted as many; a row repeated in full is
     a vector of its own each time, linked with the others. Splits are fitted on ``sample`` vectors of the
-    table, which come to the driver; every vector is routed. A leaf and label
+    table, which come to the driver, and those below leaves that are still too
+    large on as many of each leaf (``refined``); every vector is routed. A leaf and label
     with more than BLOCK classes is compared as pairs of chunks. The key's
     column keeps its name, other columns are not returned. An empty table gives
     no rows.
@@ -221,8 +293,9 @@ def near_duplicates(
         tree, leaves = fit_tree(unit, total / max(1, len(unit)), spill, leaf, number, seed)
         forest.append((tree, first))
         first += leaves
-    kind = "label string, embedding array<double>, least long, n long, class long, leaves array<int>"
+    kind = "label string, embedding array<double>, least long, n long, class long, leaves array<long>"
     routed = stored(classes.mapInArrow(_routed(forest), kind).drop("least"), "forest-routed")
+    routed = refined(routed, leaf, sample, spill, seed)
     places = routed.select("label", "class", F.explode("leaves").alias("leaf"))
     sizes = places.groupBy("leaf", "label").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("chunks"))
     sizes = stored(sizes.filter("chunks > 1"), "forest-sizes")

@@ -115,6 +115,35 @@ def test_forest(spark, monkeypatch, block):
     assert forest.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_forest_leaves_stay_bounded_and_planted_pairs_are_found(spark, monkeypatch):
+    """A sample that is far too small for the table, so that leaves are split again below it."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((5000, 16))
+    near = base[:300] + rng.standard_normal((300, 16)) * 0.1  # cosines around 0.995
+    rows = [(i, v.tolist(), 0, 0.0) for i, v in enumerate(np.concatenate([base, near]))]
+    seen = []
+    plain = forest.refined
+
+    def watched(routed, *rest):
+        out = plain(routed, *rest)
+        seen.append([max(r["count"] for r in f.selectExpr("explode(leaves) leaf").groupBy("leaf").count().collect()) for f in (routed, out)])
+        assert out.count() == routed.count()
+        return out
+
+    monkeypatch.setattr(forest, "refined", watched)
+    out = forest.near_duplicates(spark.createDataFrame(rows, VECTORS), sample=256, leaf=300).collect()
+    before, after = seen[0]
+    assert before > 600 >= after
+    got = {r["vec_id"]: r for r in out}
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    np.fill_diagonal(linked, False)
+    want = linked.sum(axis=1)
+    assert want.sum() > 500 and all(got[i]["n_links"] <= n for i, n in enumerate(want))
+    assert sum(r["n_links"] for r in out) >= 0.98 * want.sum()
+
+
 def test_rebalance_and_grow():
     rng = np.random.default_rng(2)
     loads = rng.integers(0, 1000, 600)
