@@ -131,7 +131,7 @@ def _by_shape(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[pa.Table, np.n
 
 
 def _indexed(tables: int, seed: int):
-    """Add ``places``: cell and bucket in every table."""
+    """Add ``cells`` and ``buckets``, the ones of a vector in every table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
