@@ -18,6 +18,7 @@ from countercheck.sinks.run_table import RunTable
 
 # Fixed value: rows per batch.
 BATCH_ROWS = 50_000
+LISTED = 10_000  # batches that one task lists at a time
 
 CSV_OPTIONS = {
     "header": "true",
@@ -78,16 +79,21 @@ def batch_number(index: Column, batch_rows: int) -> Column:
 def batch_ranges(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """One row per batch: its name, number and range of rows, counted from 1.
     A table of at most ``batch_rows`` rows is one batch under its plain name;
-    an empty one has the range 0 to 0. Only a count of the table is needed."""
+    an empty one has the range 0 to 0. Only a count of the table is needed; the
+    list is made in parts of LISTED batches, so a long one is spread over tasks."""
     if batch_rows < 1:
         raise ValueError("batch_rows must be at least 1.")
     total = F.greatest(F.ceil(F.col("rows") / F.lit(batch_rows)), F.lit(1)).cast("bigint")
     first = (F.col("number") - 1) * batch_rows + 1
     last = F.least(F.col("number") * batch_rows, F.col("rows"))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / F.lit(LISTED)))
+    from_, to = F.col("part") * LISTED + 1, F.least((F.col("part") + 1) * LISTED, F.col("total"))
     return (
         df.agg(F.count("*").alias("rows"))
         .withColumn("total", total)
-        .withColumn("number", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("total"))))
+        .withColumn("part", F.explode(parts))
+        .repartition("part")
+        .withColumn("number", F.explode(F.sequence(from_, to)))
         .select(
             F.when(F.col("total") == 1, F.lit(name))
             .otherwise(F.concat(F.lit(name + "_"), F.col("number").cast("string")))

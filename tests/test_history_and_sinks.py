@@ -242,3 +242,12 @@ def test_suites(spark, tmp_path, at_once):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert storage.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_batch_ranges_are_listed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(R, "LISTED", 3)
+    rows = R.batch_ranges(spark.range(20), "T", 2).collect()
+    assert [(r["name"], r["number"], r["total"], r["first_row"], r["last_row"]) for r in rows] == [
+        (f"T_{n}", n, 10, 2 * n - 1, 2 * n) for n in range(1, 11)
+    ]
+    assert [tuple(r) for r in R.batch_ranges(spark.range(0), "T", 2).collect()] == [("T", 1, 1, 0, 0)]
