@@ -223,6 +223,15 @@ def source_parquet(spark, folder):
     return load(spark, Source(path=path, columns=["L_ORDERKEY", "l_Quantity"]))
 
 
+#: Rows of a CSV or XML file that is written here. One task reads such a file from start to end.
+FILE_ROWS = 100_000
+
+
+def _in_files(df):
+    """A writer whose tasks and files are of bounded size, however the rows of ``df`` lie."""
+    return df.hint("rebalance").write.option("maxRecordsPerFile", FILE_ROWS)
+
+
 def _through(kind: str, options: dict, columns: dict[str, str], table: str, write):
     """Write a table in another format to the shared folder and load it."""
 
@@ -302,7 +311,7 @@ QUERIES = {
     "source_csv": (
         _through(
             "csv", {"delimiter": "|"}, CUSTOMER, "customer",
-            lambda df, path: df.write.csv(path, header=True, sep="|"),
+            lambda df, path: _in_files(df).csv(path, header=True, sep="|"),
         ),
         f"SELECT {', '.join(CUSTOMER)} FROM customer",
     ),
@@ -313,7 +322,7 @@ QUERIES = {
     "source_xml": (
         _through(
             "xml", {"rowTag": "customer"}, CUSTOMER, "customer",
-            lambda df, path: df.write.option("rowTag", "customer").xml(path),
+            lambda df, path: _in_files(df).option("rowTag", "customer").xml(path),
         ),
         f"SELECT {', '.join(CUSTOMER)} FROM customer",
     ),

@@ -7,6 +7,7 @@ from countercheck.operators import files as FI
 from countercheck.sources.catalog import foreign_keys_of, information_schema_catalog, session_table_catalog
 from countercheck.sources.flatten import flatten
 from countercheck.sources.load import Source, SourceError, format_of, load
+from countercheck.queries import shape
 from countercheck.sinks.reports import write_csv
 
 
@@ -97,6 +98,17 @@ def test_xml_and_parquet(spark, tmp_path):
     assert load(spark, Source(path=str(tmp_path / "p.pq"))).count() == 4
 
 
+@pytest.mark.parametrize("name", ["source_xml", "source_csv"])
+def test_files_that_one_task_reads_have_a_bound(spark, tmp_path, monkeypatch, name):
+    """One file of customers becomes several, with every row in them."""
+    monkeypatch.setattr(shape, "FILE_ROWS", 40)
+    rows = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select(*shape.CUSTOMER)
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    out = shape.QUERIES[name][0](spark, str(tmp_path))
+    assert len(out.inputFiles()) >= rows.count() / 40
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_table_query_and_errors(spark, tmp_path):
     spark.range(10).createOrReplaceTempView("people")
     assert load(spark, Source(table="people")).count() == 10
