@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 
 from countercheck.llm import bpe, passages, pii, quality, simhash
 from countercheck.llm.components import components
+from countercheck.sinks import storage
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, ids string, `pii base` int, extra int"
@@ -286,6 +288,39 @@ def test_finer_signatures_reach_explained_texts(spark):
         assert len({found[k, role]["class_key"] for role in ("x", "copy", "e")}) == 1
 
 
+def test_longest_stretch_is_that_of_brute_force():
+    rng = np.random.default_rng(5)
+    for density in (0.8, 8 / 9, 1.0):
+        for _ in range(150):
+            hit = rng.random(int(rng.integers(1, 60))) < rng.choice([0.0, 0.1, 0.5, 0.85, 1.0])
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            fits = [
+                (i, j) for i in range(len(hit)) for j in range(i, len(hit) + 1) if sums[j] - sums[i] >= density * (j - i) - 1e-9
+            ]
+            assert passages._longest(hit, density) == max(fits, key=lambda x: (x[1] - x[0], -x[0]))
+
+
+def test_passages_leave_only_their_result_and_no_shuffle_files(spark):
+    shared = Path(storage.shared_folder(spark))
+    before = set(shared.iterdir())
+    conf = spark.conf.get(storage.CLEANUP)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*words[k : k + 90], f"own{k}"])) for k in (0, 0, 20, 40)]
+    files = list_shuffles(spark)
+    out = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before if p.name.startswith("passage")} == {"passage-classes"}
+    assert list_shuffles(spark) <= files
+    assert spark.conf.get(storage.CLEANUP) == conf
+    assert {r.doc_id for r in out.collect()} == {0, 20, 40}
+
+
+def list_shuffles(spark):
+    """Files of shuffled rows that Spark still holds."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (blocks.apply(i).getName() for i in range(blocks.size()))
+    return {n for n in names if n.startswith("shuffle") and n.endswith(".data")}
+
+
 def test_recall_of_lone_near_passages(spark):
     """Passages of 50 words with Jaccard 0.8 to 0.9 by brute force, by a changed word or by inserted ones."""
     rnd = random.Random(33)
