@@ -123,6 +123,8 @@ def _id(value: str) -> int:
 _SPANS = "array<struct<kind:string,start:int,stop:int>>"
 _HITS = "array<struct<kind:string,start:int,stop:int,instance:long,pattern:long>>"
 MARKED = re.compile(r"[0-9@]")
+#: What every text with candidates holds, for Spark: an @, or three digits in a token.
+LIKELY = r"@|[0-9](?:[^\x20\x09-\x0D0-9]*+[0-9]){2}"
 
 
 def _read(texts: pa.Array) -> pa.Array:
@@ -147,16 +149,15 @@ def _read(texts: pa.Array) -> pa.Array:
     return pa.array(rows, kind)
 
 
+def _base(text: str | None) -> list[dict]:
+    spans = base_spans(text) if text and MARKED.search(text) else []
+    return [{"kind": k, "start": a, "stop": b} for k, a, b in spans]
+
+
 def _read_base(texts: pa.Array) -> pa.Array:
-    """Spans of the fixed patterns, and whether other tokens look like identifiers."""
-    rows = []
-    for value in texts:
-        text = value.as_py() or ""
-        base = base_spans(text) if MARKED.search(text) else []
-        more = bool(MARKED.search(text)) and bool(candidates(text, base))
-        rows.append({"base": [{"kind": k, "start": a, "stop": b} for k, a, b in base], "more": more})
+    """Spans of the fixed patterns."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-    return pa.array(rows, pa.struct([("base", pa.list_(span)), ("more", pa.bool_())]))
+    return pa.array([_base(x.as_py()) for x in texts], pa.list_(span))
 
 
 def good_patterns(hits: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
@@ -193,42 +194,49 @@ def good_patterns(hits: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
     return patterns.filter((F.col("n_known") >= support) & (F.col("share") >= sure)).select("pattern", "kind")
 
 
-def find(
-    df: DataFrame, text: str = "text", spans: str = "pii spans", base: str = "pii base", **options
-) -> DataFrame:
-    """Add ``spans``, all spans as kind, start and stop, and ``base``, those of the fixed patterns.
-
-    Offsets are code points, the stop exclusive. Kinds are email, ip, card and
-    phone, and for learned spans "found_" with the kind of the pattern that
-    found them; spans stand by kind in that order, then start. A null or empty
-    text has no spans, repeated rows stay, names that clash give way.
+def _learned(df: DataFrame, text: str, learned: str, **options) -> DataFrame:
+    """Add ``learned``, the spans that learned patterns find, or null.
 
     Only what was found is stored, under two hashes of the text, on which its
-    spans depend alone. Texts are read again for the result; those that hold
-    identifier-like tokens outside the fixed patterns are joined with the spans
-    learned, the others stay where they are.
+    spans depend alone. Texts that may hold identifier-like tokens are joined
+    with it, the others stay where they are.
     """
     small_batches(df.sparkSession)
     own = F.col(f"`{text}`")
     one, two = F.xxhash64(own).alias("one"), F.xxhash64(F.lit(SEED), own).alias("two")
     read = F.arrow_udf(_read, f"struct<base:{_SPANS},hits:{_HITS}>")
-    known = df.filter(own.rlike("[0-9@]")).select(one, two, read(own)["hits"].alias("hits"))
-    known = stored(known.filter(F.size("hits") > 0), "pii-hits")
+    # Stored before it is filtered: a filter on the result would have it computed twice, by two workers in a row.
+    known = stored(df.filter(own.rlike("[0-9@]")).select(one, two, read(own)["hits"].alias("hits")), "pii-hits")
     hits = known.select("one", "two", F.explode("hits").alias("hit")).select("one", "two", "hit.*")
     good = stored(good_patterns(hits, **options), "pii-good")
     new = hits.filter("kind is null").drop("kind").join(good, "pattern")
     new = new.groupBy("one", "two", "start", "stop").agg(F.min("kind").alias("kind"))
     each = F.struct(F.concat(F.lit(f"{FOUND}_"), F.col("kind")).alias("kind"), "start", "stop")
-    key1, key2, learned, more, got = (free_name(df.columns, f"pii {n}") for n in ("one", "two", "new", "more", "read"))
+    key1, key2 = (free_name(df.columns, f"pii {n}") for n in ("one", "two"))
     new = new.groupBy(F.col("one").alias(key1), F.col("two").alias(key2))
     new = stored(new.agg(F.sort_array(F.collect_list(each)).alias(learned)), "pii-found")
-    both = put(df, {got: F.arrow_udf(_read_base, f"struct<base:{_SPANS},more:boolean>")(own)})
-    both = put(both, {base: F.col(got)["base"], more: F.col(got)["more"]}).drop(got)
-    plain = put(both.filter(~F.col(more)), {spans: F.col(base)})
-    rest = put(both.filter(F.col(more)), {key1: one, key2: two}).join(new, [key1, key2], "left")
-    found = F.concat(base, F.coalesce(F.col(learned), F.array().cast(_SPANS)))
-    rest = put(rest, {spans: found}).drop(learned, key1, key2)
-    return plain.unionByName(rest).drop(more)
+    likely = F.coalesce(own.rlike(LIKELY), F.lit(False))
+    plain = put(df.filter(~likely), {learned: F.lit(None).cast(_SPANS)})
+    rest = put(df.filter(likely), {key1: one, key2: two}).join(new, [key1, key2], "left").drop(key1, key2)
+    return plain.unionByName(rest)
+
+
+def find(
+    df: DataFrame, text: str = "text", spans: str = "pii spans", base: str = "pii base", **options
+) -> DataFrame:
+    """Add ``spans``, all spans as kind, start and stop, and ``base``, those of the fixed patterns.
+
+    Offsets are code points, the stop exclusive. Kinds are email, ip, card and
+    phone, and for learned spans "found_" with the kind of the pattern that
+    found them; spans stand by kind in that order, then start. A null or empty
+    text has no spans, repeated rows stay, names that clash give way. Texts are
+    read twice, once to learn and once for the result.
+    """
+    new = free_name([*df.columns, spans, base], "pii new")
+    both = _learned(df, text, new, **options)
+    both = put(both, {base: F.arrow_udf(_read_base, _SPANS)(F.col(f"`{text}`"))})
+    found = F.concat(F.col(f"`{base}`"), F.coalesce(F.col(f"`{new}`"), F.array().cast(_SPANS)))
+    return put(both, {spans: found}).drop(new)
 
 
 def spans_text(spans: Column) -> Column:
@@ -237,8 +245,9 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(one, ",")
 
 
-def _mask(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([mask(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+def _mask(texts: pa.Array, learned: pa.Array) -> pa.Array:
+    rows = zip(texts, learned, strict=True)
+    return pa.array([mask(t := x.as_py(), _base(t) + (new.as_py() or [])) for x, new in rows], pa.string())
 
 
 def mask(text: str | None, spans: list[dict] | None) -> str | None:
@@ -254,8 +263,11 @@ def mask(text: str | None, spans: list[dict] | None) -> str | None:
 
 
 def redact(df: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The same rows and columns, with personal data in the text replaced by its kind."""
-    spans, base, clean = (free_name(df.columns, f"pii {n}") for n in ("spans", "base", "text"))
-    found = find(df, text, spans, base, **options)
-    out = put(found, {clean: F.arrow_udf(_mask, "string")(F.col(f"`{text}`"), F.col(f"`{spans}`"))})
+    """The same rows and columns, with personal data in the text replaced by its kind: the spans of ``find``.
+
+    Fixed patterns are searched where the text is masked, so a task has one worker.
+    """
+    new, clean = (free_name(df.columns, f"pii {n}") for n in ("new", "text"))
+    found = _learned(df, text, new, **options)
+    out = put(found, {clean: F.arrow_udf(_mask, "string")(F.col(f"`{text}`"), F.col(f"`{new}`"))})
     return out.select(*[F.col(clean).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

@@ -166,6 +166,17 @@ def test_pii_learns_from_context(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_takes_one_worker_a_task(spark):
+    rnd = random.Random(6)
+    for _ in range(4000):
+        text = "".join(rnd.choice("12a.@-\t \u3000,(") for _ in range(rnd.randint(0, 16)))
+        assert re.search(pii.LIKELY, text) or not pii.candidates(text, []), text
+    rows = [(i, f"so write to user{i}@mail.example.com on {i}") for i in range(9)] + [(9, "to user777(at)mail on"), (10, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for out in (pii.find(df), pii.redact(df)):  # two branches: texts that may hold more than the fixed patterns find, and others
+        assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2
+
+
 def test_quality(spark):
     rnd = random.Random(2)
 
