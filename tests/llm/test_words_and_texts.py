@@ -454,3 +454,15 @@ def test_classifier_as_a_scalar_loop(spark, monkeypatch):
     for r in quality.score(docs, weights).collect():
         total = sum(want.get(i, 0.0) * v for i, v in plain_features(r["text"] or "").items())
         assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_passage_candidates_are_long_enough(spark):
+    rows = [(1, 7, 0, 20, 50, 1), (2, 7, 10, 30, 60, 1), (1, 8, 0, 5, 9, 1), (3, 8, 100, 105, 160, 1)]
+    shared = spark.createDataFrame(rows, "doc long, signature long, first int, centre int, last int, leader long")
+    found = passages._candidates(shared, 36).collect()
+    assert {(r["a"], r["b"], r["low"], r["high"]) for r in found} == {(2, 1, 10, 60)}  # 3 shares ten tokens with 1
+    tokens = np.arange(5, dtype=np.int32) - 2
+    df = spark.createDataFrame([(k, n, tokens.tobytes()) for k in range(6) for n in range(7)], "k int, n int, tokens binary")
+    for r in df.select("k", "n", passages._stretch(F.col("k"), F.col("n")).alias("part")).toArrow().to_batches():
+        for k, n, part in zip(r["k"].to_pylist(), r["n"].to_pylist(), passages._lists(r["part"]), strict=True):
+            assert part.tolist() == tokens[k : k + n].tolist()
