@@ -466,3 +466,57 @@ def test_passage_candidates_are_long_enough(spark):
     for r in df.select("k", "n", passages._stretch(F.col("k"), F.col("n")).alias("part")).toArrow().to_batches():
         for k, n, part in zip(r["k"].to_pylist(), r["n"].to_pylist(), passages._lists(r["part"]), strict=True):
             assert part.tolist() == tokens[k : k + n].tolist()
+
+
+def test_passages_store_neither_windows_nor_token_lists(spark, monkeypatch):
+    """They outweigh what comes of them; token lists go through one shuffle that both joins read."""
+    labels, plans = [], []
+    stored = passages.stored
+
+    def watched(df, label, *more):
+        labels.append(label)
+        if label == "passage-links":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label, *more)
+
+    monkeypatch.setattr(passages, "stored", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = [f"w{i}" for i in range(3000)]
+        swapped = [f"own{i}" for i in range(70)] + words[2900:2990] + [f"more{i}" for i in range(900)] + words[10:90]
+        rows = [(1, " ".join(words)), (2, " ".join(swapped)), (3, " ".join(words[500:600]))]
+        out = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+        spans = {(r["doc_id"], r["first"], r["stop"], r["class_first"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spans == {
+        (1, 10, 90, 10), (1, 500, 600, 500), (1, 2900, 2990, 2900), (2, 70, 160, 2900), (2, 1060, 1140, 10), (3, 0, 100, 500)
+    }
+    assert not {"passage-windows", "passage-fine", "passage-tokens"} & set(labels)
+    assert len(plans) == 2 and all("ReusedExchange" in plan for plan in plans)
+
+
+def test_stretches_are_sent_once_a_pair(spark):
+    rows = [(1, 2, 100, 180, 0, 3), (1, 2, 150, 260, 5, 9), (1, 3, 0, 40, 0, 0), (1, 3, 9000, 9040, 0, 0), (4, 2, 10, 60, -5, -5)]
+    sent = passages._sent(spark.createDataFrame(rows, "a long, b long, low int, high int, shift int, most int")).collect()
+    got = {(r["a"], r["b"], r["start"], r["stop"], tuple(sorted(p["low"] for p in r["parts"]))) for r in sent}
+    assert got == {
+        (1, 2, 65, 288, (100, 150)),  # one stretch for both
+        (1, 3, 0, 73, (0,)), (1, 3, 8968, 9073, (9000,)),  # what lies between isn't sent
+        (4, 2, 0, 98, (10,)),
+    }
+
+
+def test_filter_of_signatures_grows_with_them(spark):
+    assert passages._filter_size(0) == passages._filter_size(17_926) == 1 << 22
+    for keys in (1 << 20, 5_000_000):
+        assert 32 * keys <= passages._filter_size(keys) < 64 * keys
+    assert passages._filter_size(1 << 40) == 1 << passages.MOST_BITS
+    rng = np.random.default_rng(4)
+    keys, others = rng.integers(-(1 << 63), 1 << 63, (2, 3000))
+    for size in (1 << 16, 1 << 24):
+        packed = passages._marked(spark.createDataFrame([(int(k),) for k in keys], "k long"), size).value
+        assert len(packed) == size // 8 and passages._passes(packed, keys).all()
+        assert set(np.flatnonzero(np.unpackbits(packed))) == set((keys % size).tolist())
+        assert passages._passes(packed, others).mean() < 2 * len(keys) / size + 0.001
