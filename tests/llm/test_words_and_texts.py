@@ -509,10 +509,10 @@ def test_stretches_are_sent_once_a_pair(spark):
 
 
 def test_filter_of_signatures_grows_with_them(spark):
-    assert passages._filter_size(0) == passages._filter_size(17_926) == 1 << 22
+    assert passages._filter_size(0, 32) == passages._filter_size(17_926, 32) == 1 << 22
     for keys in (1 << 20, 5_000_000):
-        assert 32 * keys <= passages._filter_size(keys) < 64 * keys
-    assert passages._filter_size(1 << 40) == 1 << passages.MOST_BITS
+        assert 32 * keys <= passages._filter_size(keys, 32) < 64 * keys
+    assert passages._filter_size(1 << 40, 32) == 1 << passages.MOST_BITS
     rng = np.random.default_rng(4)
     keys, others = rng.integers(-(1 << 63), 1 << 63, (2, 3000))
     for size in (1 << 16, 1 << 24):
@@ -520,3 +520,28 @@ def test_filter_of_signatures_grows_with_them(spark):
         assert len(packed) == size // 8 and passages._passes(packed, keys).all()
         assert set(np.flatnonzero(np.unpackbits(packed))) == set((keys % size).tolist())
         assert passages._passes(packed, others).mean() < 2 * len(keys) / size + 0.001
+
+
+def test_windows_of_one_text_alone_stay_in_their_task(spark):
+    rnd = random.Random(12)
+
+    def words(n):
+        return [f"w{rnd.randrange(1 << 40)}" for _ in range(n)]
+
+    line = words(60)
+    rows = [(k, " ".join(words(400) + (line if k < 3 else []))) for k in range(40)]
+    texts = spark.createDataFrame(rows, "doc long, text string")
+    searched = []
+
+    def search(several):
+        searched.append((several, passages._windows(46, 4, several)))
+        return searched[-1][1]
+
+    shared = passages._shared(texts, search, "passage-shared")
+    kept = texts.mapInArrow(searched[1][1], passages._WINDOWS)
+    every = texts.mapInArrow(searched[0][1], passages._WINDOWS)
+    assert searched[0][0] is None and every.count() > 40 * 4 * 8
+    assert shared.count() <= kept.count() <= shared.count() + 5
+    by = every.groupBy("signature").agg(F.countDistinct("doc").alias("n"), F.min("doc").alias("leader")).filter("n > 1").drop("n")
+    assert sorted(every.join(by, "signature").collect()) == sorted(shared.select("signature", *every.columns[:1], "first", "centre", "last", "leader").collect())
+    assert {r["doc"] for r in shared.collect()} == {0, 1, 2}
