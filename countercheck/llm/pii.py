@@ -174,23 +174,22 @@ def good_patterns(hits: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
         hits.groupBy("pattern", "instance").agg(F.min("kind").alias("kind")).select("pattern", "instance", "kind"),
         "pii-edges",
     )
-    known = stored(
-        edges.filter("kind is not null").groupBy("instance").agg(F.min("kind").alias("known_kind")), "pii-known"
-    )
+    n = edges.count()
+    known = edges.filter("kind is not null").groupBy("instance").agg(F.min("kind").alias("known_kind"))
+    known = stored(known, "pii-known", rows=n)
     for step in range(rounds):
         votes = edges.join(known, "instance", "left")
         patterns = votes.groupBy("pattern").agg(
             F.count(F.lit(1)).alias("n"), F.count("known_kind").alias("n_known"), F.mode("known_kind", True).alias("kind")
         )
-        patterns = stored(
-            patterns.select("pattern", "kind", "n_known", (F.col("n_known") / F.col("n")).alias("share")), "pii-patterns"
-        )
+        patterns = patterns.select("pattern", "kind", "n_known", (F.col("n_known") / F.col("n")).alias("share"))
+        patterns = stored(patterns, "pii-patterns", rows=n)
         if step + 1 < rounds:
             told = patterns.filter(F.col("n_known") >= support).withColumnRenamed("kind", "told")
             scores = edges.select("pattern", "instance").join(told, "pattern").groupBy("instance")
             learned = scores.agg(F.avg("share").alias("share"), F.mode("told", True).alias("known_kind"))
             learned = learned.filter(F.col("share") >= sure).join(known, "instance", "left_anti")
-            known = stored(known.unionByName(learned.select("instance", "known_kind")), "pii-known")
+            known = stored(known.unionByName(learned.select("instance", "known_kind")), "pii-known", rows=n)
     return patterns.filter((F.col("n_known") >= support) & (F.col("share") >= sure)).select("pattern", "kind")
 
 
